@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import decontamination, lm_scoring, sharding, topk_search, warc
+from lorewell.llm import decontamination, language_id, lm_scoring, near_dedup, quality, sharding, substring_dedup, topk_search, warc
 from lorewell.llm.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
@@ -43,7 +47,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to_id").alias("refers_to"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op3_sharding, op6_decontamination, op7_warc)}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op3_sharding, op4_quality, op6_decontamination, op7_warc, op8_near_dedup, op9_substring_dedup, op10_language_id)}
 
 SQL: dict[str, str] = {
     "op2_topk_search": """
@@ -90,6 +106,18 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+    "op9_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (
+            SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s
+            FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+        dup AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE doc_id > first),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM dup),
+        words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r),
+        n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN n USING (r) LEFT JOIN kept USING (r)""",
     "op7_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
