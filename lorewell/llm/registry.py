@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import decontamination, language_id, lm_scoring, near_dedup, quality, sharding, substring_dedup, topk_search, warc
+from lorewell.llm import decontamination, language_id, lm_scoring, near_dedup, quality, segmentation, sharding, substring_dedup, topk_search, warc
 from lorewell.llm.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = segmentation.sample_segmentations(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2("pieces", 256).alias("pieces_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+    return samples.select("doc_id", "sample", "n_pieces", "log_prob", "inclusion", *digests, "exact")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
@@ -59,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op3_sharding, op4_quality, op6_decontamination, op7_warc, op8_near_dedup, op9_substring_dedup, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op3_sharding, op4_quality, op5_segmentation, op6_decontamination, op7_warc, op8_near_dedup, op9_substring_dedup, op10_language_id)}
 
 SQL: dict[str, str] = {
     "op2_topk_search": """
