@@ -133,10 +133,10 @@ SQL: dict[str, str] = {
     "new_concepts_antijoin": f"""WITH {_SURFACES},
         l AS (SELECT p_partkey % 5 AS q, p_partkey AS id, p_retailprice / 2000 AS score, [p_name, p_type, p_brand] AS parts FROM part),
         b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM l QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) <= 8),
-        p AS (SELECT q, score, rank, unnest(parts) AS concept, unnest([0, 1, 2]) AS at FROM b WHERE score >= 0.45),
-        f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY q, lower(concept) ORDER BY rank, at) = 1),
+        p AS (SELECT q, score, rank, unnest(parts) AS concept, unnest([0, 1, 2]) AS pl FROM b WHERE score >= 0.45),
+        f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY q, lower(concept) ORDER BY rank, pl) = 1),
         k AS (SELECT * FROM f WHERE lower(concept) NOT IN (SELECT surface FROM su WHERE surface LIKE '%widget%') AND NOT (q = 1 AND lower(concept) = 'economy'))
-        SELECT q, concept, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY rank, at)::INTEGER AS k FROM k QUALIFY row_number() OVER (PARTITION BY q ORDER BY rank, at) <= 3""",
+        SELECT q, concept, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY rank, pl)::INTEGER AS k FROM k QUALIFY row_number() OVER (PARTITION BY q ORDER BY rank, pl) <= 3""",
     "latest_per_key": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "session_coalesce": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
