@@ -14,7 +14,7 @@ are the sample, in order; the next bound is the threshold kappa that gives each
 
 The lattice falls apart where no piece crosses; parts are solved once for each distinct string of a chunk, and all
 steps of all texts of a chunk are drawn together in numpy. Rows are independent: one pass, no shuffle, and memory for
-one chunk of about 4 MB of text, or one text.
+one chunk of about 0.75 MB of text, or one text.
 
 Defined cases: null and empty texts have one segmentation, the empty one; a text with fewer than k segmentations gives
 all of them, with score 1 each; a literal piece-space character is encoded by its bytes, so decoding is exact; rows
@@ -311,7 +311,7 @@ def sample_segmentations(docs: DataFrame, *, model: str = MODEL, k: int = SAMPLE
         types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.float64()] * 3, pa.string(), pa.bool_()]
         for batch in batches:
             keys = batch.column(2).to_numpy().view(U)
-            for lo, hi, data, offsets in text_chunks(batch, limit=4 << 20):
+            for lo, hi, data, offsets in text_chunks(batch, limit=3 << 18):
                 rows = []
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
                 raw = data.tobytes()
