@@ -134,5 +134,6 @@ def apply_links(docs: DataFrame, hits: DataFrame, names: DataFrame) -> DataFrame
     spans = linked.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("start")).alias("neg"), "start", "end", "text", "link"))).alias("spans"))
     joined = docs.join(spans, "doc", "left").withColumn("spans", F.coalesce("spans", F.array()))
     fits = F.filter("spans", lambda s: F.substring(F.col("body"), s["start"] + 1, s["end"] - s["start"]) == s["text"])
-    body = F.aggregate(fits, F.col("body"), lambda acc, s: F.overlay(acc, s["link"], s["start"] + 1, s["end"] - s["start"]))
-    return joined.select("doc", body.alias("body"), F.size(fits).alias("n_links"))
+    joined = joined.withColumn("spans", fits)
+    body = F.aggregate("spans", F.col("body"), lambda acc, s: F.overlay(acc, s["link"], s["start"] + 1, s["end"] - s["start"]))
+    return joined.select("doc", body.alias("body"), F.size("spans").alias("n_links"))
