@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +35,10 @@ def input_bytes(df: DataFrame) -> int:
 
 def shard_count(df: DataFrame, shard_bytes: int = 8 << 20, least: int = 16) -> int:
     """Hash shards so that each holds the same share of any input; in proportion to the scanned bytes."""
-    return max(least, min(1 << 20, -(-input_bytes(df) // shard_bytes)))
+    size = input_bytes(df)
+    if size > 1 << 60:  # the optimizer's way to say that it doesn't know
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, min(1 << 20, -(-size // shard_bytes)))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
