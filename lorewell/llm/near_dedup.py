@@ -10,8 +10,9 @@ at most ``SMALL`` shingles are whole in their sketch and take the exact prefix.
 
 Two phases find all links without all pairs of a list. First every member meets its list's leader. Linked members form
 components; then only members outside a list's main component meet the members of other components, in blocks of at
-most ``BLOCK`` by ``BLOCK``. A pair inside one component needs no further proof. In either phase the union sketch
-estimates the similarity, and what passes is verified on the full sets.
+most ``BLOCK`` by ``BLOCK``, each pair in the first of the lists that both are in. A pair inside one component needs no
+further proof. In either phase the union sketch estimates the similarity (in blocks that of the ``LONG`` smallest, which
+is the whole set of shorter documents), and what passes is verified on the full sets.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words its set is empty and it links with
 nothing; rows with a null doc_id take no part (component null, kept); rows that share a doc_id count as one document
@@ -31,7 +32,8 @@ from lorewell.llm.components import components
 from lorewell.llm.shared import cut, small_batches, text_chunks
 
 K, PREFIX, SMALL, BLOCK = 64, 25, 50, 4096
-SLACK = 0.22  # of the union sketch's estimate: 4.5 standard deviations
+LONG = 256
+SLACK = {K: 0.22, LONG: 0.12}  # of the union sketch's estimate: 4.5 standard deviations
 U = np.uint64
 
 
@@ -79,7 +81,8 @@ def _sets(width: int):
             for lo, hi, data, offsets in text_chunks(batch):
                 s, bounds = shingle_sets(data, offsets, width)
                 blobs = [s[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(blobs, pa.binary())], names=["rep", "n", "shingles"])
+                longs = [(s[x : min(y, x + LONG)] >> U(32)).astype(np.uint32).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(blobs, pa.binary()), pa.array(longs, pa.binary())], names=["rep", "n", "shingles", "long"])
 
     return run
 
@@ -90,18 +93,18 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _may_link(x: np.ndarray, n: int, y: np.ndarray, m: int, bar: float) -> bool:
+def _may_link(x: np.ndarray, n: int, y: np.ndarray, m: int, bar: float, size: int = K) -> bool:
     """Whether the union sketch lets two sets reach the bar."""
     if min(n, m) < bar * max(n, m):
         return False
     both = np.sort(np.concatenate([x, y]))
     twice = both[1:] == both[:-1]
-    if max(n, m) <= K:
+    if max(n, m) <= size:
         shared = int(twice.sum())
         return shared >= bar * (n + m - shared)
-    union = both[np.concatenate([[True], ~twice])][:K]
+    union = both[np.concatenate([[True], ~twice])][:size]
     shared = int((both[:-1][twice] <= union[-1]).sum())
-    return shared >= (bar - SLACK) * len(union)
+    return shared >= (bar - SLACK[size]) * len(union)
 
 
 def _estimate(bar: float):
@@ -115,23 +118,39 @@ def _estimate(bar: float):
     return run
 
 
+def _shares(rows: list[np.ndarray]):
+    """A function that counts what a row shares with every row."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    owner = np.repeat(np.arange(len(rows)), np.diff(at))
+    _, code = np.unique(np.concatenate(rows), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    by, bounds = owner[order], np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
+
+    def of(i: int) -> np.ndarray:
+        return np.bincount(np.concatenate([by[:0], *(by[bounds[c] : bounds[c + 1]] for c in code[at[i] : at[i + 1]])]), minlength=len(rows))
+
+    return of
+
+
 def _block_pairs(bar: float):
     """Pairs of a block of a list: members outside the main component with members of other components."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        c1, c2 = key[1].as_py(), key[2].as_py()
+        v, c1, c2 = (x.as_py() for x in key)
         rep, comp, n, chunk = (table[c].to_numpy() for c in ("rep", "comp", "n", "chunk"))
         minor = table["comp"].to_numpy() != table["main"].to_numpy()
-        rows = _rows(table["sketch"])
-        owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        longs = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["long"]]
+        earlier, retained = _shares([x[x < v] for x in _rows(table["listed"])]), _shares([x[:K] for x in longs])
         out = []
         for i in np.flatnonzero(minor):
-            shared = np.bincount(owner[np.isin(flat, rows[i])], minlength=len(rows))
-            fits = (comp != comp[i]) & (shared > 0) & (np.minimum(n, n[i]) >= bar * np.maximum(n, n[i])) & (~minor | (rep > rep[i]))
+            fits = (comp != comp[i]) & (np.minimum(n, n[i]) >= bar * np.maximum(n, n[i])) & (~minor | (rep > rep[i]))
             fits &= (chunk != chunk[i]) if c1 != c2 else True
+            if fits.any():
+                fits &= earlier(i) == 0  # others meet in the list of a smaller value
+            if fits.any():
+                fits &= (np.minimum(n, n[i]) < K) | (retained(i) > K - PREFIX)
             for j in np.flatnonzero(fits):
-                if _may_link(rows[i], n[i], rows[j], n[j], bar):
+                if _may_link(longs[i], n[i], longs[j], n[j], bar, LONG):
                     out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -179,7 +198,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> Da
 
     involved = lists.select("rep").distinct()
     with_text = docs.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi")
-    sets = cut(with_text.mapInArrow(_sets(width), "rep long, n long, shingles binary"))
+    sets = cut(with_text.mapInArrow(_sets(width), "rep long, n long, shingles binary, long binary"))
 
     leaders = lists.groupBy("v").agg(F.min("rep").alias("a"))
     star = lists.join(leaders, "v").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
@@ -190,11 +209,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> Da
 
     placed = lists.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep"))
     mains = placed.groupBy("v").agg(F.mode("comp").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    open_ = placed.join(mains, "v").join(own.select("rep", "sketch"), "rep").withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    listed = lists.groupBy("rep", "n").agg(F.collect_list("v").alias("listed"))
+    open_ = placed.join(mains, "v").join(listed, ["rep", "n"]).join(sets.select("rep", "n", "long"), ["rep", "n"]).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
-    more = dealt.select("v", "c1", "c2", "rep", "n", "comp", "main", "chunk", "sketch").groupBy("v", "c1", "c2").applyInArrow(_block_pairs(bar), "a long, b long").distinct()
+    more = dealt.select("v", "c1", "c2", "rep", "n", "comp", "main", "chunk", "listed", "long").groupBy("v", "c1", "c2").applyInArrow(_block_pairs(bar), "a long, b long").distinct()
     more = cut(more)
     if not more.isEmpty():
         links = links.unionByName(_links(more, sets, percent)).distinct()
