@@ -12,9 +12,10 @@ bound, which is exact; the popped subtree yields one segmentation (its largest)
 are the sample, in order; the next bound is the threshold kappa that gives each its inclusion score
 ``1 - exp(-exp(log_prob - kappa))``. All randomness comes from the row's key, sample, place and step, by hashing.
 
-The lattice falls apart where no piece crosses; parts are solved once for each distinct string of a chunk, and all
-steps of all texts of a chunk are drawn together in numpy. Rows are independent: one pass, no shuffle, and memory for
-one chunk of about 0.75 MB of text, or one text.
+The lattice falls apart where no piece crosses; a task solves each distinct part once and keeps the solution until those
+kept exceed ``KEPT`` nodes, and all steps of all texts of a chunk are drawn together in numpy. A part's solution depends
+on its bytes alone, so neither chunks nor what is kept change a result. Rows are independent: one pass, no shuffle, and
+memory for the kept parts and one chunk of about 0.75 MB of text, or one text.
 
 Defined cases: null and empty texts have one segmentation, the empty one; a text with fewer than k segmentations gives
 all of them, with score 1 each; a literal piece-space character is encoded by its bytes, so decoding is exact; rows
@@ -35,16 +36,39 @@ from lorewell.llm.shared import small_batches, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA = 2, 0.3
+KEPT = 1 << 20
 U = np.uint64
 _SPACE = "▁"
 _MOST = 40.0  # -log of the least noise, 2**-53, and some more
 
 
+class Table:
+    """Sorted distinct hashes and their values. A hash's high bits name where its few candidates begin."""
+
+    def __init__(self, h: np.ndarray, values: np.ndarray):
+        order = np.argsort(h)
+        bits = max(1, int(4 * len(h)).bit_length())
+        self.shift = U(64 - bits)
+        self.start = np.searchsorted(h[order] >> self.shift, np.arange(1 << bits, dtype=U)).astype(np.int32)
+        self.keys, self.values = np.append(h[order], ~U(0)), np.append(values[order], 0)  # with an end that no search passes
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is here, and the place of its value."""
+        at = self.start[h >> self.shift]
+        more = np.flatnonzero(self.keys[at] < h)
+        while len(more):
+            at[more] += 1
+            more = more[self.keys[at[more]] < h[more]]
+        return self.keys[at] == h, at
+
+
 class Vocabulary:
     """Pieces as bytes, a space for the piece-space character."""
 
     def __init__(self, pieces: list[bytes | None], bytes_: list[int]):
-        self.pieces = [p or b"" for p in pieces]
+        sizes = [len(p or b"") for p in pieces]
+        self.flat = np.frombuffer(b"".join(p or b"" for p in pieces), np.uint8)
+        self.size, self.start = np.array(sizes), np.cumsum([0, *sizes])[:-1]
         self.byte_ids = np.array(bytes_, np.int64)
         ids = [i for i, p in enumerate(pieces) if p and i not in set(bytes_)]
         rank = np.full(len(pieces), float(len(pieces)))
@@ -58,16 +82,14 @@ class Vocabulary:
         self.by_length, self.prefixes = {}, {}
         for n in range(1, self.longest + 1):
             own = by.get(n, [])
-            self.by_length[n] = self._sorted([pieces[i] for i in own], np.array(own, np.int64))
+            self.by_length[n] = self._table([pieces[i] for i in own], np.array(own, np.int64))
             longer = sorted({pieces[i][:n] for i in ids if len(pieces[i]) > n})
-            self.prefixes[n] = self._sorted(longer, np.zeros(len(longer), np.int64))[0]
+            self.prefixes[n] = self._table(longer, np.zeros(len(longer), np.int64))
 
     @staticmethod
-    def _sorted(strings: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _table(strings: list[bytes], values: np.ndarray) -> Table:
         data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
-        h = tk.hashes(data, ends[:-1], ends[1:], fold=False)
-        order = np.argsort(h)
-        return h[order], values[order]
+        return Table(tk.hashes(data, ends[:-1], ends[1:], fold=False), values)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -82,11 +104,13 @@ class Vocabulary:
         return cls(pieces, bytes_)
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
+        size = self.size[ids]
+        end = np.cumsum(size)
+        data = self.flat[np.repeat(self.start[ids] - end + size, size) + np.arange(size.sum())]
+        return data[1:].tobytes().decode("utf-8", "replace")
 
 
-def _find(table: tuple[np.ndarray, np.ndarray] | np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = table if isinstance(table, np.ndarray) else table[0]
+def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
@@ -102,17 +126,17 @@ class Lattice:
         n = len(data)
         end = offsets[1:][owner]
         src, size, ids = [], [], []
-        live = np.arange(n)
+        live, hashed = np.arange(n), tk.rolling(data)
         for length in range(1, v.longest + 1):
             live = live[live + length <= end[live]]
             if not len(live):
                 break
-            h = tk.hashes(data, live, live + length, fold=False)
-            hit, at = _find(v.by_length[length], h)
+            h = hashed(live, live + length)
+            hit, at = v.by_length[length].find(h)
             src.append(live[hit])
             size.append(np.full(hit.sum(), length))
-            ids.append(v.by_length[length][1][at[hit]])
-            live = live[_find(v.prefixes[length], h)[0]]
+            ids.append(v.by_length[length].values[at[hit]])
+            live = live[v.prefixes[length].find(h)[0]]
         # byte pieces for characters without a piece
         head = (data & 0xC0) != 0x80
         starts = np.flatnonzero(head)
@@ -149,10 +173,50 @@ class Lattice:
             lp[own] = value - np.repeat(total, count)
         self.src, self.ids, self.lp, self.dst = node, ids, lp, node + size
         self.bounds = np.searchsorted(self.src, np.arange(self.nodes + 1))
-        sums = np.concatenate([[0.0], np.cumsum(np.exp(self.lp))])
-        self.upto = sums[1:] - sums[self.bounds[self.src]]
+        self.upto = np.exp(self.lp)  # summed edge by edge, so that it doesn't depend on what lies before
+        many, count = self.bounds[:-1], np.diff(self.bounds)
+        for i in range(1, int(count.max(initial=0))):
+            many = many[count > i]
+            count = count[count > i]
+            self.upto[many + i] += self.upto[many + i - 1]
         self.upto[self.bounds[self.src + 1] - 1] = np.inf
 
+
+class Lattices:
+    """The lattices of the parts met so far, laid out one after the other, by the parts' hashes."""
+
+    def __init__(self, v: Vocabulary, alpha: float):
+        self.vocabulary, self.alpha = v, alpha
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = np.zeros(0, U)
+        self.root, self.stop, self.bounds = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.src, self.dst, self.ids = (np.zeros(0, np.int32) for _ in range(3))
+        self.lp, self.upto = np.zeros(0), np.zeros(0)
+
+    def place(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last nodes of the parts with these distinct hashes; parts not yet known are added."""
+        if len(self.bounds) > KEPT:
+            self._clear()
+        new = np.flatnonzero(~_find(self.known, keys)[0])
+        if len(new):
+            lens = (ends - starts)[new]
+            at = np.concatenate([[0], np.cumsum(lens)])
+            self._add(keys[new], Lattice(self.vocabulary, data[np.arange(at[-1]) - np.repeat(at[:-1] - starts[new], lens)], at, self.alpha))
+        at = _find(self.known, keys)[1]
+        return self.root[at], self.stop[at]
+
+    def _add(self, keys: np.ndarray, more: Lattice) -> None:
+        node, edge = len(self.bounds) - 1, len(self.src)
+        join = lambda x, y: np.concatenate([x, y.astype(x.dtype)])
+        known = join(self.known, keys)
+        order = np.argsort(known)
+        self.known, self.root, self.stop = known[order], join(self.root, more.root + node)[order], join(self.stop, more.stop + node)[order]
+        self.bounds = join(self.bounds, more.bounds[1:] + edge)
+        self.src, self.dst, self.ids = join(self.src, more.src + node), join(self.dst, more.dst + node), join(self.ids, more.ids)
+        self.lp, self.upto = join(self.lp, more.lp), join(self.upto, more.upto)
+
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each node, by its probability."""
         e = self.bounds[node]
@@ -180,7 +244,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, np.searchsorted(at, offsets)
 
 
-def _paths(lat: Lattice, node: np.ndarray, stop: np.ndarray, key: np.ndarray, place: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+def _paths(lat: Lattices, node: np.ndarray, stop: np.ndarray, key: np.ndarray, place: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges from the given nodes to the ends of their parts, part by part, and the parts' bounds."""
     live, edges, found = np.flatnonzero(node != stop), [], []
     at = node.copy()
@@ -199,7 +263,7 @@ def _paths(lat: Lattice, node: np.ndarray, stop: np.ndarray, key: np.ndarray, pl
     return out, bounds
 
 
-def sample_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int, alpha: float):
+def sample_chunk(lat: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int):
     """For each text up to k of (piece ids, log-probability, perturbed, inclusion score), best first."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
@@ -209,13 +273,9 @@ def sample_chunk(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.
     part, of = _cuts(own, grown)
     ends = np.append(part[1:], len(own))
     h = tk.hashes(own, part, ends, fold=False)
-    _, one, kind = np.unique(h, return_index=True, return_inverse=True)
-    lens = (ends - part)[one]
-    at = np.concatenate([[0], np.cumsum(lens)])
-    flat = own[np.arange(at[-1]) - np.repeat(at[:-1] - part[one], lens)]
-    lat = Lattice(v, flat, at, alpha)
+    distinct, one, kind = np.unique(h, return_index=True, return_inverse=True)
     texts = tk.owners(of)
-    root, stop = lat.root[kind], lat.stop[kind]
+    root, stop = (x[kind] for x in lat.place(distinct, own, part[one], ends[one]))
     edges, bounds = _paths(lat, root, stop, tk.pair(keys, keys, 0)[texts], np.arange(len(part)) - of[texts], 1)
     where = np.repeat(np.arange(len(part)), np.diff(bounds))
     first = [(edges[bounds[a] : bounds[b]], where[bounds[a] : bounds[b]]) for a, b in zip(of[:-1], of[1:])]
@@ -307,6 +367,7 @@ def sample_segmentations(docs: DataFrame, *, model: str = MODEL, k: int = SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
+        lat = Lattices(v, alpha)
         names = [x.split()[0] for x in _OUT.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.float64()] * 3, pa.string(), pa.bool_()]
         for batch in batches:
@@ -315,7 +376,7 @@ def sample_segmentations(docs: DataFrame, *, model: str = MODEL, k: int = SAMPLE
                 rows = []
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
                 raw = data.tobytes()
-                for i, found in enumerate(sample_chunk(v, data, offsets, keys[lo:hi], k, alpha)):
+                for i, found in enumerate(sample_chunk(lat, data, offsets, keys[lo:hi], k)):
                     text = raw[offsets[i] : offsets[i + 1]]
                     for s, (pieces, lp, top, inclusion) in enumerate(found, 1):
                         decoded = v.decode(pieces)

@@ -79,6 +79,14 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -
     return mix(total * down[starts])
 
 
+def rolling(data: np.ndarray):
+    """``hashes`` of spans of the same buffer, many times, without folding."""
+    up, down = _pow(len(data))
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTES[data] * up, out=sums[1:])
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts and the offsets of each text's words."""
     starts, ends, bounds = spans(data, offsets)
