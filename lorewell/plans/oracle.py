@@ -85,6 +85,14 @@ SQL: dict[str, str] = {
         s AS (SELECT *, CASE WHEN list_max(list_transform(x, lambda t: abs(t))) = 0 THEN 1 ELSE list_max(list_transform(x, lambda t: abs(t))) / 127 END AS scale FROM e),
         q AS (SELECT *, list_transform(x, lambda t: greatest(-127, least(127, floor(t / scale + 0.5)))::DOUBLE) AS q FROM s)
         SELECT vec_id, list_sum(q)::INTEGER AS q_sum, round(scale, 6) AS scale, round(list_dot_product(q, x) / sqrt(list_dot_product(q, q)), 6) AS cosine FROM q""",
+    "legacy_index": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+        s AS (SELECT *, CASE WHEN list_max(list_transform(x, lambda t: abs(t))) = 0 THEN 1 ELSE list_max(list_transform(x, lambda t: abs(t))) / 127 END AS scale FROM e)
+        SELECT vec_id, 1::INTEGER AS chunk_count, list_sum(list_transform(x, lambda t: greatest(-127, least(127, floor(t / scale + 0.5)))))::INTEGER AS q_sum,
+            round(scale, 6) AS scale, round(x[1], 6) AS first FROM s""",
+    "section_split": """WITH s(no, level, breadcrumb) AS (VALUES (0, 0, ''), (1, 1, 'Alpha one'), (2, 2, 'Alpha one > Beta'), (3, 3, 'Alpha one > Beta > Gamma two'), (4, 2, 'Alpha one > Delta'))
+        SELECT doc_id, no::INTEGER AS no, level::INTEGER AS level, breadcrumb,
+            md5(CASE no WHEN 0 THEN 'lead' WHEN 1 THEN left(t, 300) WHEN 2 THEN concat_ws(chr(10), '```', '# no heading', '```') WHEN 3 THEN '' ELSE substr(t, 301) END) AS text_md5
+        FROM (SELECT doc_id, translate(text, '#`~', '   ') AS t FROM documents), s WHERE t IS NOT NULL""",
     "label_propagation": f"""WITH {_V}, {_TAGS}, nb AS (SELECT q AS id, n FROM sh WHERE rank <= 12)
         SELECT nb.id, tag, count(*) AS support, any_value(k) AS neighbors FROM nb JOIN tg t ON t.id = nb.n JOIN (SELECT id, count(*) AS k FROM nb GROUP BY id) z ON z.id = nb.id
         WHERE NOT EXISTS (SELECT 1 FROM tg o WHERE o.id = nb.id AND o.tag = t.tag) GROUP BY nb.id, tag HAVING count(*) >= 3""",

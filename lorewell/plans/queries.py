@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.functions import chunking, text as tx, vectors as vx
+from lorewell.functions import chunking, sections, text as tx, vectors as vx
 from lorewell.operators import graph, mentions, ranking, suggest
-from lorewell.sources import embedder, index_store
+from lorewell.sources import embedder, index_store, synthetic
 from lorewell.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,6 +346,51 @@ def budget_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.budget_of(F.col("text"))).alias("no", "piece")).select("doc_id", "no", F.length("piece").alias("n_chars"))
 
 
+def _noted(spark, sf) -> DataFrame:
+    """Documents cut into Markdown sections, their own marks blanked so that SQL knows the sections: doc_id, name, body."""
+    text = F.translate("text", "#`~", "   ")
+    head, rest = F.substring(text, 1, 300), F.substring(text, F.lit(301), F.length("text"))
+    body = F.concat(F.lit("---\nk: v\n---\nlead\n# Alpha *one*\n"), head, F.lit("\n## Beta ##\n```\n# no heading\n```\n### `Gamma` [[x|two]]\n## Delta\n"), rest)
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("note "), F.col("doc_id").cast("string")).alias("name"), body.alias("body"))
+
+
+@query
+def section_split(spark, sf):
+    found = _noted(spark, sf).select("doc_id", F.posexplode(sections.sections_of(F.col("body"))).alias("no", "s"))
+    return found.select("doc_id", "no", "s.level", "s.breadcrumb", F.md5(F.col("s.text").cast("binary")).alias("text_md5"))
+
+
+@query
+def heading_context(spark, sf):
+    made = _noted(spark, sf).select("doc_id", F.posexplode(sections.chunks(F.col("name"), F.col("body"))).alias("no", "c"))
+    return made.select("doc_id", "no", "c.section", F.length("c.text").alias("n_chars"), F.xxhash64("c.text").alias("hash"))
+
+
+@query
+def idea_segments(spark, sf):
+    """Ideas of each note: their chunks and words."""
+    made = _noted(spark, sf).select("doc_id", sections.chunks(F.col("name"), F.col("body"), heading_context=False).alias("c"))
+    each = made.select("doc_id", F.posexplode(F.arrays_zip(F.col("c.text").alias("text"), sections.ideas_of(F.col("c")).alias("idea"))).alias("no", "x"))
+    return each.groupBy("doc_id", F.col("x.idea").alias("idea")).agg(F.count("*").alias("n_chunks"), F.sum(tx.word_count(F.col("x.text")).cast("long")).alias("n_words"))
+
+
+@query
+def legacy_index(spark, sf):
+    """Notes of one chunk through the legacy JSON lines and back."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.col("vec_id").alias("mtime"), F.size("embedding").alias("dims"), F.lit(1).alias("chunk_count"), vx.doubles(F.col("embedding")).alias("mean"), F.array(vx.quantize(F.col("embedding"))).alias("chunks"))
+    back = index_store.from_legacy(index_store.to_legacy(e))
+    first = F.element_at("chunks", 1)
+    return rounded(back.select(F.col("mtime").alias("vec_id"), "chunk_count", F.aggregate(first["q"], F.lit(0), lambda s, x: s + x).alias("q_sum"), first["scale"].alias("scale"), F.element_at("mean", 1).alias("first")), "scale", "first")
+
+
+@query
+def synthetic_index(spark, sf):
+    """The made-up index: chunks a note and the least and greatest int8 value."""
+    i = synthetic.index(spark)
+    q = F.flatten("chunks.q")
+    return i.select("path", "mtime", "dims", "chunk_count", F.array_min(q).alias("least"), F.array_max(q).alias("most"))
+
+
 @query
 def topic_labels(spark, sf):
     """The five terms of the highest tf-idf of each document, joined by a middle dot; the formula is ours."""

@@ -69,6 +69,36 @@ def from_base64(text: str) -> list[int]:
     return np.frombuffer(base64.b64decode(text), np.int8).tolist()
 
 
+_LEGACY = "path string, mtime long, dims int, chunkCount int, meanVector array<double>, chunks struct<scales: array<double>, q: string>"
+
+
+def _base64_of(q: Column) -> Column:
+    """array<tinyint> as base64 of its bytes."""
+    digits = F.transform(q, lambda x: F.lpad(F.hex(x.cast("int").bitwiseAND(F.lit(255)).cast("long")), 2, "0"))
+    return F.base64(F.unhex(F.array_join(digits, "")))
+
+
+def _int8_of(text: Column) -> Column:
+    """The bytes of base64 as signed numbers."""
+    digits = F.regexp_extract_all(F.hex(F.unbase64(text)), F.lit("(..)"), F.lit(1))
+    return F.transform(digits, lambda d: (F.pmod(F.conv(d, 16, 10).cast("int") + 128, F.lit(256)) - 128).cast("tinyint"))
+
+
+def to_legacy(entries: DataFrame) -> DataFrame:
+    """One column ``value``: a JSON object for each entry, all chunks' int8 rows as one base64 text (version 3)."""
+    flat = F.struct(F.col("chunks.scale").alias("scales"), _base64_of(F.flatten("chunks.q")).alias("q"))
+    return entries.select(F.to_json(F.struct("path", "mtime", "dims", F.col("chunk_count").alias("chunkCount"), F.col("mean").alias("meanVector"), flat.alias("chunks"))).alias("value"))
+
+
+def from_legacy(lines: DataFrame) -> DataFrame:
+    """What ``to_legacy`` took. Entries that don't parse, or whose bytes or scales don't fit their counts, are left out."""
+    e = lines.select(F.from_json("value", _LEGACY).alias("e")).select("e.*").withColumn("flat", _int8_of(F.col("chunks.q")))
+    fits = (F.size("flat") == F.col("chunkCount") * F.col("dims")) & (F.size("chunks.scales") == F.col("chunkCount")) & (F.size("meanVector") == F.col("dims"))
+    row = lambda s, i: F.struct(F.slice("flat", i * F.col("dims") + 1, F.col("dims")).alias("q"), s.alias("scale"))
+    kept = e.where(F.coalesce(fits & (F.col("dims") > 0), F.lit(False)))
+    return kept.select("path", "mtime", "dims", F.col("chunkCount").alias("chunk_count"), F.col("meanVector").alias("mean"), F.transform("chunks.scales", row).alias("chunks"))
+
+
 def pack(entries: list[dict]) -> tuple[str, bytes]:
     """A manifest and one blob: all float32 means first, then all int8 chunks, with byte offsets in the manifest."""
     means = [np.array(e["mean"], "<f4").tobytes() for e in entries]
