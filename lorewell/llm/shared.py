@@ -64,7 +64,7 @@ def row_chunks(offsets: np.ndarray, limit: int = 3 << 20):
         lo = min(hi, n)
 
 
-def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = 3 << 20):
+def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = 1 << 20):
     """(first row, end row, bytes, offsets) of pieces of a batch."""
     data, offsets = utf8(batch.column(batch.schema.get_field_index(name)))
     for lo, hi in row_chunks(offsets, limit):
@@ -72,5 +72,6 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = 3 << 20)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches that stay small for long texts."""
+    """Arrow batches that stay small for long texts: a batch ends at either bound."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
