@@ -172,9 +172,10 @@ def _verify(percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the full sets confirm."""
-    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (a, b), a written table, that the full sets confirm. Only sets that a pair names are dealt out."""
+    named = lambda side: sets.join(pairs.select(F.col(side).alias("rep")).distinct(), "rep", "left_semi")
+    one = named("a").select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
+    two = named("b").select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
 
 
@@ -187,11 +188,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> Da
     classes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
 
-    values = classes.select("rep", "n", "sketch", F.explode("sketch").alias("v"))
+    values = classes.select("rep", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    met = values.select("rep", "n", F.size("sketch").alias("m"), "v").join(often, "v")
+    met = values.join(often, "v").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
     prefix = F.when(F.col("n") <= SMALL, F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).otherwise(F.least(F.lit(PREFIX), F.col("m"))).cast("int")
-    listed = met.groupBy("rep", "n", "m").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
+    listed = met.join(classes.select("rep", "n", F.least("n", F.lit(K)).cast("int").alias("m")), "rep")
     alone = F.col("m") - F.size("vs")  # values that no other class retains come first in the order of rarity
     lists = listed.select("rep", "n", F.explode(F.slice("vs", F.lit(1), F.greatest(prefix - alone, F.lit(0)))).alias("x")).select("rep", "n", "x.v", "x.f")
     lists = cut(lists)
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> Da
 
     leaders = lists.groupBy("v").agg(F.min("rep").alias("a"))
     star = lists.join(leaders, "v").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    own = classes.select("rep", "sketch", "n")
+    own = classes.select("rep", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"), "n")  # the high halves keep the order
     full = star.join(own.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx")), "a").join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny")), "b")
     links = _links(cut(full.select("a", "b", "x", "nx", "y", "ny").mapInArrow(_estimate(bar), "a long, b long")), sets, percent)
     label = components(links)
