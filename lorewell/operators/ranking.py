@@ -61,6 +61,48 @@ def nearest(items: DataFrame, k: int, *, key: Column | None = None, floor: float
     return ranked(spark.createDataFrame([], "q long, n long, score double") if found is None else found, k)
 
 
+def _pair_scanner(block, floor: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q = block.value
+        for batch in batches:
+            x = np.array(batch["v"].tolist(), float).reshape(len(batch), -1)
+            if not len(x) or x.shape[1] != q.shape[1]:
+                continue
+            ids = batch["id"].to_numpy()
+            for lo in range(0, len(x), 512):
+                scores = q @ x[lo : lo + 512].T
+                i, j = np.nonzero((scores >= floor) & (q_ids[:, None] < ids[lo : lo + 512]))
+                if len(i):
+                    yield pd.DataFrame({"a": q_ids[i], "b": ids[lo + j], "score": scores[i, j]})
+
+    return run
+
+
+def pairs_above(items: DataFrame, floor: float) -> DataFrame:
+    """items: id, v (unit vectors) -> a, b (a < b), score: every pair that scores ``floor`` or more, however many a vector has.
+
+    Copies of a vector form a class and only its least id is scanned, in the blocks of ``nearest``; the pairs of classes
+    are expanded to those of their members at the end.
+    """
+    spark = items.sparkSession
+    items = items.select("id", "v").where(F.col("v").isNotNull()).persist()
+    classes = items.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("size")).persist()
+    members = items.join(classes, "v").select("rep", "id")
+    reps = classes.select(F.col("rep").alias("id"), "v")
+    blocks = -(-max(1, reps.count()) // (BLOCK * 3 // 4))
+    found = spark.createDataFrame([], "a long, b long, score double")
+    for b in range(blocks):
+        rows = reps.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        if rows:
+            block = spark.sparkContext.broadcast((np.array([r.id for r in rows]), np.array([r.v for r in rows], float)))
+            found = found.unionByName(reps.mapInPandas(_pair_scanner(block, floor), "a long, b long, score double"))
+    one, two = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    across = found.join(one, "a").join(two, "b").select("x", "y", "score")
+    same = classes.where("size > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.aggregate(F.transform("v", lambda t: t * t), F.lit(0.0), lambda s, t: s + t).alias("score"))
+    within = same.where(F.col("score") >= floor).join(one, "a").join(two, "b").where("x < y").select("x", "y", "score")
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+
+
 def max_sim(pairs: DataFrame, chunks: DataFrame, title_weight: float = 2.0) -> DataFrame:
     """pairs: q, n; chunks: id, no, v -> q, n, dir: the weighted mean over q's chunks of the best match in n, at least 0."""
     from lorewell.functions.vectors import dot

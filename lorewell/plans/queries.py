@@ -80,7 +80,7 @@ def floor_topk(spark, sf):
 
 @query
 def near_duplicates(spark, sf):
-    return rounded(graph.near_duplicates(ranking.nearest(vectors(spark, sf), 64, floor=0.4), 0.4), "score")
+    return rounded(ranking.pairs_above(vectors(spark, sf), 0.4), "score")
 
 
 @query
