@@ -4,9 +4,10 @@ A document's set is its distinct word shingles, as 64-bit hashes of one function
 Documents with equal sets form a class; classes link when the Jaccard similarity of their full sets reaches the bar.
 
 Candidates come from inverted lists of retained values. Sketches of sets at the bar share all but a few values (never
-fewer than ``K - PREFIX + 1``, but for a chance below 1e-6), so two such sketches share one of their ``PREFIX``
-rarest values, and only these are listed: boilerplate that fills less than half of a document lists nothing. Sets of
-at most ``SMALL`` shingles are whole in their sketch and take the exact prefix.
+fewer than ``K - PREFIX + 1``, but for a chance below 1e-6, also where one text is the other with a quarter added), so
+two such sketches share one of their ``PREFIX`` rarest values, and only these are listed: boilerplate that fills less
+than half of a document lists nothing. Sets of at most ``SMALL`` shingles are whole in their sketch and take the exact
+prefix.
 
 Two phases find all links without all pairs of a list. First every member meets its list's leader. Linked members form
 components; then only members outside a list's main component meet the members of other components, in blocks of at
@@ -31,9 +32,9 @@ from lorewell.llm import tokens as tk
 from lorewell.llm.components import components
 from lorewell.llm.shared import cut, small_batches, text_chunks
 
-K, PREFIX, SMALL, BLOCK = 64, 25, 50, 4096
+K, PREFIX, SMALL, BLOCK = 64, 31, 50, 4096
 LONG = 256
-SLACK = {K: 0.22, LONG: 0.12}  # of the union sketch's estimate: 4.5 standard deviations
+SLACK = {K: 0.29, LONG: 0.135}  # of the union sketch's estimate: at 0.8 a binomial share falls below with a chance of 8e-8 and 2.4e-7
 U = np.uint64
 
 

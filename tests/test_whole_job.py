@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lorewell.operators import ranking
+from lorewell.llm import near_dedup
 from lorewell.plans import queries as plans
 
 
@@ -18,3 +18,11 @@ def test_near_duplicates_of_a_dense_cluster(spark, tmp_path):
     want = {(a, b): s for a, b in zip(*np.triu_indices(len(v), 1)) if (s := v[a] @ v[b]) >= 0.4}
     got = plans.QUERIES["near_duplicates"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.score for r in got} == pytest.approx(want, abs=2e-6)
+
+
+def test_near_dedup_of_a_text_inside_another(spark):
+    """1200 of 1499 shingles, of whose 64 smallest hashes only 37 are shared."""
+    words = [f"w2864x{i}" for i in range(1500)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[110:1311]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 1499, 1), (2, 1200, 1)}
