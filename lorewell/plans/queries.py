@@ -267,7 +267,7 @@ def word_counts(spark, sf):
 @query
 def markdown_clean(spark, sf):
     """Documents wrapped in Markdown, as none has any."""
-    body = F.concat(F.lit("# Head\n> *quoted* `code` [[Note|alias]] [[Other]] [label](http://x/y)\n- **item** ![p](q)\n"), F.substring("text", 1, 200))
+    body = F.concat(F.lit("# Head\n> *quoted* `code` [[Note|alias]] [[Other]] [label](http://x/y)\n- **item** ![p](q)\n"), F.col("text"))
     return table(spark, sf, "documents").select("doc_id", tx.strip(tx.clean_markdown(body)).alias("clean"))
 
 

@@ -26,3 +26,8 @@ def test_near_dedup_of_a_text_inside_another(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[110:1311]))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 1499, 1), (2, 1200, 1)}
+
+
+def test_markdown_clean_of_a_long_text(spark, tmp_path):
+    spark.createDataFrame([(1, "x " * 150 + "\n> **bold** end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert plans.QUERIES["markdown_clean"](spark, str(tmp_path)).first().clean.endswith("x x\nbold end")
