@@ -240,14 +240,14 @@ def _words(spark, sf) -> DataFrame:
 @query
 def mention_first_per_target(spark, sf):
     dictionary = mentions.surfaces(_words(spark, sf), ascii_only=True).where("exact")
-    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), F.regexp_replace(F.lower("text"), "[^a-z]", " ").alias("body"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.regexp_replace(F.lower("text"), "[^a-z]", " ").alias("body"))
     return mentions.detect(docs, dictionary).select("doc", "start", "surface")
 
 
 @query
 def linked_text(spark, sf):
     names = _words(spark, sf)
-    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), F.regexp_replace(F.lower("text"), "[^a-z]", " ").alias("body"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.regexp_replace(F.lower("text"), "[^a-z]", " ").alias("body"))
     hits = mentions.detect(docs, mentions.surfaces(names, ascii_only=True), every=True)
     out = mentions.apply_links(docs, hits, names)
     return out.select("doc", "n_links", F.length("body").alias("n_chars"))
@@ -304,7 +304,7 @@ def fuzzy_names(spark, sf):
 def new_concepts_antijoin(spark, sf):
     labels = table(spark, sf, "part").select((F.col("p_partkey") % 5).alias("q"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 2000).alias("score"), F.concat_ws(" · ", "p_name", "p_type", "p_brand").alias("label"))
     shown = spark.createDataFrame([(1, "economy")], "q long, surface string")
-    dictionary = mentions.surfaces(_titles(spark, sf), ascii_only=True).where("surface like '%widget%'")
+    dictionary = mentions.surfaces(_titles(spark, sf), ascii_only=True)
     return rounded(suggest.new_concepts(labels, dictionary, shown), "score")
 
 

@@ -31,3 +31,18 @@ def test_near_dedup_of_a_text_inside_another(spark):
 def test_markdown_clean_of_a_long_text(spark, tmp_path):
     spark.createDataFrame([(1, "x " * 150 + "\n> **bold** end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert plans.QUERIES["markdown_clean"](spark, str(tmp_path)).first().clean.endswith("x x\nbold end")
+
+
+def test_mentions_in_every_language(spark, tmp_path):
+    docs = [(1, "a benchmark word", "en"), (2, "ein benchmark wort", "de"), (3, "benchmark", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(map(tuple, plans.QUERIES["mention_first_per_target"](spark, str(tmp_path)).collect())) == [(1, 2, "benchmark"), (2, 4, "benchmark"), (3, 0, "benchmark")]
+    assert sorted((r.doc, r.n_links) for r in plans.QUERIES["linked_text"](spark, str(tmp_path)).collect()) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_new_concepts_are_no_known_surface(spark):
+    sf = "/root/testdata/sf0.001"
+    known = {r.surface for r in plans.QUERIES["surface_dictionary"](spark, sf).collect()}
+    got = [r.concept for r in plans.QUERIES["new_concepts_antijoin"](spark, sf).collect()]
+    assert got and not known & {c.lower() for c in got}
