@@ -103,6 +103,83 @@ def pairs_above(items: DataFrame, floor: float) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
+def _rank_counter(block):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q, of, n, own = block.value
+        better = np.zeros(len(of), np.int64)
+        for batch in batches:
+            all_x, all_ids = np.array(batch["v"].tolist(), float).reshape(len(batch), -1), batch["id"].to_numpy()
+            if not len(all_x) or all_x.shape[1] != q.shape[1]:
+                continue
+            for lo in range(0, len(all_x), 256):
+                ids = all_ids[lo : lo + 256]
+                ahead = (q @ all_x[lo : lo + 256].T)[of] - own[:, None]
+                first = (ahead > 1e-12) | ((ahead >= -1e-12) & (ids < n[:, None]))  # copies tie, whatever the rounding
+                better += (first & (ids != q_ids[of][:, None]) & (ids != n[:, None])).sum(1)
+        yield pd.DataFrame({"q": q_ids[of], "n": n, "better": better})
+
+    return run
+
+
+def ranks_of(items: DataFrame, targets: DataFrame) -> DataFrame:
+    """items: id, v (unit vectors); targets: q, n -> q, n, rank of each target among all others of q, ties to the smaller id.
+
+    Blocks of queries are broadcast to scans of the items as in ``nearest``; a task gives one count a target.
+    """
+    spark = items.sparkSession
+    items = items.select("id", "v").where(F.col("v").isNotNull()).persist()
+    wanted = targets.select("q", "n").where("q <> n").distinct()
+    wanted = wanted.join(items.select(F.col("id").alias("q"), F.col("v").alias("x")), "q").join(items.select(F.col("id").alias("n"), F.col("v").alias("y")), "n").persist()
+    blocks = -(-max(1, wanted.count()) // (BLOCK * 3 // 4))
+    found = spark.createDataFrame([], "q long, n long, better long")
+    for b in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        q = {r.q: r.x for r in rows}
+        at = {x: i for i, x in enumerate(q)}
+        own = np.array([np.dot(r.x, r.y) for r in rows])
+        block = spark.sparkContext.broadcast((np.array(list(q)), np.array(list(q.values()), float), np.array([at[r.q] for r in rows]), np.array([r.n for r in rows]), own))
+        found = found.unionByName(items.mapInPandas(_rank_counter(block), "q long, n long, better long"))
+    return found.groupBy("q", "n").agg((F.sum("better") + 1).alias("rank"))
+
+
+def _stacked(ids, nos, vs, title_weight: float):
+    """Ids, chunk rows, their weights, and where each note's rows begin."""
+    sizes = [len(x) for x in nos]
+    return np.array(ids), np.array([v for note in vs for v in note], float), np.where(np.concatenate([np.asarray(x) for x in nos]) == 0, title_weight, 1.0), np.cumsum([0, *sizes[:-1]])
+
+
+def _bi_max_scanner(block, title_weight: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_ids, q, qw, q_at = block.value
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                some = batch.iloc[lo : lo + 64]
+                ids, x, w, at = _stacked(some["id"], some["no"], some["v"], title_weight)
+                s = np.maximum(q @ x.T, 0)
+                there = np.add.reduceat(np.maximum.reduceat(s, at, axis=1) * qw[:, None], q_at, axis=0) / np.add.reduceat(qw, q_at)[:, None]
+                back = np.add.reduceat(np.maximum.reduceat(s, q_at, axis=0) * w, at, axis=1) / np.add.reduceat(w, at)
+                i, j = np.nonzero(q_ids[:, None] != ids)
+                yield pd.DataFrame({"q": q_ids[i], "n": ids[j], "score": ((there + back) / 2)[i, j]})
+
+    return run
+
+
+def bi_max_of_all(chunks: DataFrame, title_weight: float = 2.0) -> DataFrame:
+    """chunks: id, no, v of one length -> q, n, score: ``bi_max`` of every pair of notes, by matrix products of blocks of notes."""
+    spark = chunks.sparkSession
+    notes = chunks.where(F.col("v").isNotNull()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", "v"))).alias("c")).select("id", F.col("c.no").alias("no"), F.col("c.v").alias("v")).persist()
+    blocks = -(-max(1, notes.count()) // 256)
+    found = spark.createDataFrame([], "q long, n long, score double")
+    for b in range(blocks):
+        rows = notes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        if rows:
+            block = spark.sparkContext.broadcast(_stacked([r.id for r in rows], [r.no for r in rows], [r.v for r in rows], title_weight))
+            found = found.unionByName(notes.mapInPandas(_bi_max_scanner(block, title_weight), "q long, n long, score double"))
+    return found
+
+
 def max_sim(pairs: DataFrame, chunks: DataFrame, title_weight: float = 2.0) -> DataFrame:
     """pairs: q, n; chunks: id, no, v -> q, n, dir: the weighted mean over q's chunks of the best match in n, at least 0."""
     from lorewell.functions.vectors import dot

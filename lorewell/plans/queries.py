@@ -101,8 +101,8 @@ def bimax_topk(spark, sf):
 
 @query
 def bimax_eval_variant(spark, sf):
-    scores = ranking.bi_max(_shortlist(spark, sf).where("rank <= 20"), chunks(spark, sf))
-    return rounded(scores, "score")
+    """The evaluation's scores: of all pairs of notes, without a shortlist."""
+    return rounded(ranking.bi_max_of_all(chunks(spark, sf)), "score")
 
 
 @query
@@ -110,7 +110,7 @@ def idea_similarity(spark, sf):
     """Ideas are halves of a note; ideas blend in by the default weight."""
     c = chunks(spark, sf)
     ideas = vx.mean_by(c.withColumn("no", F.floor(F.col("no") / 5)), ["id", "no"], "v", "v")
-    short = _shortlist(spark, sf).where("rank <= 10")
+    short = _shortlist(spark, sf)
     base, idea = ranking.bi_max(short, c, means(spark, sf)), ranking.bi_max(short, ideas, title_weight=1.0)
     return rounded(ranking.blend_ideas(base, idea, 0.3), "score")
 
@@ -124,7 +124,8 @@ def structural_boost(spark, sf):
 @query
 def recall_mrr(spark, sf):
     targets = links(spark, sf).select(F.col("src").alias("q"), F.col("dst").alias("n"))
-    return rounded(ranking.evaluate(_shortlist(spark, sf), targets), "recall_5", "recall_10", "recall_20", "mrr")
+    ranks = ranking.ranks_of(means(spark, sf).withColumnRenamed("mean", "v"), targets)
+    return rounded(ranking.evaluate(ranks, targets), "recall_5", "recall_10", "recall_20", "mrr")
 
 
 @query

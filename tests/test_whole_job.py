@@ -46,3 +46,39 @@ def test_new_concepts_are_no_known_surface(spark):
     known = {r.surface for r in plans.QUERIES["surface_dictionary"](spark, sf).collect()}
     got = [r.concept for r in plans.QUERIES["new_concepts_antijoin"](spark, sf).collect()]
     assert got and not known & {c.lower() for c in got}
+
+
+@pytest.fixture(scope="module")
+def hundred_notes(spark, tmp_path_factory):
+    """The folder, the notes' centred chunks (note, chunk, component) and their labels."""
+    r, sf = np.random.default_rng(5), str(tmp_path_factory.mktemp("notes"))
+    x, labels = r.normal(0, 1, (100, 4, 8)).astype(np.float32).astype(float), r.integers(0, 100, (100, 4))
+    rows = [(10 * i + k, [float(t) for t in x[i, k]], int(labels[i, k])) for i in range(100) for k in range(4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
+    c = x.mean((0, 1)) / np.linalg.norm(x.mean((0, 1)))
+    v = x - (x @ c)[..., None] * c
+    return sf, v / np.linalg.norm(v, axis=2)[..., None], labels
+
+
+def test_recall_ranks_all_notes(spark, hundred_notes):
+    sf, v, labels = hundred_notes
+    m = v.mean(1) / np.linalg.norm(v.mean(1), axis=1)[:, None]
+    s = m @ m.T
+    ranks = [[1 + sum(s[i, j] > s[i, t] for j in range(100) if j != i) for t in {*labels[i, :3].tolist()} - {i}] for i in range(100)]
+    assert max(min(x) for x in ranks) > 60
+    got = plans.QUERIES["recall_mrr"](spark, sf).first()
+    assert got.mrr == pytest.approx(np.mean([1 / min(x) for x in ranks]), abs=1e-6) and got.n_queries == 100
+    assert got.recall_20 == pytest.approx(np.mean([np.mean([t <= 20 for t in x]) for x in ranks]), abs=1e-6)
+
+
+def test_eval_variant_scores_all_pairs(spark, hundred_notes):
+    sf, v, _ = hundred_notes
+    w = np.array([2, 1, 1, 1]) / 5
+    s = np.maximum(np.einsum("iax,jbx->ijab", v, v), 0)
+    want = (s.max(3) @ w + s.max(2) @ w) / 2
+    got = plans.QUERIES["bimax_eval_variant"](spark, sf).collect()
+    assert len({(r.q, r.n) for r in got}) == len(got) == 9900 and all(abs(r.score - want[r.q, r.n]) < 2e-6 for r in got)
+
+
+def test_ideas_rescore_the_whole_shortlist(spark, hundred_notes):
+    assert plans.QUERIES["idea_similarity"](spark, hundred_notes[0]).count() == 6000
