@@ -180,6 +180,26 @@ def bi_max_of_all(chunks: DataFrame, title_weight: float = 2.0) -> DataFrame:
     return found
 
 
+def closest_by(items: DataFrame, buckets: int = 64) -> DataFrame:
+    """items: id, x (a number) -> q, n, score, rank: the other item of the nearest x, ties to the smaller id; the score is
+    1 / (1 + distance). Values are dealt by quantiles; a bucket also gets the nearest value of those on either side."""
+    items = items.select("id", F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull()).persist()
+    cuts = sorted({*items.approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.5 / buckets)})
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("x"))) if cuts else F.lit(0)
+    values = items.groupBy("x").agg(F.min("id").alias("first")).withColumn("bucket", bucket).persist()
+    ends = sorted(values.groupBy("bucket").agg(F.min(F.struct("x", "first")).alias("lo"), F.max(F.struct("x", "first")).alias("hi")).collect(), key=lambda r: r.bucket)
+    edges = [(b.bucket, *a.hi, False) for a, b in zip(ends, ends[1:])] + [(a.bucket, *b.lo, False) for a, b in zip(ends, ends[1:])]
+    known = values.select("bucket", "x", "first", F.lit(True).alias("own")).unionByName(items.sparkSession.createDataFrame(edges, "bucket int, x double, first long, own boolean"))
+    w = Window.partitionBy("bucket").orderBy("x")
+    near = known.withColumn("below", F.lag(F.struct("x", "first")).over(w)).withColumn("above", F.lead(F.struct("x", "first")).over(w)).where("own")
+    joined = items.join(near.select("x", "first", "below", "above"), "x")
+    second = joined.where("id > first").groupBy("x").agg(F.min("id").alias("second"))
+    option = lambda of, n: F.when(n.isNotNull(), F.struct(F.abs(of - F.col("x")).alias("d"), n.alias("n")))
+    same = F.when(F.col("id") > F.col("first"), F.col("first")).otherwise(F.col("second"))
+    best = F.array_min(F.array_compact(F.array(option(F.col("x"), same), option(F.col("below.x"), F.col("below.first")), option(F.col("above.x"), F.col("above.first")))))
+    return joined.join(second, "x", "left").select(F.col("id").alias("q"), best.alias("b")).where("b IS NOT NULL").select("q", "b.n", (1 / (1 + F.col("b.d"))).alias("score"), F.lit(1).alias("rank"))
+
+
 def max_sim(pairs: DataFrame, chunks: DataFrame, title_weight: float = 2.0) -> DataFrame:
     """pairs: q, n; chunks: id, no, v -> q, n, dir: the weighted mean over q's chunks of the best match in n, at least 0."""
     from lorewell.functions.vectors import dot

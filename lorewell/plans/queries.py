@@ -150,10 +150,8 @@ def orphans_with_closest(spark, sf):
     """Parts without a returned line of 45 or more, and the closest part by price."""
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     e = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 45").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    linked = parts.join(e.select(F.col("dst").alias("id")).distinct(), "id").selectExpr("id AS q", "id + 1 AS n", "1.0D AS score", "1 AS rank")
-    back = linked.selectExpr("n AS q", "q AS n", "score", "rank")
     alone = e.select(F.lit(-1).cast("long").alias("src"), "dst")
-    return graph.orphans(parts, alone, back)
+    return graph.orphans(parts, alone, ranking.closest_by(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("x"))))
 
 
 @query

@@ -82,3 +82,11 @@ def test_eval_variant_scores_all_pairs(spark, hundred_notes):
 
 def test_ideas_rescore_the_whole_shortlist(spark, hundred_notes):
     assert plans.QUERIES["idea_similarity"](spark, hundred_notes[0]).count() == 6000
+
+
+def test_orphans_closest_by_price(spark):
+    sf = "/root/testdata/sf0.001"
+    price = {r.p_partkey: r.p_retailprice for r in plans.table(spark, sf, "part").collect()}
+    price_of = lambda a: min((abs(p - price[a]), b) for b, p in price.items() if b != a)
+    got = plans.QUERIES["orphans_with_closest"](spark, sf).collect()
+    assert len(got) == 69 and all((r.closest, r.closest_score) == (price_of(r.id)[1], pytest.approx(1 / (1 + price_of(r.id)[0]))) for r in got)
