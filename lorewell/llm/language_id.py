@@ -5,9 +5,10 @@ counts below the highest order). Letters are lower-cased; everything else is one
 the language of the lowest cross-entropy a symbol. A text is rejected if that entropy lies above what calibration
 texts of the language show, with a margin that grows for short texts, or if it has no letter.
 
-The models learn from at most ``PER_LANGUAGE`` texts of at most ``LONGEST`` bytes in each of the ``LANGUAGES`` most
-frequent languages, chosen by row hash; every fourth of them calibrates. Every text is scored whole, in one pass
-without a shuffle; the broadcast models are bounded by those parameters.
+The models learn from every language that ``lang`` names: at most ``PER_LANGUAGE`` texts of each, chosen by row hash,
+and fewer where there are more than ``LANGUAGES`` of them; every fourth of them calibrates. Of a text above ``LONGEST``
+bytes a quarter as many characters from its first letter on are learned. Every text is scored whole, in one pass without
+a shuffle; the rows learned are bounded by those parameters, and by one a language.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; ties go to the smaller
 language name; null lang values are not learned; repeated rows are answered each; without training rows every text is
@@ -158,16 +159,18 @@ class Identifier:
 
 def train(docs: DataFrame) -> Identifier:
     """docs: lang, text. Rows are chosen by their hash, in expectation half as many again as are used."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST) & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return Identifier([])
-    share = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, (1.5 * PER_LANGUAGE + 20) / r[1])))))
+    most = min(PER_LANGUAGE, max(1, LANGUAGES * PER_LANGUAGE // len(counts)))
+    shares = F.broadcast(docs.sparkSession.createDataFrame([(r[0], min(1.0, (1.5 * most + 20) / r[1])) for r in counts], "lang string, share double"))
+    text = F.when(F.octet_length("text") <= LONGEST, F.col("text")).otherwise(F.substring("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(LONGEST // 4)))
     dealt = F.pmod(F.xxhash64("lang", "text"), F.lit(1_000_003))
-    rows = usable.where(F.element_at(share, F.col("lang")) * 1_000_003 > dealt).select("lang", "text", dealt.alias("k")).limit(2 * len(counts) * (PER_LANGUAGE + 20)).collect()
+    rows = usable.join(shares, "lang").where(F.col("share") * 1_000_003 > dealt).select("lang", text.alias("text"), dealt.alias("k")).limit(2 * len(counts) * (most + 20)).collect()
     chosen: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.k, r.lang, r.text)):
-        if len(chosen.setdefault(r.lang, [])) < PER_LANGUAGE:
+        if len(chosen.setdefault(r.lang, [])) < most:
             chosen[r.lang].append((r.lang, r.text))
     return Identifier([x for v in chosen.values() for x in v])
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lorewell.llm import near_dedup
+from lorewell.llm import language_id, near_dedup
 from lorewell.plans import queries as plans
 
 
@@ -90,3 +90,11 @@ def test_orphans_closest_by_price(spark):
     price_of = lambda a: min((abs(p - price[a]), b) for b, p in price.items() if b != a)
     got = plans.QUERIES["orphans_with_closest"](spark, sf).collect()
     assert len(got) == 69 and all((r.closest, r.closest_score) == (price_of(r.id)[1], pytest.approx(1 / (1 + price_of(r.id)[0]))) for r in got)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"l{i:02d}", f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i)} {j}") for i in range(70) for j in range(3)] + [("long", "12 " + "word " * 20_000)]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == sorted({x for x, _ in rows})
+    texts = [(chr(0x4E00 + i) * 3).encode() for i in range(70)] + [b"word word"]
+    assert model.predict(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))[0] == model.languages
