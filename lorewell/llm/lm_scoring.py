@@ -3,13 +3,16 @@
 A bigram model with Witten-Bell smoothing. Counts are quantised to levels, level q covering counts of about
 ``BASE**(q-1)`` to ``BASE**q``; an n-gram of level q enters the filter as (n-gram, 1) ... (n-gram, q). A probe asks
 for (n-gram, 1), (n-gram, 2), ... until the first miss; the last hit is the level, so errors only raise counts and
-fall off geometrically. The filter is built in hash shards and broadcast.
-
-Scale. N-gram hashes travel as sorted binary blobs by hash shard, summed per task before the shuffle, so a hot word
-costs one entry a task. The broadcast is bounded: groups of shards of at most ``broadcast_bytes`` are broadcast one
-after the other, each pass yielding the levels it can answer, merged by document block; one group needs no merge.
+fall off geometrically. Word and bigram hashes have 64 bits.
+
+Scale. Tasks count bigrams by some million tokens and send a row a distinct bigram; the table of bigrams, and from it
+that of words (their counts, and the kinds of words that follow), are plain aggregations, so a hot word costs one row a
+distinct follower and task. The filter is built in hash shards of about ``SHARD_KEYS`` keys, so their number grows with
+the keys and none grows. It is broadcast if it has at most ``broadcast_bytes``. A larger one stays where it is: each
+chunk of texts sends its distinct probes to their shards, where they stream past the shard's bits, and the levels come
+back to the chunk; the corpus is read once and the probes grow in proportion to it.
 Exact unigram counts (for ``base_score``) come from a head table, the words that make up more than 1 / 2**20 of all
-tokens, which therefore has at most 2**20 entries, and for all other words by a join on the hash shard.
+tokens, which therefore has at most 2**20 entries; of all other words a document sends a row each to a join.
 
 Defined cases: null and empty texts have the end token only; repeated rows are scored each; a null doc_id is never
 held out; other columns are ignored; without training documents all counts are 0.
@@ -17,8 +20,7 @@ held out; other columns are ignored; without training documents all counts are 0
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorewell.llm import tokens as tk
-from lorewell.llm.shared import cut, shard_count, small_batches, text_chunks
+from lorewell.llm.shared import cut, small_batches, text_chunks
 
 U = np.uint64
 BASE = 1.5
 BITS_PER_ENTRY, PROBES = 10, 4
 HEAD = 1 << 20
+SHARD_KEYS = 1 << 20  # of one shard of the filter
+CHUNK = 4 << 20  # bytes of text that send their probes together, where the filter is not broadcast
 END, START = U(0x5EED0E4D0F7EC57), U(0x0057A47C0DE0F5E9)
 _UNI, _TYPES = U(0x11D0BEEF5A17), U(0x77C0FFEE1234)
-_LOW = U(28)  # of a bigram's key: 36 bits for its history, 28 for both words
 
 #: The first count of each level, and the count that stands for the level.
 _FIRST = np.array(sorted({int(np.ceil(BASE**i)) for i in range(100)} - {0}), np.float64)
@@ -54,9 +57,9 @@ def _slots(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
         yield ((a + U(i) * step) >> U(32)) * U(size) >> U(32)
 
 
-def build_filter(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+def build_filter(keys: np.ndarray, levels: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
     """The bits of one shard's filter."""
-    bits = np.zeros(max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8), bool)
+    bits = np.zeros(max(64, -(-int(levels.sum()) * bits_per_entry // 8) * 8), bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for slot in _slots(keys[levels >= level], level, len(bits)):
             bits[slot] = True
@@ -74,9 +77,9 @@ class Filter:
             self.size[k], self.at[k] = len(parts[k]) * 8, at * 8
             at += len(parts[k])
 
-    def levels(self, keys: np.ndarray, routed: np.ndarray) -> np.ndarray:
-        """The levels of keys; ``routed`` has the hashes whose high bits name the shard."""
-        shard = tk.bucket(routed, self.shards)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The levels of keys, whose high bits name the shard."""
+        shard = tk.bucket(keys, self.shards)
         out = np.zeros(len(keys), np.uint8)
         live = np.flatnonzero(self.size[shard] > 0)
         keys, size, at = keys[live], self.size[shard[live]], self.at[shard[live]]
@@ -109,160 +112,194 @@ def _bigrams(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return t, before, out
 
 
-def _key(before: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return (before >> _LOW << _LOW) | (tk.pair(before, t) >> (U(64) - _LOW))
-
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-def _count(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values and their summed counts."""
-    order = np.argsort(values, kind="stable") if counts is not None else None
-    values = np.sort(values) if order is None else values[order]
-    at = np.flatnonzero(tk.first_of_runs(values)) if len(values) else np.zeros(0, np.int64)
-    if counts is None:
-        return values[at], np.diff(np.append(at, len(values)))
-    return values[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
+_COUNTED = "hist long, key long, n long"
 
-_COUNTED = "shard int, uni binary, uni_n binary, bi binary, bi_n binary"
 
+def _count_task(flush: int = 1 << 21):
+    """Bigrams of about ``flush`` tokens: their history, key and count."""
 
-def _count_task(shards: int, flush: int = 1 << 22):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out():
-            uni, bi = _count(np.concatenate([x for x, _ in held])), _count(np.concatenate([x for _, x in held]))
-            a, b = tk.split(uni[0], shards), tk.split(bi[0], shards)
-            cells = [[x.tobytes() for x in np.split(v, at[1:-1])] for (k, n), at in ((uni, a), (bi, b)) for v in (k, n.astype(np.uint32))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards), pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["shard", "uni", "uni_n", "bi", "bi_n"])
+            hist, key = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(key)
+            key, hist = key[order], hist[order]
+            at = np.flatnonzero(tk.first_of_runs(key))
+            n = np.diff(np.append(at, len(key)))
+            key, hist = key[at], hist[at]
+            for lo in range(0, len(at), 1 << 17):
+                part = slice(lo, lo + (1 << 17))
+                yield pa.RecordBatch.from_arrays([_signed(hist[part]), _signed(key[part]), pa.array(n[part])], names=["hist", "key", "n"])
 
         for batch in batches:
             for *_, data, offsets in text_chunks(batch):
                 t, before, _ = _bigrams(*tk.words(data, offsets, fold=True))
-                held.append((t, _key(before, t)))
+                held.append((before, tk.pair(before, t)))
                 if sum(len(x) for x, _ in held) >= flush:
                     yield from out()
-                    held.clear()
         if held:
             yield from out()
 
     return run
 
 
-_SHARD = "shard int, words binary, counts binary, bits binary, n_types long, n_tokens long"
+_ENTRIES = "shard int, key long, level int"
 
 
-def _build_shard(key: tuple, table: pa.Table) -> pa.Table:
-    def merged(k: str, n: str):
-        cat = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
-        return _count(cat(k, U), cat(n, np.uint32).astype(np.int64))
+def _entries(columns: list[str], shards: int):
+    """Filter entries of bigrams (key, n), or of words (hist, c, kinds)."""
 
-    (words, n), (bi, bi_n) = merged("uni", "uni_n"), merged("bi", "bi_n")
-    histories, kinds = _count(bi >> _LOW)
-    keys = np.concatenate([tk.mix(words ^ _UNI), tk.mix(histories ^ _TYPES), tk.mix(bi)])
-    bits = build_filter(keys, levels_of(np.concatenate([n, kinds, bi_n])))
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "words": [words.tobytes()], "counts": [n.astype(np.int64).tobytes()], "bits": [bits.tobytes()], "n_types": [len(words)], "n_tokens": [int(n.sum())]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column(0).to_numpy().view(U)
+            counts = [batch.column(i).to_numpy() for i in range(1, len(columns))]
+            if len(columns) == 2:
+                keys, n = tk.mix(first), counts[0]
+            else:
+                word = np.where(first == START, END, first)  # a text has one start and one end
+                keys, n = np.concatenate([tk.mix(word ^ _UNI), tk.mix(first ^ _TYPES)]), np.concatenate(counts)
+            shard = tk.bucket(keys, shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), _signed(keys), pa.array(levels_of(n), pa.int32())], names=["shard", "key", "level"])
 
+    return run
 
-_EMITTED = "batch long, shard int, ask binary, kept binary"
 
+_SHARD = "shard int, bits binary"
 
-def _levels(f: Filter, t, before, types, of) -> np.ndarray:
-    """Rows: levels of the word, of its history's count, of the kinds of words after the history, of the bigram."""
-    uni = f.levels(tk.mix(types ^ _UNI), types)
-    after = f.levels(tk.mix((types >> _LOW) ^ _TYPES), types)
-    start = f.levels(tk.mix((np.full(1, START) >> _LOW) ^ _TYPES), np.full(1, START))
-    key, which = np.unique(_key(before, t), return_inverse=True)
-    out = np.empty((4, len(t)), np.uint8)
-    out[0], out[3] = uni[of], f.levels(tk.mix(key), key)[which]
-    first = before == START
-    was = np.concatenate([of[:1], of[:-1]])
-    out[1], out[2] = np.where(first, 0, uni[was]), np.where(first, start[0], after[was])
-    return out
 
+def _build_shard(bits_per_entry: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bits = build_filter(table["key"].to_numpy().view(U), table["level"].to_numpy(), bits_per_entry)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "bits": [bits.tobytes()]})
 
-def _log_probability(levels: np.ndarray, first: np.ndarray, n: int, v: int, docs: int) -> np.ndarray:
-    c, h, kinds, both = _MEANT[levels]
-    h = np.where(first, docs, h)
-    p = (c + 1) / (n + v + 1)
-    # a history without known followers is unknown: a false hit may give it a count
-    return np.log10(np.where(kinds > 0, (np.minimum(both, h) + kinds * p) / np.maximum(h + kinds, 1), p))
+    return run
+
+
+def _probes(t: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct words, the word of each token, distinct bigrams, the bigram of each token."""
+    types, of = np.unique(t, return_inverse=True)
+    key, which = np.unique(tk.pair(before, t), return_inverse=True)
+    return types, of, key, which
 
 
-def _score_task(filter_, head_, shards: int, n: int, v: int, docs: int, group: int | None):
-    """With ``group`` the levels that this group of shards knows are kept instead of scores."""
+def _keys(types: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The filter keys that a chunk asks for: words, what follows them, what follows a start, bigrams."""
+    return np.concatenate([tk.mix(types ^ _UNI), tk.mix(types ^ _TYPES), tk.mix(np.full(1, START ^ _TYPES)), tk.mix(key)])
+
+
+def _log_probability(answers: np.ndarray, types: int, of: np.ndarray, which: np.ndarray, first: np.ndarray, n: int, v: int, docs: int) -> np.ndarray:
+    """Of each token, from the levels of ``_keys`` in their order."""
+    uni, after, start, both = np.split(_MEANT[answers], [types, 2 * types, 2 * types + 1])
+    was = np.concatenate([of[:1], of[:-1]])
+    h, kinds = np.where(first, docs, uni[was]), np.where(first, start[0], after[was])
+    p = (uni[of] + 1) / (n + v + 1)
+    # a history without known followers is unknown: a false hit may give it a count
+    return np.log10(np.where(kinds > 0, (np.minimum(both[which], h) + kinds * p) / np.maximum(h + kinds, 1), p))
+
+
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long, times long"
+
+
+def _scored(number: int, ids: pa.Array, held: pa.Array, t, before, bounds, answer: Callable[[np.ndarray], np.ndarray], head, n: int, v: int, docs: int) -> pa.RecordBatch:
+    """A row a text (numbered from ``number``), with what the head table knows, and a row a text and other word."""
+    types, of, key, which = _probes(t, before)
+    logs = _log_probability(answer(_keys(types, key)), len(types), of, which, before == START, n, v, docs)
+    words, counts = head
+    place = np.minimum(np.searchsorted(words, types), max(0, len(words) - 1))
+    known = words[place] == types if len(words) else np.zeros(len(types), bool)
+    top = np.where(known, np.log10(counts[place] + 1.0), 0.0) if len(words) else np.zeros(len(types))
+    at = bounds[:-1]
+    rest = np.flatnonzero(~known[of])
+    pairs, times = np.unique(tk.owners(bounds)[rest] * len(types) + of[rest], return_counts=True)
+    doc, word = pairs // max(1, len(types)), types[pairs % max(1, len(types))]
+    size, more = len(at), len(pairs)
+    n_tokens = np.diff(bounds)
+    base = np.add.reduceat(top[of], at) - n_tokens * np.log10(n + v + 1.0)
+    columns = [n_tokens, np.add.reduceat(known[of].astype(np.int64), at), base, np.add.reduceat(logs, at)]
+    pad = lambda x, kind: pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind), pa.nulls(more, kind)])
+    arrays = [pa.array(number + np.concatenate([np.arange(size), doc])), pad(ids.cast(pa.int64()), pa.int64()), pad(held.cast(pa.bool_()), pa.bool_())]
+    arrays += [pad(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+    arrays += [pa.concat_arrays([pa.nulls(size, pa.int64()), pa.array(x, pa.int64())]) for x in (word.view(np.int64), times)]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SCORED.split(", ")])
+
+
+def _score_task(filter_, head_, n: int, v: int, docs: int):
+    """With the whole filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = filter_.value
-        head, head_n = (np.frombuffer(x, d) for x, d in zip(head_.value, (U, np.int64)))
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 40
+        head = [np.frombuffer(x, d) for x, d in zip(head_.value, (U, np.int64))]
         for batch in batches:
-            ids, held = batch.column(0), batch.column(1)
             for lo, hi, data, offsets in text_chunks(batch):
                 t, before, bounds = _bigrams(*tk.words(data, offsets, fold=True))
-                types, of = np.unique(t, return_inverse=True)
-                levels = _levels(f, t, before, types, of)
-                kept: dict = {"levels": levels.tobytes(), "first": np.packbits(before == START).tobytes()} if group is not None else {}
-                at, ask = bounds[:-1], types[:0]
-                if group is None:
-                    kept["score"] = np.add.reduceat(_log_probability(levels, before == START, n, v, docs), at)
-                if not group:
-                    place = np.minimum(np.searchsorted(head, types), max(0, len(head) - 1))
-                    known = head[place] == types if len(head) else np.zeros(len(types), bool)
-                    logs = np.where(known, np.log10(head_n[place] + 1.0), 0.0) if len(head) else np.zeros(len(types))
-                    ask, rest = types[~known], ~known[of]
-                    kept |= {"ids": ids.slice(lo, hi - lo).to_pylist(), "held": held.slice(lo, hi - lo).to_pylist(), "bounds": bounds, "logs": np.add.reduceat(logs[of], at), "known": np.add.reduceat(known[of].astype(np.int64), at)}
-                    kept |= {"ask": (np.cumsum(~known) - 1)[of[rest]].astype(np.uint32), "doc": tk.owners(bounds)[rest].astype(np.uint32)}
-                rows = [(number, number % shards, None, pickle.dumps(kept))]
-                if len(ask):
-                    cuts = tk.split(ask, shards)
-                    rows += [(number, s, ask[cuts[s] : cuts[s + 1]].tobytes(), None) for s in np.flatnonzero(np.diff(cuts)).tolist()]
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["batch", "shard", "ask", "kept"])
+                yield _scored(number, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), t, before, bounds, filter_.value.levels, head, n, v, docs)
+                number += hi - lo
+
+    return run
+
+
+_ASKED = "chunk long, shard int, key long, ids array<long>, held array<boolean>, tokens array<long>, bounds array<int>"
+
+
+def _ask_task(shards: int):
+    """A row a chunk with its tokens, and a row a distinct key that it asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch, limit=CHUNK):
+                t, before, bounds = _bigrams(*tk.words(data, offsets, fold=True))
+                types, _, key, _ = _probes(t, before)
+                ask = np.unique(_keys(types, key))
+                one = lambda x, kind: pa.array([x], pa.list_(kind))
+                row = [pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), one(batch.column(0).slice(lo, hi - lo), pa.int64()), one(batch.column(1).slice(lo, hi - lo), pa.bool_()), one(t.view(np.int64), pa.int64()), one(bounds, pa.int32())]
+                names = [x.split()[0] for x in _ASKED.split(", ")]
+                yield pa.RecordBatch.from_arrays(row, names=names)
+                for a in range(0, len(ask), 1 << 16):
+                    part = ask[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(tk.bucket(part, shards), pa.int32()), _signed(part), *(pa.nulls(len(part), pa.list_(k)) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int32()))], names=names)
+                number += hi - lo
 
     return run
 
 
-def _answer(asks: pa.Table, shards: pa.Table) -> pa.Table:
-    """Exact counts for the words that each batch asks this shard for, in their order."""
-    words = np.frombuffer(b"".join(shards["words"].to_pylist()), U)
-    counts = np.frombuffer(b"".join(shards["counts"].to_pylist()), np.int64)
-
-    def of(blob: bytes | None) -> bytes | None:
-        if blob is None:
-            return None
-        h = np.frombuffer(blob, U)
-        if not len(words):
-            return np.zeros(len(h), np.uint32).tobytes()
-        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        return np.where(words[at] == h, counts[at], 0).astype(np.uint32).tobytes()  # below the head's bound
-
-    return asks.set_column(asks.schema.get_field_index("ask"), "ask", pa.array([of(x) for x in asks["ask"].to_pylist()], pa.binary()))
-
-
-_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _finish(n: int, v: int, docs: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["shard"].to_pylist(), table["ask"].to_pylist()), key=lambda x: x[0])
-        counts = np.frombuffer(b"".join(a for _, a in rows if a is not None), np.uint32).astype(np.int64)
-        kept: dict = {}
-        levels = None
-        for x in map(pickle.loads, filter(None, table["kept"].to_pylist())):
-            if "levels" in x:
-                own = np.frombuffer(x["levels"], np.uint8).reshape(4, -1)
-                levels = own if levels is None else np.maximum(levels, own)
-            kept |= x
-        bounds, size = kept["bounds"], len(kept["ids"])
-        if levels is not None:
-            first = np.unpackbits(np.frombuffer(kept["first"], np.uint8), count=levels.shape[1]).astype(bool)
-            kept["score"] = np.add.reduceat(_log_probability(levels, first, n, v, docs), bounds[:-1])
-        c = counts[kept["ask"]]
-        n_tokens = np.diff(bounds)
-        logs = kept["logs"] + np.bincount(kept["doc"], np.log10(c + 1.0), size)
-        known = kept["known"] + np.bincount(kept["doc"], c > 0, size).astype(np.int64)
-        return pa.table({"doc_id": pa.array(kept["ids"], pa.int64()), "held_out": pa.array(kept["held"], pa.bool_()), "n_tokens": n_tokens, "n_known": known, "train_tokens": np.full(size, n), "base_score": logs - n_tokens * np.log10(n + v + 1.0), "score": kept["score"]})
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard, its bits first: the levels of the keys that pass."""
+    f = Filter({}, 1)
+    for batch in batches:
+        bits = batch.column(3)
+        edges = [*np.flatnonzero(np.asarray(bits.is_valid())).tolist(), batch.num_rows]
+        lo = 0
+        for hi in edges:
+            part = batch.slice(lo, hi - lo)
+            ask = np.flatnonzero(np.asarray(part.column(2).is_valid()))
+            if len(ask):
+                key = part.column(2).take(pa.array(ask)).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ask)), pa.array(key), pa.array(f.levels(key.view(U)), pa.int32())], names=["chunk", "key", "level"])
+            if hi < batch.num_rows:
+                f = Filter({0: bits[hi].as_py()}, 1)
+            lo = hi
+
+
+def _finish_chunk(head_, n: int, v: int, docs: int):
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        key, level = answers["key"].to_numpy().view(U), answers["level"].to_numpy()
+        order = np.argsort(key)
+        key, level = key[order], level[order]
+        row = {c: chunks[c].combine_chunks() for c in chunks.column_names}
+        t, bounds = row["tokens"].flatten().to_numpy().view(U), row["bounds"].flatten().to_numpy().astype(np.int64)
+        before = np.empty(len(t), U)
+        before[1:] = t[:-1]
+        before[bounds[:-1]] = START
+        head = [np.frombuffer(x, d) for x, d in zip(head_.value, (U, np.int64))]
+        number = row["chunk"][0].as_py()
+        return pa.Table.from_batches([_scored(number, row["ids"].flatten(), row["held"].flatten(), t, before, bounds, lambda k: level[np.searchsorted(key, k)], head, n, v, docs)])
 
     return run
 
@@ -272,46 +309,40 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def score_documents(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, broadcast_bytes: int = 256 << 20) -> DataFrame:
-    """Score every document by the model of those that aren't held out; see the module and ``_RESULT``."""
+def score_documents(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, broadcast_bytes: int = 128 << 20, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: all texts by the model of those not held out."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), modulus, remainder).alias("held"), F.col("text").cast("string").alias("text"))
-    shards = shard_count(docs)
-    train = docs.where(~F.col("held"))
-    built = cut(train.select("text").mapInArrow(_count_task(shards), _COUNTED).groupBy("shard").applyInArrow(_build_shard, _SHARD))
-    totals = built.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum(F.length("bits"))).first()
-    n, v, size = (int(x or 0) for x in totals)
-    n_docs = train.count()
-
-    def heads(batches):
-        for batch in batches:
-            for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(counts, np.int64)
-                top = counts * HEAD >= max(n, 2 * HEAD)
-                yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(words, U)[top].tobytes()]), pa.array([counts[top].tobytes()])], names=["words", "counts"])
-
-    tops = built.orderBy("shard").select("words", "counts").mapInArrow(heads, "words binary, counts binary").collect()
-    order = np.argsort(words := np.frombuffer(b"".join(x[0] for x in tops), U))
-    head = spark.sparkContext.broadcast((words[order].tobytes(), np.frombuffer(b"".join(x[1] for x in tops), np.int64)[order].tobytes()))
-
-    sizes = {r[0]: r[1] for r in built.select("shard", F.length("bits")).collect()}
-    groups: list[list[int]] = [[]]
-    for s, b in sorted(sizes.items()):
-        if groups[-1] and sum(sizes[x] for x in groups[-1]) + b > broadcast_bytes:
-            groups.append([])
-        groups[-1].append(s)
-    parts = []
-    for k, group in enumerate(groups):
-        held = {r[0]: bytes(r[1]) for r in built.where(F.col("shard").isin(group)).select("shard", "bits").collect()}
-        f = spark.sparkContext.broadcast(Filter(held, shards))
-        del held
-        parts.append(docs.select("doc_id", "held", "text").mapInArrow(_score_task(f, head, shards, n, v, n_docs, k if len(groups) > 1 else None), _EMITTED))
-        if len(groups) > 1:
-            parts[-1] = cut(parts[-1])
-            f.destroy()
-    emitted = parts[0]
-    for part in parts[1:]:
-        emitted = emitted.unionByName(part)
-    answered = emitted.groupBy("shard").cogroup(built.select("shard", "words", "counts").groupBy("shard")).applyInArrow(_answer, _EMITTED)
-    return answered.groupBy("batch").applyInArrow(_finish(n, v, n_docs), _RESULT)
+    counted = docs.where(~F.col("held")).select("text").mapInArrow(_count_task(), _COUNTED)
+    bigrams = cut(counted.groupBy("hist", "key").agg(F.sum("n").alias("n")))
+    words = cut(bigrams.groupBy("hist").agg(F.sum("n").alias("c"), F.count("*").alias("kinds")))
+    start = F.col("hist") == int(START.view(np.int64))
+    totals = words.agg(F.sum("c"), F.count("*"), F.sum("kinds"), F.sum(F.when(start, F.col("c")))).first()
+    n, v, kinds, n_docs = (int(x or 0) for x in totals)  # a start stands for the end, which is no history
+
+    word = F.when(start, F.lit(int(END.view(np.int64)))).otherwise(F.col("hist")).alias("word")
+    tops = words.where(F.col("c") * HEAD >= max(n, 2 * HEAD)).select(word, "c").toArrow()
+    head = tops["word"].to_numpy().view(U), tops["c"].to_numpy().astype(np.int64)
+    order = np.argsort(head[0])
+    head = spark.sparkContext.broadcast(tuple(x[order].tobytes() for x in head))
+
+    shards = max(1, -(-(kinds + 2 * v) // SHARD_KEYS))
+    entries = [x.select(*c).mapInArrow(_entries(c, shards), _ENTRIES) for x, c in ((bigrams, ["key", "n"]), (words, ["hist", "c", "kinds"]))]
+    built = cut(entries[0].unionByName(entries[1]).groupBy("shard").applyInArrow(_build_shard(bits_per_entry), _SHARD))
+    if (built.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes:
+        f = spark.sparkContext.broadcast(Filter({r[0]: bytes(r[1]) for r in built.collect()}, shards))
+        scored = docs.mapInArrow(_score_task(f, head, n, v, n_docs), _SCORED)
+    else:
+        asked = cut(docs.mapInArrow(_ask_task(shards), _ASKED))
+        passing = asked.where("key is not null").select("chunk", "shard", "key", F.lit(None).cast("binary").alias("bits"))
+        passing = passing.unionByName(built.select(F.lit(None).cast("long").alias("chunk"), "shard", F.lit(None).cast("long").alias("key"), "bits"))
+        passing = passing.repartition("shard").sortWithinPartitions("shard", F.col("bits").isNull())
+        answers = passing.mapInArrow(_answer, "chunk long, key long, level int")
+        scored = asked.where("key is null").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish_chunk(head, n, v, n_docs), _SCORED)
+    scored = cut(scored)
+    rest = scored.where("word is not null").select("row", "word", "times").join(words.select(word, "c"), "word")
+    rest = rest.groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
+    out = scored.where("word is null").drop("word", "times").join(rest, "row", "left")
+    known, base = (F.col(a) + F.coalesce(b, F.lit(0)) for a, b in (("n_known", "times"), ("base_score", "logs")))
+    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
