@@ -5,12 +5,13 @@ A bigram model with Witten-Bell smoothing. Counts are quantised to levels, level
 for (n-gram, 1), (n-gram, 2), ... until the first miss; the last hit is the level, so errors only raise counts and
 fall off geometrically. Word and bigram hashes have 64 bits.
 
-Scale. Tasks count bigrams by some million tokens and send a row a distinct bigram; the table of bigrams, and from it
-that of words (their counts, and the kinds of words that follow), are plain aggregations, so a hot word costs one row a
-distinct follower and task. The filter is built in hash shards of about ``SHARD_KEYS`` keys, so their number grows with
-the keys and none grows. It is broadcast if it has at most ``broadcast_bytes``. A larger one stays where it is: each
-chunk of texts sends its distinct probes to their shards, where they stream past the shard's bits, and the levels come
-back to the chunk; the corpus is read once and the probes grow in proportion to it.
+Scale. Tasks count bigrams by some million tokens and send them as sorted blobs to hash shards (a row for each shard
+that a chunk has bigrams of, so never more rows than bigrams). Shards are dealt by the hash of the whole bigram, so a hot
+word is spread over all of them, and their number grows with the training text: ``SHARD_BYTES`` of it for each, so none
+grows. What shards know of words (counts, and the kinds of words that follow) is summed by a plain aggregation, and the
+words' part of the filter built in shards of its own. The filter is broadcast if it has at most ``broadcast_bytes``. A
+larger one stays where it is: each chunk of texts sends its distinct probes to their shards, where they stream past the
+shard's bits, and the levels come back to the chunk; the corpus is read once and the probes grow in proportion to it.
 Exact unigram counts (for ``base_score``) come from a head table, the words that make up more than 1 / 2**20 of all
 tokens, which therefore has at most 2**20 entries; of all other words a document sends a row each to a join.
 
@@ -34,7 +35,8 @@ U = np.uint64
 BASE = 1.5
 BITS_PER_ENTRY, PROBES = 10, 4
 HEAD = 1 << 20
-SHARD_KEYS = 1 << 20  # of one shard of the filter
+SHARD_BYTES, SHARD_WORDS = 24 << 20, 1 << 20  # of training text for a shard of bigrams; words of one of words
+SLICE = 1 << 16  # words in a row
 CHUNK = 4 << 20  # bytes of text that send their probes together, where the filter is not broadcast
 END, START = U(0x5EED0E4D0F7EC57), U(0x0057A47C0DE0F5E9)
 _UNI, _TYPES = U(0x11D0BEEF5A17), U(0x77C0FFEE1234)
@@ -70,16 +72,15 @@ class Filter:
     """Some or all shards of the filter. A key whose shard is elsewhere has level 0."""
 
     def __init__(self, parts: dict[int, bytes], shards: int):
-        self.shards, self.data = shards, np.frombuffer(b"".join(parts[k] for k in sorted(parts)) or b"\0", np.uint8)
+        self.data = np.frombuffer(b"".join(parts[k] for k in sorted(parts)) or b"\0", np.uint8)
         self.size, self.at = np.zeros(shards, U), np.zeros(shards, U)
         at = 0
         for k in sorted(parts):
             self.size[k], self.at[k] = len(parts[k]) * 8, at * 8
             at += len(parts[k])
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The levels of keys, whose high bits name the shard."""
-        shard = tk.bucket(keys, self.shards)
+    def levels(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """The levels of keys, each in its shard."""
         out = np.zeros(len(keys), np.uint8)
         live = np.flatnonzero(self.size[shard] > 0)
         keys, size, at = keys[live], self.size[shard[live]], self.at[shard[live]]
@@ -116,11 +117,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-_COUNTED = "hist long, key long, n long"
+_COUNTED = "shard int, key binary, hist binary, n binary"
 
 
-def _count_task(flush: int = 1 << 21):
-    """Bigrams of about ``flush`` tokens: their history, key and count."""
+def _count_task(shards: int, flush: int = 1 << 22):
+    """The distinct bigrams of about ``flush`` tokens by shard: key, history, count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -131,16 +132,17 @@ def _count_task(flush: int = 1 << 21):
             order = np.argsort(key)
             key, hist = key[order], hist[order]
             at = np.flatnonzero(tk.first_of_runs(key))
-            n = np.diff(np.append(at, len(key)))
+            n = np.diff(np.append(at, len(key))).astype(np.uint32)
             key, hist = key[at], hist[at]
-            for lo in range(0, len(at), 1 << 17):
-                part = slice(lo, lo + (1 << 17))
-                yield pa.RecordBatch.from_arrays([_signed(hist[part]), _signed(key[part]), pa.array(n[part])], names=["hist", "key", "n"])
+            cuts = tk.split(key, shards)
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                cells = [pa.array([x[cuts[i] : cuts[i + 1]].tobytes()], pa.binary()) for x in (key, hist, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *cells], names=["shard", "key", "hist", "n"])
 
         for batch in batches:
             for *_, data, offsets in text_chunks(batch):
                 t, before, _ = _bigrams(*tk.words(data, offsets, fold=True))
-                held.append((before, tk.pair(before, t)))
+                held.append((before, tk.mix(tk.pair(before, t))))
                 if sum(len(x) for x, _ in held) >= flush:
                     yield from out()
         if held:
@@ -149,31 +151,45 @@ def _count_task(flush: int = 1 << 21):
     return run
 
 
-_ENTRIES = "shard int, key long, level int"
+_BUILT = "shard int, bits binary, words array<struct<hist: long, c: long, kinds: long>>"
 
 
-def _entries(columns: list[str], shards: int):
-    """Filter entries of bigrams (key, n), or of words (hist, c, kinds)."""
+def _build_shard(bits_per_entry: int):
+    """The filter of a shard's bigrams, and what it has of each history, in slices."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = batch.column(0).to_numpy().view(U)
-            counts = [batch.column(i).to_numpy() for i in range(1, len(columns))]
-            if len(columns) == 2:
-                keys, n = tk.mix(first), counts[0]
-            else:
-                word = np.where(first == START, END, first)  # a text has one start and one end
-                keys, n = np.concatenate([tk.mix(word ^ _UNI), tk.mix(first ^ _TYPES)]), np.concatenate(counts)
-            shard = tk.bucket(keys, shards)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), _signed(keys), pa.array(levels_of(n), pa.int32())], names=["shard", "key", "level"])
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        keys, hist, n = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("key", U), ("hist", U), ("n", np.uint32)))
+        order = np.argsort(keys)
+        at = np.flatnonzero(tk.first_of_runs(keys[order]))
+        n = np.add.reduceat(n[order], at, dtype=np.int64)
+        keys, hist = keys[order][at], hist[order][at]
+        del order
+        bits = build_filter(keys, levels_of(n), bits_per_entry)
+        order = np.argsort(hist)
+        at = np.flatnonzero(tk.first_of_runs(hist[order]))
+        words = pa.StructArray.from_arrays([_signed(hist[order][at]), pa.array(np.add.reduceat(n[order], at)), pa.array(np.diff(np.append(at, len(hist))))], ["hist", "c", "kinds"])
+        cuts = [0, *range(SLICE, len(at), SLICE), len(at)]
+        rows = len(cuts) - 1
+        return pa.table({"shard": pa.array([key[0].as_py()] * rows, pa.int32()), "bits": pa.array([bits.tobytes(), *[None] * (rows - 1)], pa.binary()), "words": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words)})
 
     return run
 
 
-_SHARD = "shard int, bits binary"
+def _word_entries(first: int, shards: int):
+    """Filter entries of words (hist, c, kinds), dealt to shards from ``first``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hist = batch.column(0).to_numpy().view(U)
+            word = np.where(hist == START, END, hist)  # a text has one start and one end
+            keys = np.concatenate([tk.mix(word ^ _UNI), tk.mix(hist ^ _TYPES)])
+            level = levels_of(np.concatenate([batch.column(1).to_numpy(), batch.column(2).to_numpy()]))
+            yield pa.RecordBatch.from_arrays([pa.array(first + tk.bucket(keys, shards), pa.int32()), _signed(keys), pa.array(level, pa.int32())], names=["shard", "key", "level"])
 
+    return run
 
-def _build_shard(bits_per_entry: int):
+
+def _build_words(bits_per_entry: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bits = build_filter(table["key"].to_numpy().view(U), table["level"].to_numpy(), bits_per_entry)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "bits": [bits.tobytes()]})
@@ -184,13 +200,14 @@ def _build_shard(bits_per_entry: int):
 def _probes(t: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct words, the word of each token, distinct bigrams, the bigram of each token."""
     types, of = np.unique(t, return_inverse=True)
-    key, which = np.unique(tk.pair(before, t), return_inverse=True)
+    key, which = np.unique(tk.mix(tk.pair(before, t)), return_inverse=True)
     return types, of, key, which
 
 
-def _keys(types: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The filter keys that a chunk asks for: words, what follows them, what follows a start, bigrams."""
-    return np.concatenate([tk.mix(types ^ _UNI), tk.mix(types ^ _TYPES), tk.mix(np.full(1, START ^ _TYPES)), tk.mix(key)])
+def _keys(types: np.ndarray, key: np.ndarray, shards: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The filter keys that a chunk asks for (words, what follows them, what follows a start, bigrams) and their shards."""
+    words = np.concatenate([tk.mix(types ^ _UNI), tk.mix(types ^ _TYPES), tk.mix(np.full(1, START ^ _TYPES))])
+    return np.concatenate([words, key]), np.concatenate([shards[0] + tk.bucket(words, shards[1]), tk.bucket(key, shards[0])])
 
 
 def _log_probability(answers: np.ndarray, types: int, of: np.ndarray, which: np.ndarray, first: np.ndarray, n: int, v: int, docs: int) -> np.ndarray:
@@ -206,10 +223,10 @@ def _log_probability(answers: np.ndarray, types: int, of: np.ndarray, which: np.
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long, times long"
 
 
-def _scored(number: int, ids: pa.Array, held: pa.Array, t, before, bounds, answer: Callable[[np.ndarray], np.ndarray], head, n: int, v: int, docs: int) -> pa.RecordBatch:
+def _scored(number: int, ids: pa.Array, held: pa.Array, t, before, bounds, answer: Callable[[np.ndarray, np.ndarray], np.ndarray], shards: tuple[int, int], head, n: int, v: int, docs: int) -> pa.RecordBatch:
     """A row a text (numbered from ``number``), with what the head table knows, and a row a text and other word."""
     types, of, key, which = _probes(t, before)
-    logs = _log_probability(answer(_keys(types, key)), len(types), of, which, before == START, n, v, docs)
+    logs = _log_probability(answer(*_keys(types, key, shards)), len(types), of, which, before == START, n, v, docs)
     words, counts = head
     place = np.minimum(np.searchsorted(words, types), max(0, len(words) - 1))
     known = words[place] == types if len(words) else np.zeros(len(types), bool)
@@ -229,7 +246,7 @@ def _scored(number: int, ids: pa.Array, held: pa.Array, t, before, bounds, answe
     return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SCORED.split(", ")])
 
 
-def _score_task(filter_, head_, n: int, v: int, docs: int):
+def _score_task(filter_, shards: tuple[int, int], head_, n: int, v: int, docs: int):
     """With the whole filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +255,7 @@ def _score_task(filter_, head_, n: int, v: int, docs: int):
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch):
                 t, before, bounds = _bigrams(*tk.words(data, offsets, fold=True))
-                yield _scored(number, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), t, before, bounds, filter_.value.levels, head, n, v, docs)
+                yield _scored(number, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), t, before, bounds, filter_.value.levels, shards, head, n, v, docs)
                 number += hi - lo
 
     return run
@@ -247,7 +264,7 @@ def _score_task(filter_, head_, n: int, v: int, docs: int):
 _ASKED = "chunk long, shard int, key long, ids array<long>, held array<boolean>, tokens array<long>, bounds array<int>"
 
 
-def _ask_task(shards: int):
+def _ask_task(shards: tuple[int, int]):
     """A row a chunk with its tokens, and a row a distinct key that it asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +273,16 @@ def _ask_task(shards: int):
             for lo, hi, data, offsets in text_chunks(batch, limit=CHUNK):
                 t, before, bounds = _bigrams(*tk.words(data, offsets, fold=True))
                 types, _, key, _ = _probes(t, before)
-                ask = np.unique(_keys(types, key))
+                ask, shard = _keys(types, key, shards)
+                ask, at = np.unique(ask, return_index=True)
+                shard = shard[at]
                 one = lambda x, kind: pa.array([x], pa.list_(kind))
                 row = [pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), one(batch.column(0).slice(lo, hi - lo), pa.int64()), one(batch.column(1).slice(lo, hi - lo), pa.bool_()), one(t.view(np.int64), pa.int64()), one(bounds, pa.int32())]
                 names = [x.split()[0] for x in _ASKED.split(", ")]
                 yield pa.RecordBatch.from_arrays(row, names=names)
                 for a in range(0, len(ask), 1 << 16):
                     part = ask[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(tk.bucket(part, shards), pa.int32()), _signed(part), *(pa.nulls(len(part), pa.list_(k)) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int32()))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(shard[a : a + (1 << 16)], pa.int32()), _signed(part), *(pa.nulls(len(part), pa.list_(k)) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int32()))], names=names)
                 number += hi - lo
 
     return run
@@ -281,13 +300,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ask = np.flatnonzero(np.asarray(part.column(2).is_valid()))
             if len(ask):
                 key = part.column(2).take(pa.array(ask)).to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ask)), pa.array(key), pa.array(f.levels(key.view(U)), pa.int32())], names=["chunk", "key", "level"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ask)), pa.array(key), pa.array(f.levels(key.view(U), np.zeros(len(key), np.int64)), pa.int32())], names=["chunk", "key", "level"])
             if hi < batch.num_rows:
                 f = Filter({0: bits[hi].as_py()}, 1)
             lo = hi
 
 
-def _finish_chunk(head_, n: int, v: int, docs: int):
+def _finish_chunk(shards: tuple[int, int], head_, n: int, v: int, docs: int):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         key, level = answers["key"].to_numpy().view(U), answers["level"].to_numpy()
         order = np.argsort(key)
@@ -299,7 +318,7 @@ def _finish_chunk(head_, n: int, v: int, docs: int):
         before[bounds[:-1]] = START
         head = [np.frombuffer(x, d) for x, d in zip(head_.value, (U, np.int64))]
         number = row["chunk"][0].as_py()
-        return pa.Table.from_batches([_scored(number, row["ids"].flatten(), row["held"].flatten(), t, before, bounds, lambda k: level[np.searchsorted(key, k)], head, n, v, docs)])
+        return pa.Table.from_batches([_scored(number, row["ids"].flatten(), row["held"].flatten(), t, before, bounds, lambda k, _: level[np.searchsorted(key, k)], shards, head, n, v, docs)])
 
     return run
 
@@ -314,12 +333,13 @@ def score_documents(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, br
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), modulus, remainder).alias("held"), F.col("text").cast("string").alias("text"))
-    counted = docs.where(~F.col("held")).select("text").mapInArrow(_count_task(), _COUNTED)
-    bigrams = cut(counted.groupBy("hist", "key").agg(F.sum("n").alias("n")))
-    words = cut(bigrams.groupBy("hist").agg(F.sum("n").alias("c"), F.count("*").alias("kinds")))
+    train = docs.where(~F.col("held"))
+    size, n_docs = (int(x or 0) for x in train.agg(F.sum(F.octet_length("text")), F.count("*")).first())
+    few = max(1, -(-size // SHARD_BYTES))
+    built = cut(train.select("text").mapInArrow(_count_task(few), _COUNTED).groupBy("shard").applyInArrow(_build_shard(bits_per_entry), _BUILT))
+    words = cut(built.select(F.inline("words")).groupBy("hist").agg(F.sum("c").alias("c"), F.sum("kinds").alias("kinds")))
+    n, v = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*")).first())  # a start stands for the end, which is no history
     start = F.col("hist") == int(START.view(np.int64))
-    totals = words.agg(F.sum("c"), F.count("*"), F.sum("kinds"), F.sum(F.when(start, F.col("c")))).first()
-    n, v, kinds, n_docs = (int(x or 0) for x in totals)  # a start stands for the end, which is no history
 
     word = F.when(start, F.lit(int(END.view(np.int64)))).otherwise(F.col("hist")).alias("word")
     tops = words.where(F.col("c") * HEAD >= max(n, 2 * HEAD)).select(word, "c").toArrow()
@@ -327,19 +347,19 @@ def score_documents(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, br
     order = np.argsort(head[0])
     head = spark.sparkContext.broadcast(tuple(x[order].tobytes() for x in head))
 
-    shards = max(1, -(-(kinds + 2 * v) // SHARD_KEYS))
-    entries = [x.select(*c).mapInArrow(_entries(c, shards), _ENTRIES) for x, c in ((bigrams, ["key", "n"]), (words, ["hist", "c", "kinds"]))]
-    built = cut(entries[0].unionByName(entries[1]).groupBy("shard").applyInArrow(_build_shard(bits_per_entry), _SHARD))
+    shards = few, max(1, -(-v // SHARD_WORDS))
+    entries = words.select("hist", "c", "kinds").mapInArrow(_word_entries(*shards), "shard int, key long, level int")
+    built = built.where("bits is not null").select("shard", "bits").unionByName(cut(entries.groupBy("shard").applyInArrow(_build_words(bits_per_entry), "shard int, bits binary")))
     if (built.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes:
-        f = spark.sparkContext.broadcast(Filter({r[0]: bytes(r[1]) for r in built.collect()}, shards))
-        scored = docs.mapInArrow(_score_task(f, head, n, v, n_docs), _SCORED)
+        f = spark.sparkContext.broadcast(Filter({r[0]: bytes(r[1]) for r in built.collect()}, sum(shards)))
+        scored = docs.mapInArrow(_score_task(f, shards, head, n, v, n_docs), _SCORED)
     else:
         asked = cut(docs.mapInArrow(_ask_task(shards), _ASKED))
         passing = asked.where("key is not null").select("chunk", "shard", "key", F.lit(None).cast("binary").alias("bits"))
         passing = passing.unionByName(built.select(F.lit(None).cast("long").alias("chunk"), "shard", F.lit(None).cast("long").alias("key"), "bits"))
         passing = passing.repartition("shard").sortWithinPartitions("shard", F.col("bits").isNull())
         answers = passing.mapInArrow(_answer, "chunk long, key long, level int")
-        scored = asked.where("key is null").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish_chunk(head, n, v, n_docs), _SCORED)
+        scored = asked.where("key is null").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish_chunk(shards, head, n, v, n_docs), _SCORED)
     scored = cut(scored)
     rest = scored.where("word is not null").select("row", "word", "times").join(words.select(word, "c"), "word")
     rest = rest.groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
