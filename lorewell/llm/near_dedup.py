@@ -4,16 +4,19 @@ A document's set is its distinct word shingles, as 64-bit hashes of one function
 Documents with equal sets form a class; classes link when the Jaccard similarity of their full sets reaches the bar.
 
 Candidates come from inverted lists of retained values. Sketches of sets at the bar share all but a few values (never
-fewer than ``K - PREFIX + 1``, but for a chance below 1e-6, also where one text is the other with a quarter added), so
-two such sketches share one of their ``PREFIX`` rarest values, and only these are listed: boilerplate that fills less
-than half of a document lists nothing. Sets of at most ``SMALL`` shingles are whole in their sketch and take the exact
-prefix.
+fewer than ``K - PREFIX + 1``, but for a chance of 3e-7, also where one text is the other with a quarter added), so two
+such sketches share one of their ``PREFIX`` rarest values, and only these are listed: boilerplate that fills less than
+half of a document lists nothing. Sets of at most ``SMALL`` shingles are whole in their sketch and take the exact prefix.
+A list is cut by size class (a class spans the ratio that the bar allows), and an entry stands in its own class and the
+next, so that two sets that may link meet. Entries carry ``BITS`` bits, one set by each retained value: two sketches share
+no more values than the bits they have in common and the values that fell on a bit already set, which drops nearly all
+pairs that met by chance before anything else of them is read.
 
 Two phases find all links without all pairs of a list. First every member meets its list's leader. Linked members form
 components; then only members outside a list's main component meet the members of other components, in blocks of at
-most ``BLOCK`` by ``BLOCK``, each pair in the first of the lists that both are in. A pair inside one component needs no
-further proof. In either phase the union sketch estimates the similarity (in blocks that of the ``LONG`` smallest, which
-is the whole set of shorter documents), and what passes is verified on the full sets.
+most ``BLOCK`` by ``BLOCK``. A pair inside one component needs no further proof. Pairs are verified on the full sets,
+which only documents that such a pair names give (found by a filter of bounded size, so no text is shuffled): the sketch
+of the union estimates the similarity first, and what passes is compared exactly.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words its set is empty and it links with
 nothing; rows with a null doc_id take no part (component null, kept); rows that share a doc_id count as one document
@@ -22,19 +25,20 @@ with several texts; repeated rows are answered each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lorewell.llm import tokens as tk
 from lorewell.llm.components import components
-from lorewell.llm.shared import cut, small_batches, text_chunks
+from lorewell.llm.shared import cut, id_filter, in_filter, small_batches, text_chunks
 
 K, PREFIX, SMALL, BLOCK = 64, 31, 50, 4096
-LONG = 256
-SLACK = {K: 0.29, LONG: 0.135}  # of the union sketch's estimate: at 0.8 a binomial share falls below with a chance of 8e-8 and 2.4e-7
+BITS = 256
+SLACK = 0.29  # of the union sketch's estimate: at 0.8 a binomial share falls below with a chance of 8e-8
 U = np.uint64
 
 
@@ -68,93 +72,71 @@ def _sketch(width: int):
                 keep = np.arange(len(s)) - np.repeat(bounds[:-1], n) < K
                 ends = np.concatenate([[0], np.cumsum(np.minimum(n, K))]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array((s[keep] ^ U(1 << 63)).view(np.int64)))  # keeps the order
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(np.diff(a).view(np.int64)), pa.array(np.diff(b).view(np.int64)), sketch], names=["doc_id", "n", "s1", "s2", "sketch"])
+                marks = np.zeros((hi - lo, BITS), bool)
+                marks[np.repeat(np.arange(hi - lo), np.diff(ends)), (s[keep] % U(BITS)).astype(np.int64)] = True
+                marks = np.packbits(marks, axis=1).view(np.int64)
+                arrays = [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(np.diff(a).view(np.int64)), pa.array(np.diff(b).view(np.int64)), sketch, *(pa.array(marks[:, i]) for i in range(marks.shape[1]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SKETCHED.split(", ")])
 
     return run
 
 
-_SKETCHED = "doc_id long, n long, s1 long, s2 long, sketch array<long>"
+_BITS = [f"b{i}" for i in range(BITS // 64)]
+_SKETCHED = "doc_id long, n long, s1 long, s2 long, sketch array<long>, " + ", ".join(f"{b} long" for b in _BITS)
 
 
-def _sets(width: int):
+def _sets(width: int, named):
+    """The full sets of the documents that the filter names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0)
+            batch = batch.filter(pa.array(in_filter(named.value, ids.fill_null(0).to_numpy()) & np.asarray(ids.is_valid())))
+            if not batch.num_rows:
+                continue
             for lo, hi, data, offsets in text_chunks(batch):
                 s, bounds = shingle_sets(data, offsets, width)
                 blobs = [s[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
-                longs = [(s[x : min(y, x + LONG)] >> U(32)).astype(np.uint32).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(blobs, pa.binary()), pa.array(longs, pa.binary())], names=["rep", "n", "shingles", "long"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["rep", "shingles"])
 
     return run
 
 
-def _rows(column: pa.Array) -> list[np.ndarray]:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
-    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+def _needed(n, m, percent: int, greater):
+    """The fewest values that two sketches of sets of n and m at the bar share (numbers, arrays or columns)."""
+    shared = (percent * (n + m) + 99 + percent) // (100 + percent) if not isinstance(n, Column) else F.ceil(percent * (n + m) / F.lit(100 + percent))
+    return shared - greater(n - K, 0) - greater(m - K, 0)
 
 
-def _may_link(x: np.ndarray, n: int, y: np.ndarray, m: int, bar: float, size: int = K) -> bool:
-    """Whether the union sketch lets two sets reach the bar."""
-    if min(n, m) < bar * max(n, m):
-        return False
+def _union_estimate(x: np.ndarray, y: np.ndarray) -> float:
+    """The share of the union's ``K`` smallest values that both sets hold."""
+    x, y = x[:K], y[:K]
     both = np.sort(np.concatenate([x, y]))
     twice = both[1:] == both[:-1]
-    if max(n, m) <= size:
-        shared = int(twice.sum())
-        return shared >= bar * (n + m - shared)
-    union = both[np.concatenate([[True], ~twice])][:size]
-    shared = int((both[:-1][twice] <= union[-1]).sum())
-    return shared >= (bar - SLACK[size]) * len(union)
-
+    union = both[np.concatenate([[True], ~twice])][:K]
+    return int((both[:-1][twice] <= union[-1]).sum()) / len(union)
 
-def _estimate(bar: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = _rows(batch.column(2)), _rows(batch.column(4))
-            n, m = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            keep = [_may_link(x[i], n[i], y[i], m[i], bar) for i in range(len(x))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
 
-
-def _shares(rows: list[np.ndarray]):
-    """A function that counts what a row shares with every row."""
-    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
-    owner = np.repeat(np.arange(len(rows)), np.diff(at))
-    _, code = np.unique(np.concatenate(rows), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    by, bounds = owner[order], np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
-
-    def of(i: int) -> np.ndarray:
-        return np.bincount(np.concatenate([by[:0], *(by[bounds[c] : bounds[c + 1]] for c in code[at[i] : at[i + 1]])]), minlength=len(rows))
-
-    return of
-
-
-def _block_pairs(bar: float):
+def _block_pairs(percent: int):
     """Pairs of a block of a list: members outside the main component with members of other components."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        v, c1, c2 = (x.as_py() for x in key)
+        c1, c2 = key[2].as_py(), key[3].as_py()
         rep, comp, n, chunk = (table[c].to_numpy() for c in ("rep", "comp", "n", "chunk"))
-        minor = table["comp"].to_numpy() != table["main"].to_numpy()
-        longs = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["long"]]
-        earlier, retained = _shares([x[x < v] for x in _rows(table["listed"])]), _shares([x[:K] for x in longs])
-        out = []
+        bits = np.stack([table[b].to_numpy() for b in _BITS], 1).view(U)
+        spare = np.minimum(n, K) - np.bitwise_count(bits).sum(1, dtype=np.int64)  # values on bits already set
+        minor = comp != table["main"].to_numpy()
+        out = [np.zeros((2, 0), np.int64)]
         for i in np.flatnonzero(minor):
-            fits = (comp != comp[i]) & (np.minimum(n, n[i]) >= bar * np.maximum(n, n[i])) & (~minor | (rep > rep[i]))
+            fits = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (~minor | (rep > rep[i]))
             fits &= (chunk != chunk[i]) if c1 != c2 else True
-            if fits.any():
-                fits &= earlier(i) == 0  # others meet in the list of a smaller value
-            if fits.any():
-                fits &= (np.minimum(n, n[i]) < K) | (retained(i) > K - PREFIX)
-            for j in np.flatnonzero(fits):
-                if _may_link(longs[i], n[i], longs[j], n[j], bar, LONG):
-                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            j = np.flatnonzero(fits)
+            common = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
+            least = np.where(np.minimum(n[j], n[i]) > K, K - PREFIX + 1, _needed(n[j], n[i], percent, np.maximum))
+            j = j[common >= least - np.minimum(spare[j], spare[i])]
+            out.append(np.stack([np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])]))
+        a, b = np.concatenate(out, 1)
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -165,61 +147,65 @@ def _verify(percent: int):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                shared = len(x) + len(y) - len(np.union1d(x, y))
+                shared = -1
+                if len(x) and len(y) and _union_estimate(x, y) >= percent / 100 - SLACK * (max(len(x), len(y)) > K):
+                    shared = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b), a written table, that the full sets confirm. Only sets that a pair names are dealt out."""
-    named = lambda side: sets.join(pairs.select(F.col(side).alias("rep")).distinct(), "rep", "left_semi")
-    one = named("a").select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    two = named("b").select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
+def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, that the full sets confirm."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    named = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    sets = cut(docs.mapInArrow(_sets(width, named), "rep long, shingles binary"))
+    one, two = (sets.select(F.col("rep").alias(r), F.col("shingles").alias(s)) for r, s in (("a", "x"), ("b", "y")))
+    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (the least doc_id with the same set), component_id, kept."""
     small_batches(docs.sparkSession)
-    bar = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(docs.mapInArrow(_sketch(width), _SKETCHED))
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut(classes)
+    own = [F.first(c).alias(c) for c in ("n", "sketch", *_BITS)]
+    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *own))
 
     values = classes.select("rep", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     met = values.join(often, "v").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
     prefix = F.when(F.col("n") <= SMALL, F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).otherwise(F.least(F.lit(PREFIX), F.col("m"))).cast("int")
-    listed = met.join(classes.select("rep", "n", F.least("n", F.lit(K)).cast("int").alias("m")), "rep")
+    listed = met.join(classes.select("rep", "n", F.least("n", F.lit(K)).cast("int").alias("m"), *_BITS), "rep")
     alone = F.col("m") - F.size("vs")  # values that no other class retains come first in the order of rarity
-    lists = listed.select("rep", "n", F.explode(F.slice("vs", F.lit(1), F.greatest(prefix - alone, F.lit(0)))).alias("x")).select("rep", "n", "x.v", "x.f")
+    # a ratio a little beyond the bar's, so that rounding never parts two sizes at the bar by two classes
+    class_ = F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9))) if percent < 100 else F.col("n")
+    lists = listed.select("rep", "n", *_BITS, class_.alias("class"), F.explode(F.slice("vs.v", F.lit(1), F.greatest(prefix - alone, F.lit(0)))).alias("v"))
     lists = cut(lists)
 
-    involved = lists.select("rep").distinct()
-    with_text = docs.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi")
-    sets = cut(with_text.mapInArrow(_sets(width), "rep long, n long, shingles binary, long binary"))
-
-    leaders = lists.groupBy("v").agg(F.min("rep").alias("a"))
-    star = lists.join(leaders, "v").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    own = classes.select("rep", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"), "n")  # the high halves keep the order
-    full = star.join(own.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx")), "a").join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny")), "b")
-    links = _links(cut(full.select("a", "b", "x", "nx", "y", "ny").mapInArrow(_estimate(bar), "a long, b long")), sets, percent)
+    entries = lists.withColumn("size", F.explode(F.array("class", F.col("class") + 1)))
+    lead = F.struct("rep", "n", *_BITS)
+    leaders = entries.groupBy("v", "size").agg(F.min(lead).alias("l"), F.count("*").alias("members")).where("members > 1")
+    met = entries.join(leaders, ["v", "size"]).where("rep <> l.rep")
+    n, m = F.col("n"), F.col("l.n")
+    count = lambda bits: sum((F.bit_count(b) for b in bits), F.lit(0))
+    spare = F.least(F.least(n, F.lit(K)) - count(map(F.col, _BITS)), F.least(m, F.lit(K)) - count(F.col(f"l.{b}") for b in _BITS))
+    least = F.when(F.least(n, m) > K, F.lit(K - PREFIX + 1)).otherwise(_needed(n, m, percent, lambda x, y: F.greatest(x, F.lit(y))))
+    common = count(F.col(b).bitwiseAND(F.col(f"l.{b}")) for b in _BITS)
+    star = met.where((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (common >= least - spare))
+    links = _links(cut(star.select(F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct()), docs, width, percent)
     label = components(links)
 
-    placed = lists.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep"))
-    mains = placed.groupBy("v").agg(F.mode("comp").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    listed = lists.groupBy("rep", "n").agg(F.collect_list("v").alias("listed"))
-    open_ = placed.join(mains, "v").join(listed, ["rep", "n"]).join(sets.select("rep", "n", "long"), ["rep", "n"]).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = entries.drop("class").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+    mains = placed.groupBy("v", "size").agg(F.mode("comp").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    open_ = placed.join(mains.drop("lo", "hi"), ["v", "size"]).withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members")
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other"))
-    more = dealt.select("v", "c1", "c2", "rep", "n", "comp", "main", "chunk", "listed", "long").groupBy("v", "c1", "c2").applyInArrow(_block_pairs(bar), "a long, b long").distinct()
-    more = cut(more)
+    dealt = dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other")).drop("chunks", "other")
+    more = cut(dealt.groupBy("v", "size", "c1", "c2").applyInArrow(_block_pairs(percent), "a long, b long").distinct())
     if not more.isEmpty():
-        links = links.unionByName(_links(more, sets, percent)).distinct()
+        links = links.unionByName(_links(more, docs, width, percent)).distinct()
         label = components(links)
     ids = classes.select("s1", "s2", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(ids, ["s1", "s2"], "left")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lorewell.llm.tokens import mix
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
@@ -75,3 +78,26 @@ def small_batches(spark: SparkSession) -> None:
     """Arrow batches that stay small for long texts: a batch ends at either bound."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def _filter_words(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    return run
+
+
+def id_filter(ids: DataFrame, most: int = 1 << 25) -> np.ndarray:
+    """Bits (a power of two, at most ``most``: 4 MB) by the hashes of the ids in the first column. More ids pass more others, never fewer."""
+    bits = 1 << min(most.bit_length() - 1, max(10, int(16 * ids.count()).bit_length()))
+    words = ids.select(F.col(ids.columns[0]).cast("long")).mapInArrow(_filter_words(bits), "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = mix(np.ascontiguousarray(ids).view(np.uint64)) & np.uint64((len(bits) << 6) - 1)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
