@@ -12,8 +12,8 @@ grows. What shards know of words (counts, and the kinds of words that follow) is
 words' part of the filter built in shards of its own. The filter is broadcast if it has at most ``broadcast_bytes``. A
 larger one stays where it is: each chunk of texts sends its distinct probes to their shards, where they stream past the
 shard's bits, and the levels come back to the chunk; the corpus is read once and the probes grow in proportion to it.
-Exact unigram counts (for ``base_score``) come from a head table, the words that make up more than 1 / 2**20 of all
-tokens, which therefore has at most 2**20 entries; of all other words a document sends a row each to a join.
+Exact unigram counts (for ``base_score``) come from a head table, the most frequent words, at most ``HEAD``; of all other
+words a document sends a row each to a join.
 
 Defined cases: null and empty texts have the end token only; repeated rows are scored each; a null doc_id is never
 held out; other columns are ignored; without training documents all counts are 0.
@@ -34,7 +34,7 @@ from lorewell.llm.shared import cut, small_batches, text_chunks
 U = np.uint64
 BASE = 1.5
 BITS_PER_ENTRY, PROBES = 10, 4
-HEAD = 1 << 20
+HEAD, LEAST_HEAD = 1 << 20, 1 << 12  # words in the head table at most; counts told apart where its last is sought
 SHARD_BYTES, SHARD_WORDS = 24 << 20, 1 << 20  # of training text for a shard of bigrams; words of one of words
 SLICE = 1 << 16  # words in a row
 CHUNK = 4 << 20  # bytes of text that send their probes together, where the filter is not broadcast
@@ -124,28 +124,32 @@ def _count_task(shards: int, flush: int = 1 << 22):
     """The distinct bigrams of about ``flush`` tokens by shard: key, history, count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        keys, hists, size = np.empty(flush, U), np.empty(flush, U), 0
 
         def out():
-            hist, key = (np.concatenate(x) for x in zip(*held))
-            held.clear()
+            key = keys[:size]
             order = np.argsort(key)
-            key, hist = key[order], hist[order]
-            at = np.flatnonzero(tk.first_of_runs(key))
-            n = np.diff(np.append(at, len(key))).astype(np.uint32)
-            key, hist = key[at], hist[at]
-            cuts = tk.split(key, shards)
+            cuts = np.searchsorted(tk.bucket(key[order], shards), np.arange(shards + 1))
             for i in np.flatnonzero(np.diff(cuts)).tolist():
-                cells = [pa.array([x[cuts[i] : cuts[i + 1]].tobytes()], pa.binary()) for x in (key, hist, n)]
+                some = order[cuts[i] : cuts[i + 1]]
+                own = key[some]
+                at = np.flatnonzero(tk.first_of_runs(own))
+                n = np.diff(np.append(at, len(own))).astype(np.uint32)
+                cells = [pa.array([x.tobytes()], pa.binary()) for x in (own[at], hists[some[at]], n)]
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *cells], names=["shard", "key", "hist", "n"])
 
         for batch in batches:
             for *_, data, offsets in text_chunks(batch):
                 t, before, _ = _bigrams(*tk.words(data, offsets, fold=True))
-                held.append((before, tk.mix(tk.pair(before, t))))
-                if sum(len(x) for x, _ in held) >= flush:
-                    yield from out()
-        if held:
+                for lo in range(0, len(t), flush // 4):
+                    part = slice(lo, min(len(t), lo + flush // 4))
+                    n = part.stop - lo
+                    if size + n > flush:
+                        yield from out()
+                        size = 0
+                    keys[size : size + n], hists[size : size + n] = tk.mix(tk.pair(before[part], t[part])), before[part]
+                    size += n
+        if size:
             yield from out()
 
     return run
@@ -253,7 +257,7 @@ def _score_task(filter_, shards: tuple[int, int], head_, n: int, v: int, docs: i
         number = TaskContext.get().partitionId() << 40
         head = [np.frombuffer(x, d) for x, d in zip(head_.value, (U, np.int64))]
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch):
+            for lo, hi, data, offsets in text_chunks(batch, limit=2 << 20):
                 t, before, bounds = _bigrams(*tk.words(data, offsets, fold=True))
                 yield _scored(number, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), t, before, bounds, filter_.value.levels, shards, head, n, v, docs)
                 number += hi - lo
@@ -342,7 +346,14 @@ def score_documents(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, br
     start = F.col("hist") == int(START.view(np.int64))
 
     word = F.when(start, F.lit(int(END.view(np.int64)))).otherwise(F.col("hist")).alias("word")
-    tops = words.where(F.col("c") * HEAD >= max(n, 2 * HEAD)).select(word, "c").toArrow()
+    often = words.groupBy(F.least("c", F.lit(LEAST_HEAD)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
+    met, least = 0, max(LEAST_HEAD, n // HEAD + 1)  # words of a count above N / HEAD are fewer than HEAD
+    for r in often:
+        met += r.n
+        if met > HEAD:
+            break
+        least = r.c
+    tops = words.where(F.col("c") >= least).select(word, "c").toArrow()
     head = tops["word"].to_numpy().view(U), tops["c"].to_numpy().astype(np.int64)
     order = np.argsort(head[0])
     head = spark.sparkContext.broadcast(tuple(x[order].tobytes() for x in head))
