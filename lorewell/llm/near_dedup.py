@@ -7,16 +7,18 @@ Candidates come from inverted lists of retained values. Sketches of sets at the
 fewer than ``K - PREFIX + 1``, but for a chance of 3e-7, also where one text is the other with a quarter added), so two
 such sketches share one of their ``PREFIX`` rarest values, and only these are listed: boilerplate that fills less than
 half of a document lists nothing. Sets of at most ``SMALL`` shingles are whole in their sketch and take the exact prefix.
-A list is cut by size class (a class spans the ratio that the bar allows), and an entry stands in its own class and the
-next, so that two sets that may link meet. Entries carry ``BITS`` bits, one set by each retained value: two sketches share
-no more values than the bits they have in common and the values that fell on a bit already set, which drops nearly all
-pairs that met by chance before anything else of them is read.
-
-Two phases find all links without all pairs of a list. First every member meets its list's leader. Linked members form
-components; then only members outside a list's main component meet the members of other components, in blocks of at
-most ``BLOCK`` by ``BLOCK``. A pair inside one component needs no further proof. Pairs are verified on the full sets,
-which only documents that such a pair names give (found by a filter of bounded size, so no text is shuffled): the sketch
-of the union estimates the similarity first, and what passes is compared exactly.
+Entries carry ``BITS`` bits, one set by each retained value: two sketches share no more values than the bits they have in
+common and the values that fell on a bit already set, which drops nearly all pairs that met by chance before anything
+else of them is read. Lists of values that at most ``FEW`` classes retain give all their pairs that pass. A longer list is
+cut by size class (a class spans the ratio that the bar allows), and an entry stands in its own class and as a guest in
+the next, so that two sets that may link meet; there every member meets the leader.
+
+Links are found in three steps, so that a group of copies never gives all its pairs. First each document is verified
+against the smallest that it met; linked documents form components. Then pairs met so far whose components differ are
+verified. Last, in long lists, members outside the list's main component meet the members of other components, in blocks
+of at most ``BLOCK`` by ``BLOCK``. Pairs are verified on the full sets, which only documents that such a pair names give
+(found by a filter of bounded size, so no text is shuffled): the sketch of the union estimates the similarity first, and
+what passes is compared exactly.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words its set is empty and it links with
 nothing; rows with a null doc_id take no part (component null, kept); rows that share a doc_id count as one document
@@ -36,7 +38,7 @@ from lorewell.llm import tokens as tk
 from lorewell.llm.components import components
 from lorewell.llm.shared import cut, id_filter, in_filter, small_batches, text_chunks
 
-K, PREFIX, SMALL, BLOCK = 64, 31, 50, 4096
+K, PREFIX, SMALL, FEW, BLOCK = 64, 31, 50, 24, 4096
 BITS = 256
 SLACK = 0.29  # of the union sketch's estimate: at 0.8 a binomial share falls below with a chance of 8e-8
 U = np.uint64
@@ -108,6 +110,17 @@ def _needed(n, m, percent: int, greater):
     return shared - greater(n - K, 0) - greater(m - K, 0)
 
 
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and bits of two entries (prefixes of their columns) let them reach the bar."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    bits = lambda of: [F.col(f"{of}{b}") for b in _BITS]
+    count = lambda some: sum((F.bit_count(b) for b in some), F.lit(0))
+    spare = F.least(F.least(n, F.lit(K)) - count(bits(x)), F.least(m, F.lit(K)) - count(bits(y)))
+    least = F.when(F.least(n, m) > K, F.lit(K - PREFIX + 1)).otherwise(_needed(n, m, percent, lambda a, b: F.greatest(a, F.lit(b))))
+    common = count(a.bitwiseAND(b) for a, b in zip(bits(x), bits(y)))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (common >= least - spare)
+
+
 def _union_estimate(x: np.ndarray, y: np.ndarray) -> float:
     """The share of the union's ``K`` smallest values that both sets hold."""
     x, y = x[:K], y[:K]
@@ -122,13 +135,14 @@ def _block_pairs(percent: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         c1, c2 = key[2].as_py(), key[3].as_py()
-        rep, comp, n, chunk = (table[c].to_numpy() for c in ("rep", "comp", "n", "chunk"))
+        rep, comp, n, chunk, guest = (table[c].to_numpy() for c in ("rep", "comp", "n", "chunk", "guest"))
         bits = np.stack([table[b].to_numpy() for b in _BITS], 1).view(U)
         spare = np.minimum(n, K) - np.bitwise_count(bits).sum(1, dtype=np.int64)  # values on bits already set
         minor = comp != table["main"].to_numpy()
         out = [np.zeros((2, 0), np.int64)]
         for i in np.flatnonzero(minor):
             fits = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (~minor | (rep > rep[i]))
+            fits &= ~guest | ~guest[i]  # two guests meet in their own class
             fits &= (chunk != chunk[i]) if c1 != c2 else True
             j = np.flatnonzero(fits)
             common = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
@@ -158,13 +172,20 @@ def _verify(percent: int):
 
 def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b), a written table, that the full sets confirm."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     named = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
     sets = cut(docs.mapInArrow(_sets(width, named), "rep long, shingles binary"))
     one, two = (sets.select(F.col("rep").alias(r), F.col("shingles").alias(s)) for r, s in (("a", "x"), ("b", "y")))
     return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct())
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose components differ."""
+    of = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (the least doc_id with the same set), component_id, kept."""
     small_batches(docs.sparkSession)
@@ -181,29 +202,34 @@ def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> Da
     alone = F.col("m") - F.size("vs")  # values that no other class retains come first in the order of rarity
     # a ratio a little beyond the bar's, so that rounding never parts two sizes at the bar by two classes
     class_ = F.floor(F.log("n") / math.log(100 / percent * (1 + 1e-9))) if percent < 100 else F.col("n")
-    lists = listed.select("rep", "n", *_BITS, class_.alias("class"), F.explode(F.slice("vs.v", F.lit(1), F.greatest(prefix - alone, F.lit(0)))).alias("v"))
-    lists = cut(lists)
-
-    entries = lists.withColumn("size", F.explode(F.array("class", F.col("class") + 1)))
-    lead = F.struct("rep", "n", *_BITS)
+    lists = listed.select("rep", "n", *_BITS, class_.alias("class"), F.explode(F.slice("vs", F.lit(1), F.greatest(prefix - alone, F.lit(0)))).alias("x"))
+    lists = cut(lists.select("rep", "n", *_BITS, "class", "x.v", (F.col("x.f") <= FEW).alias("few")))
+
+    few = lists.where("few").select("v", "rep", "n", *_BITS)
+    met = few.join(few.toDF("v", *(f"o_{c}" for c in few.columns[1:])), "v").where((F.col("rep") < F.col("o_rep")) & _may_link("", "o_", percent))
+    cells = F.array(F.struct(F.col("class").alias("size"), F.lit(False).alias("guest")), F.struct((F.col("class") + 1).alias("size"), F.lit(True).alias("guest")))
+    entries = lists.where("not few").select("v", F.explode(cells).alias("cell"), "rep", "n", *_BITS).select("v", "cell.size", "cell.guest", "rep", "n", *_BITS)
+    lead = F.when(~F.col("guest"), F.struct("rep", "n", *_BITS))
     leaders = entries.groupBy("v", "size").agg(F.min(lead).alias("l"), F.count("*").alias("members")).where("members > 1")
-    met = entries.join(leaders, ["v", "size"]).where("rep <> l.rep")
-    n, m = F.col("n"), F.col("l.n")
-    count = lambda bits: sum((F.bit_count(b) for b in bits), F.lit(0))
-    spare = F.least(F.least(n, F.lit(K)) - count(map(F.col, _BITS)), F.least(m, F.lit(K)) - count(F.col(f"l.{b}") for b in _BITS))
-    least = F.when(F.least(n, m) > K, F.lit(K - PREFIX + 1)).otherwise(_needed(n, m, percent, lambda x, y: F.greatest(x, F.lit(y))))
-    common = count(F.col(b).bitwiseAND(F.col(f"l.{b}")) for b in _BITS)
-    star = met.where((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (common >= least - spare))
-    links = _links(cut(star.select(F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct()), docs, width, percent)
+    star = entries.join(leaders, ["v", "size"]).where("rep <> l.rep").where(_may_link("", "l.", percent))
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = cut(met.select(*ordered("rep", "o_rep")).unionByName(star.select(*ordered("rep", "l.rep"))).distinct())
+
+    links = _links(cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), docs, width, percent)
     label = components(links)
+    more = cut(_apart(pairs, label))
+    if not more.isEmpty():
+        links = cut(links.unionByName(_links(more, docs, width, percent)).distinct())
+        label = components(links)
 
-    placed = entries.drop("class").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+    placed = entries.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
     mains = placed.groupBy("v", "size").agg(F.mode("comp").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
     open_ = placed.join(mains.drop("lo", "hi"), ["v", "size"]).withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members")
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other")).drop("chunks", "other")
-    more = cut(dealt.groupBy("v", "size", "c1", "c2").applyInArrow(_block_pairs(percent), "a long, b long").distinct())
+    more = dealt.groupBy("v", "size", "c1", "c2").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
+    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(_links(more, docs, width, percent)).distinct()
         label = components(links)
