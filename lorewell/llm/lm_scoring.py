@@ -71,13 +71,18 @@ def build_filter(keys: np.ndarray, levels: np.ndarray, bits_per_entry: int = BIT
 class Filter:
     """Some or all shards of the filter. A key whose shard is elsewhere has level 0."""
 
-    def __init__(self, parts: dict[int, bytes], shards: int):
-        self.data = np.frombuffer(b"".join(parts[k] for k in sorted(parts)) or b"\0", np.uint8)
+    def __init__(self, sizes: dict[int, int], shards: int):
+        """sizes: the bytes of each shard here."""
+        self.data = np.zeros(max(1, sum(sizes.values())), np.uint8)
         self.size, self.at = np.zeros(shards, U), np.zeros(shards, U)
         at = 0
-        for k in sorted(parts):
-            self.size[k], self.at[k] = len(parts[k]) * 8, at * 8
-            at += len(parts[k])
+        for k in sorted(sizes):
+            self.size[k], self.at[k] = sizes[k] * 8, at * 8
+            at += sizes[k]
+
+    def fill(self, shard: int, bits: bytes) -> None:
+        at = int(self.at[shard]) // 8
+        self.data[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
 
     def levels(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """The levels of keys, each in its shard."""
@@ -306,7 +311,9 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = part.column(2).take(pa.array(ask)).to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ask)), pa.array(key), pa.array(f.levels(key.view(U), np.zeros(len(key), np.int64)), pa.int32())], names=["chunk", "key", "level"])
             if hi < batch.num_rows:
-                f = Filter({0: bits[hi].as_py()}, 1)
+                own = bits[hi].as_py()
+                f = Filter({0: len(own)}, 1)
+                f.fill(0, own)
             lo = hi
 
 
@@ -361,8 +368,12 @@ def score_documents(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, br
     shards = few, max(1, -(-v // SHARD_WORDS))
     entries = words.select("hist", "c", "kinds").mapInArrow(_word_entries(*shards), "shard int, key long, level int")
     built = built.where("bits is not null").select("shard", "bits").unionByName(cut(entries.groupBy("shard").applyInArrow(_build_words(bits_per_entry), "shard int, bits binary")))
-    if (built.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes:
-        f = spark.sparkContext.broadcast(Filter({r[0]: bytes(r[1]) for r in built.collect()}, sum(shards)))
+    sizes = built.agg(F.sum(F.length("bits"))).first()[0] or 0
+    if sizes <= broadcast_bytes:
+        f = Filter({r[0]: r[1] for r in built.select("shard", F.length("bits")).collect()}, sum(shards))
+        for r in built.toLocalIterator():
+            f.fill(r.shard, r.bits)
+        f = spark.sparkContext.broadcast(f)
         scored = docs.mapInArrow(_score_task(f, shards, head, n, v, n_docs), _SCORED)
     else:
         asked = cut(docs.mapInArrow(_ask_task(shards), _ASKED))
