@@ -80,3 +80,8 @@ def budget_of(text: pd.Series) -> pd.Series:
 def chunks(basename: Column, body: Column, most: int = 48) -> Column:
     """Title first, then passages, at most ``most``."""
     return F.concat(F.array(basename), F.slice(passages_of(body), 1, most - 1))
+
+
+def n_dropped(body: Column, most: int = 48) -> Column:
+    """How many passages ``chunks`` leaves out. What the reference does above the cap is unknown; this is counted, not hidden."""
+    return F.greatest(F.size(passages_of(body)) - (most - 1), F.lit(0))

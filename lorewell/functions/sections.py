@@ -112,6 +112,11 @@ def chunks(basename: Column, body: Column, *, most: int = 48, heading_context: b
     return F.concat(F.array(title), F.slice(made, 1, most - 1))
 
 
+def n_dropped(basename: Column, body: Column, *, most: int = 48) -> Column:
+    """How many passages ``chunks`` leaves out."""
+    return F.greatest(F.size(_without_context(basename, body)) - (most - 1), F.lit(0))
+
+
 def ideas(parts: list[str], section: list[int]) -> list[int]:
     """The idea of each chunk: 0 for the title, then 1, 2, ... in runs.
 

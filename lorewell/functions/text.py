@@ -7,19 +7,23 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-#: Passes over Markdown in their order: pattern, replacement. Java syntax.
+#: White space as Unicode has it, line ends included.
+_BLANK = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+_IN_LINE = _BLANK.replace("\\n", "")
+_LINE_START = "(?<![^\\n\\r\\u2028\\u2029])"
+#: The passes over Markdown in their order, each a pattern (Java syntax) and its replacement.
 _CLEAN = [
-    (r"\A---\r?\n[\s\S]*?\r?\n---[ \t]*\r?\n?", ""),  # frontmatter
-    (r"(?s)```.*?```|~~~.*?~~~", " "),  # fenced code
-    (r"`[^`\n]*`", " "),  # inline code
+    (r"\A---\n[\s\S]*?\n---\n?", "\n"),  # frontmatter
+    (r"```[\s\S]*?```", "\n"),  # fenced code
+    (r"`[^`]*`", " "),  # inline code
     (r"!\[\[[^\]]*\]\]", " "),  # embeds
     (r"!\[[^\]]*\]\([^)]*\)", " "),  # images
-    (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"),  # wikilink with alias
-    (r"\[\[([^\]]*)\]\]", "$1"),  # wikilink
+    (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"),  # wikilink with alias
+    (r"\[\[([^\]]+)\]\]", "$1"),  # wikilink
     (r"\[([^\]]*)\]\([^)]*\)", "$1"),  # link
-    (r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d+\.[ \t]+)", ""),  # line prefixes
-    (r"[*_~]+", ""),
-    (r"<[^>\n]+>", " "),
+    (rf"{_LINE_START}[{_BLANK}]{{0,3}}(#{{1,6}}|>|[-*+]|\d+\.)[{_BLANK}]+", ""),  # line prefixes
+    (r"[*_~]", ""),
+    (r"<[^>]+>", " "),
 ]
 
 
@@ -30,10 +34,10 @@ def clean_markdown(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Single blanks within lines, no blanks at line ends, at most one empty line."""
+    """Single blanks within lines, no white space at line ends, at most one empty line, none around."""
     text = F.regexp_replace(text, r"[ \t\f\x0B]+", " ")
-    text = F.regexp_replace(text, r"(?m) +$", "")
-    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"(?U)\A\s+|\s+\z", "")
+    text = F.regexp_replace(text, rf"[{_IN_LINE}]+(?=\n|\z)", "")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), rf"\A[{_BLANK}]+|[{_BLANK}]+\z", "")
 
 
 def paragraphs(text: Column) -> Column:
@@ -84,9 +88,14 @@ def inflect(s: Column) -> Column:
     )
 
 
-def wikilink(basename: Column, surface: Column) -> Column:
-    """[[base]] where only case differs, else [[base|surface]]."""
-    same = F.lower(basename) == F.lower(surface)
+def is_alias(basename: Column, surface: Column, ascii_only: bool = False) -> Column:
+    """Whether the surface is not the basename itself, both normalised."""
+    return normalize(basename, ascii_only) != normalize(surface, ascii_only)
+
+
+def wikilink(basename: Column, surface: Column, ascii_only: bool = False) -> Column:
+    """[[base]] for the basename itself, else [[base|surface]]."""
+    same = ~is_alias(basename, surface, ascii_only)
     return F.when(same, F.concat(F.lit("[["), basename, F.lit("]]"))).otherwise(F.concat(F.lit("[["), basename, F.lit("|"), surface, F.lit("]]")))
 
 
@@ -94,6 +103,17 @@ def safe_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r'[\\/:*?"<>|#^\[\]]', ""))
 
 
+def embed_input(text: Column, tags: Column, aliases: Column) -> Column:
+    """A note's text with its aliases and tags before it, each on a line of its own; where they go is this package's choice."""
+    line = lambda c: F.when(F.size(F.coalesce(c, F.array())) > 0, F.array_join(c, ", "))
+    return F.concat_ws("\n", line(aliases), line(tags), F.coalesce(text, F.lit("")))
+
+
+def badge(semantic: Column) -> Column:
+    """The percent of a context score, where it says anything."""
+    return F.when(semantic > 0.01, percent(semantic))
+
+
 def namespace(tag: Column) -> Column:
     """A tag's first part, lower-cased, without its mark."""
     return F.lower(F.regexp_extract(F.trim(tag), r"^#?([^/]*)", 1))

@@ -76,3 +76,8 @@ def centered(df: DataFrame, vector: str, out: str = "v") -> DataFrame:
     """The rows with their centred vector; the centroid is one row, which is broadcast."""
     c = centroid(df, vector)
     return df.crossJoin(F.broadcast(c)).withColumn(out, center(F.col(vector), F.col("centroid"))).drop("centroid")
+
+
+def median(x: Column) -> Column:
+    """The middle value of a group, or the mean of the middle two."""
+    return F.median(x)

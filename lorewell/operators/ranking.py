@@ -5,31 +5,81 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 4096
+BLOCK = 1024
+HELD = 1 << 21  # candidates that a task keeps before it hands them on
 
 
-def _block_scorer(block, k: int, floor: float | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_keys, q = block.value
+def _packed(items: DataFrame, keyed: bool) -> DataFrame:
+    """Blocks of at most ``BLOCK`` rows of one key: key, n, ids, v (binary)."""
+    kind = items.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch["v"].tolist(), float).reshape(len(batch), -1)
-            if not len(x) or x.shape[1] != q.shape[1]:
-                continue
-            ids, keys = batch["id"].to_numpy(), batch["key"].to_numpy()
-            scores = q @ x.T
-            allowed = (q_ids[:, None] != ids) & (q_keys[:, None] == keys)
+            ids, key, v = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            sizes = v.value_lengths().to_numpy()
+            codes = key.dictionary_encode().indices.fill_null(-1).to_numpy() if keyed else np.zeros(len(ids), np.int64)
+            edge = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (sizes[1:] != sizes[:-1])])) if len(ids) else []
+            for lo, hi in zip(edge, [*edge[1:], len(ids)]):
+                for at in range(lo, hi, BLOCK):
+                    part = slice(at, min(hi, at + BLOCK))
+                    x = v.slice(at, part.stop - at).flatten().to_numpy(zero_copy_only=False).astype(float)
+                    yield pa.RecordBatch.from_arrays([key.slice(at, 1), pa.array([part.stop - at], pa.int32()), pa.array([ids[part].astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["key", "n", "ids", "v"])
+
+    rows = items.repartition("key").sortWithinPartitions("key") if keyed else items
+    return rows.select("id", "key", "v").mapInArrow(run, f"key {kind}, n int, ids binary, v binary")
+
+
+def _grid(items: DataFrame, queries: DataFrame | None, keyed: bool) -> DataFrame:
+    """Each block of queries beside each block of items of its key: q_ids, q, ids, x."""
+    blocks = _packed(items, keyed)
+    asked = blocks if queries is None else _packed(items.join(queries.select("id"), "id", "left_semi"), keyed)
+    asked = asked.select(F.col("key").alias("q_key"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("v").alias("q"))
+    met = blocks.join(asked, F.col("key").eqNullSafe(F.col("q_key"))) if keyed else blocks.crossJoin(asked)
+    return met.select("q_ids", "q", "q_n", "ids", "v", "n")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Query ids, query vectors, ids, vectors and scores of each cell of a grid whose vectors have one length."""
+    for batch in batches:
+        for row in zip(*batch.columns):
+            q_ids, ids = (np.frombuffer(row[i].as_buffer(), np.int64) for i in (0, 3))
+            q, x = (np.frombuffer(row[i].as_buffer(), float).reshape(row[i + 1].as_py(), -1) for i in (1, 4))
+            x = x.reshape(row[5].as_py(), -1)
+            if q.shape[1] == x.shape[1]:
+                yield q_ids, q, ids, x, q @ x.T
+
+
+def _best(q: np.ndarray, n: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((n, -score, q))
+    q, n, score = q[order], n[order], score[order]
+    at = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    keep = np.arange(len(q)) - np.repeat(at, np.diff(np.append(at, len(q)))) < k
+    return q[keep], n[keep], score[keep]
+
+
+def _top_scanner(k: int, floor: float | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in _best(*map(np.concatenate, zip(*held)), k)], names=["q", "n", "score"])
+        size = 0
+        for q_ids, _, ids, _, scores in _cells(batches):
+            scores = np.where(q_ids[:, None] == ids, -np.inf, scores)
             if floor is not None:
-                allowed &= scores >= floor
-            scores = np.where(allowed, scores, -np.inf)
-            for i in range(len(q)):
-                n = min(k, int(allowed[i].sum()))
-                if n:
-                    cut = np.partition(scores[i], -n)[-n]
-                    some = np.flatnonzero(scores[i] >= cut)  # all that tie
-                    yield pd.DataFrame({"q": q_ids[i], "n": ids[some], "score": scores[i][some]})
+                scores[scores < floor] = -np.inf
+            cut = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+            i, j = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))  # all that tie
+            held.append((q_ids[i], ids[j], scores[i, j]))
+            size += len(i)
+            if size > HELD:
+                kept = _best(*map(np.concatenate, zip(*held)), k)
+                held, size = [kept], len(kept[0])
+                if size > HELD // 2:
+                    yield out()
+                    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        yield out()
 
     return run
 
@@ -43,37 +93,20 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
 def nearest(items: DataFrame, k: int, *, key: Column | None = None, floor: float | None = None, queries: DataFrame | None = None) -> DataFrame:
     """items: id, v (unit vectors) -> q, n, score, rank: the k nearest others of each query, of equal ``key`` if given.
 
-    Queries are taken in blocks of at most ``BLOCK`` rows, each broadcast to one scan of the items and scored by
-    matrix products; a task keeps k rows a query, so the shuffle is small.
+    Rows are packed into blocks of one key, and each block of queries meets each block of items as a row of a grid, which
+    Spark deals to tasks (the smaller side is broadcast only if Spark finds it small); a cell is one matrix product, and
+    a task hands on the k best of each query that it met, so that the shuffle is small and nothing runs on the driver.
     """
-    spark = items.sparkSession
     items = items.select("id", "v", (F.lit(0) if key is None else key).alias("key")).where(F.col("v").isNotNull())
-    asked = items if queries is None else items.join(queries.select("id"), "id", "left_semi")
-    blocks = -(-max(1, asked.count()) // (BLOCK * 3 // 4))
-    found = None
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        block = spark.sparkContext.broadcast((np.array([r.id for r in rows]), np.array([r.key for r in rows]), np.array([r.v for r in rows], float)))
-        part = items.mapInPandas(_block_scorer(block, k, floor), "q long, n long, score double")
-        found = part if found is None else found.unionByName(part)
-    return ranked(spark.createDataFrame([], "q long, n long, score double") if found is None else found, k)
-
-
-def _pair_scanner(block, floor: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q = block.value
-        for batch in batches:
-            x = np.array(batch["v"].tolist(), float).reshape(len(batch), -1)
-            if not len(x) or x.shape[1] != q.shape[1]:
-                continue
-            ids = batch["id"].to_numpy()
-            for lo in range(0, len(x), 512):
-                scores = q @ x[lo : lo + 512].T
-                i, j = np.nonzero((scores >= floor) & (q_ids[:, None] < ids[lo : lo + 512]))
-                if len(i):
-                    yield pd.DataFrame({"a": q_ids[i], "b": ids[lo + j], "score": scores[i, j]})
+    grid = _grid(items, queries, key is not None)
+    return ranked(grid.mapInArrow(_top_scanner(k, floor), "q long, n long, score double"), k)
+
+
+def _pair_scanner(floor: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q_ids, _, ids, _, scores in _cells(batches):
+            i, j = np.nonzero((scores >= floor) & (q_ids[:, None] < ids))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(scores[i, j])], names=["a", "b", "score"])
 
     return run
 
@@ -81,21 +114,14 @@ def _pair_scanner(block, floor: float):
 def pairs_above(items: DataFrame, floor: float) -> DataFrame:
     """items: id, v (unit vectors) -> a, b (a < b), score: every pair that scores ``floor`` or more, however many a vector has.
 
-    Copies of a vector form a class and only its least id is scanned, in the blocks of ``nearest``; the pairs of classes
+    Copies of a vector form a class and only its least id is scanned, in the grid of ``nearest``; the pairs of classes
     are expanded to those of their members at the end.
     """
-    spark = items.sparkSession
     items = items.select("id", "v").where(F.col("v").isNotNull()).persist()
     classes = items.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("size")).persist()
     members = items.join(classes, "v").select("rep", "id")
-    reps = classes.select(F.col("rep").alias("id"), "v")
-    blocks = -(-max(1, reps.count()) // (BLOCK * 3 // 4))
-    found = spark.createDataFrame([], "a long, b long, score double")
-    for b in range(blocks):
-        rows = reps.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        if rows:
-            block = spark.sparkContext.broadcast((np.array([r.id for r in rows]), np.array([r.v for r in rows], float)))
-            found = found.unionByName(reps.mapInPandas(_pair_scanner(block, floor), "a long, b long, score double"))
+    reps = classes.select(F.col("rep").alias("id"), "v", F.lit(0).alias("key"))
+    found = _grid(reps, None, False).mapInArrow(_pair_scanner(floor), "a long, b long, score double")
     one, two = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     across = found.join(one, "a").join(two, "b").select("x", "y", "score")
     same = classes.where("size > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.aggregate(F.transform("v", lambda t: t * t), F.lit(0.0), lambda s, t: s + t).alias("score"))
@@ -103,81 +129,76 @@ def pairs_above(items: DataFrame, floor: float) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
-def _rank_counter(block):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q, of, n, own = block.value
-        better = np.zeros(len(of), np.int64)
-        for batch in batches:
-            all_x, all_ids = np.array(batch["v"].tolist(), float).reshape(len(batch), -1), batch["id"].to_numpy()
-            if not len(all_x) or all_x.shape[1] != q.shape[1]:
-                continue
-            for lo in range(0, len(all_x), 256):
-                ids = all_ids[lo : lo + 256]
-                ahead = (q @ all_x[lo : lo + 256].T)[of] - own[:, None]
-                first = (ahead > 1e-12) | ((ahead >= -1e-12) & (ids < n[:, None]))  # copies tie, whatever the rounding
-                better += (first & (ids != q_ids[of][:, None]) & (ids != n[:, None])).sum(1)
-        yield pd.DataFrame({"q": q_ids[of], "n": n, "better": better})
-
-    return run
-
-
 def ranks_of(items: DataFrame, targets: DataFrame) -> DataFrame:
     """items: id, v (unit vectors); targets: q, n -> q, n, rank of each target among all others of q, ties to the smaller id.
 
-    Blocks of queries are broadcast to scans of the items as in ``nearest``; a task gives one count a target.
+    Each target's own score is found by joins; packed blocks of targets meet packed blocks of items in a grid as in
+    ``nearest``, and a cell gives one count a target.
     """
-    spark = items.sparkSession
     items = items.select("id", "v").where(F.col("v").isNotNull()).persist()
     wanted = targets.select("q", "n").where("q <> n").distinct()
-    wanted = wanted.join(items.select(F.col("id").alias("q"), F.col("v").alias("x")), "q").join(items.select(F.col("id").alias("n"), F.col("v").alias("y")), "n").persist()
-    blocks = -(-max(1, wanted.count()) // (BLOCK * 3 // 4))
-    found = spark.createDataFrame([], "q long, n long, better long")
-    for b in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        q = {r.q: r.x for r in rows}
-        at = {x: i for i, x in enumerate(q)}
-        own = np.array([np.dot(r.x, r.y) for r in rows])
-        block = spark.sparkContext.broadcast((np.array(list(q)), np.array(list(q.values()), float), np.array([at[r.q] for r in rows]), np.array([r.n for r in rows]), own))
-        found = found.unionByName(items.mapInPandas(_rank_counter(block), "q long, n long, better long"))
+    wanted = wanted.join(items.select(F.col("id").alias("q"), F.col("v").alias("x")), "q").join(items.select(F.col("id").alias("n"), F.col("v").alias("y")), "n")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                q, n = (part.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+                x, y = (part.column(i).flatten().to_numpy(zero_copy_only=False).reshape(len(q), -1) for i in (2, 3))
+                own = np.array([a @ b for a, b in zip(x, y)])
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (q, n, x.astype(float), own)], names=["q", "t", "x", "own"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns):
+                ids, q, n = (np.frombuffer(row[i].as_buffer(), np.int64) for i in (0, 3, 4))
+                v, x, own = (np.frombuffer(row[i].as_buffer(), float) for i in (1, 5, 6))
+                ahead = x.reshape(len(q), -1) @ v.reshape(len(ids), -1).T - own[:, None]
+                first = (ahead > 1e-12) | ((ahead >= -1e-12) & (ids < n[:, None]))  # copies tie, whatever the rounding
+                better = (first & (ids != q[:, None]) & (ids != n[:, None])).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n), pa.array(better)], names=["q", "n", "better"])
+
+    blocks = _packed(items.select("id", F.lit(0).alias("key"), "v"), False).select("ids", "v", "n")
+    asked = wanted.select("q", "n", "x", "y").mapInArrow(pack, "q binary, t binary, x binary, own binary")
+    found = blocks.crossJoin(asked).mapInArrow(count, "q long, n long, better long")
     return found.groupBy("q", "n").agg((F.sum("better") + 1).alias("rank"))
 
 
-def _stacked(ids, nos, vs, title_weight: float):
-    """Ids, chunk rows, their weights, and where each note's rows begin."""
-    sizes = [len(x) for x in nos]
-    return np.array(ids), np.array([v for note in vs for v in note], float), np.where(np.concatenate([np.asarray(x) for x in nos]) == 0, title_weight, 1.0), np.cumsum([0, *sizes[:-1]])
+def _notes(chunks: DataFrame) -> DataFrame:
+    """chunks: id, no, v -> id, nos, vs (flat): a note's chunk vectors in one row."""
+    rows = chunks.where(F.col("v").isNotNull()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", "v"))).alias("c"))
+    return rows.select("id", F.col("c.no").cast("array<int>").alias("nos"), F.flatten("c.v").alias("vs"))
+
 
+def _stacked(nos: pa.Array, vs: pa.Array, title_weight: float):
+    """Chunk rows of several notes, their weights, and where each note's rows begin."""
+    sizes = nos.value_lengths().to_numpy()
+    x = vs.flatten().to_numpy(zero_copy_only=False).reshape(int(sizes.sum()), -1)
+    return x, np.where(nos.flatten().to_numpy(zero_copy_only=False) == 0, title_weight, 1.0), np.cumsum(sizes) - sizes
+
+
+def bi_max_of_all(chunks: DataFrame, title_weight: float = 2.0) -> DataFrame:
+    """chunks: id, no, v of one length -> q, n, score: ``bi_max`` of every pair of notes, a matrix product for each two blocks of notes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                x, w, at = _stacked(part.column(1), part.column(2), title_weight)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (part.column(0).to_numpy().astype(np.int64), x.astype(float), w, at.astype(np.int64))], names=["ids", "x", "w", "at"])
 
-def _bi_max_scanner(block, title_weight: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q, qw, q_at = block.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                some = batch.iloc[lo : lo + 64]
-                ids, x, w, at = _stacked(some["id"], some["no"], some["v"], title_weight)
-                s = np.maximum(q @ x.T, 0)
+            for row in zip(*batch.columns):
+                (ids, x, w, at), (q_ids, q, qw, q_at) = ([np.frombuffer(row[i + j].as_buffer(), t) for j, t in enumerate((np.int64, float, float, np.int64))] for i in (0, 4))
+                s = np.maximum(q.reshape(len(qw), -1) @ x.reshape(len(w), -1).T, 0)
                 there = np.add.reduceat(np.maximum.reduceat(s, at, axis=1) * qw[:, None], q_at, axis=0) / np.add.reduceat(qw, q_at)[:, None]
                 back = np.add.reduceat(np.maximum.reduceat(s, q_at, axis=0) * w, at, axis=1) / np.add.reduceat(w, at)
                 i, j = np.nonzero(q_ids[:, None] != ids)
-                yield pd.DataFrame({"q": q_ids[i], "n": ids[j], "score": ((there + back) / 2)[i, j]})
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(((there + back) / 2)[i, j])], names=["q", "n", "score"])
 
-    return run
-
-
-def bi_max_of_all(chunks: DataFrame, title_weight: float = 2.0) -> DataFrame:
-    """chunks: id, no, v of one length -> q, n, score: ``bi_max`` of every pair of notes, by matrix products of blocks of notes."""
-    spark = chunks.sparkSession
-    notes = chunks.where(F.col("v").isNotNull()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", "v"))).alias("c")).select("id", F.col("c.no").alias("no"), F.col("c.v").alias("v")).persist()
-    blocks = -(-max(1, notes.count()) // 256)
-    found = spark.createDataFrame([], "q long, n long, score double")
-    for b in range(blocks):
-        rows = notes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        if rows:
-            block = spark.sparkContext.broadcast(_stacked([r.id for r in rows], [r.no for r in rows], [r.v for r in rows], title_weight))
-            found = found.unionByName(notes.mapInPandas(_bi_max_scanner(block, title_weight), "q long, n long, score double"))
-    return found
+    blocks = _notes(chunks).mapInArrow(pack, "ids binary, x binary, w binary, at binary")
+    return blocks.crossJoin(blocks.toDF("q_ids", "q", "qw", "q_at")).mapInArrow(score, "q long, n long, score double")
 
 
 def closest_by(items: DataFrame, buckets: int = 64) -> DataFrame:
@@ -200,31 +221,47 @@ def closest_by(items: DataFrame, buckets: int = 64) -> DataFrame:
     return joined.join(second, "x", "left").select(F.col("id").alias("q"), best.alias("b")).where("b IS NOT NULL").select("q", "b.n", (1 / (1 + F.col("b.d"))).alias("score"), F.lit(1).alias("rank"))
 
 
+def _directions(pairs: DataFrame, chunks: DataFrame, means: DataFrame | None, title_weight: float) -> DataFrame:
+    """q, n, there, back: both directions of each pair, from one matrix product of the two notes' chunks."""
+    notes = _notes(chunks)
+    if means is not None:
+        notes = notes.join(means.select("id", "mean"), "id", "left")
+    else:
+        notes = notes.withColumn("mean", F.lit(None).cast("array<double>"))
+    one, two = notes.toDF("q", "q_nos", "q_vs", "q_mean"), notes.toDF("n", "n_nos", "n_vs", "n_mean")
+
+    def side(best: np.ndarray, nos: np.ndarray) -> float:
+        w = np.where(nos == 0, title_weight, 1.0)
+        return float((w * np.maximum(best, 0)).sum() / w.sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there, back = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for i, (a_no, a_v, a_mean, b_no, b_v, b_mean) in enumerate(zip(*batch.columns[2:])):
+                a_no, b_no = (np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in (a_no, b_no))
+                a, b = (x.values.to_numpy(zero_copy_only=False).reshape(len(no), -1) for x, no in ((a_v, a_no), (b_v, b_no)))
+                if a.shape[1] != b.shape[1]:
+                    continue
+                s = a @ b.T
+                there[i], back[i] = side(s.max(1), a_no), side(s.max(0), b_no)
+                if len(a) == 1 and b_mean.is_valid:
+                    there[i] = max(0.0, float(a[0] @ b_mean.values.to_numpy(zero_copy_only=False)))
+                if len(b) == 1 and a_mean.is_valid:
+                    back[i] = max(0.0, float(b[0] @ a_mean.values.to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(there), pa.array(back)], names=["q", "n", "there", "back"])
+
+    kinds = dict(chunks.dtypes)["id"]
+    return pairs.select("q", "n").join(one, "q").join(two, "n").select("q", "n", "q_nos", "q_vs", "q_mean", "n_nos", "n_vs", "n_mean").mapInArrow(run, f"q {kinds}, n {kinds}, there double, back double")
+
+
 def max_sim(pairs: DataFrame, chunks: DataFrame, title_weight: float = 2.0) -> DataFrame:
     """pairs: q, n; chunks: id, no, v -> q, n, dir: the weighted mean over q's chunks of the best match in n, at least 0."""
-    from lorewell.functions.vectors import dot
-
-    a = chunks.select(F.col("id").alias("q"), F.col("no").alias("i"), F.col("v").alias("x"))
-    b = chunks.select(F.col("id").alias("n"), F.col("v").alias("y"))
-    best = pairs.select("q", "n").join(a, "q").join(b, "n").groupBy("q", "n", "i").agg(F.max(dot(F.col("x"), F.col("y"))).alias("m"))
-    w = F.when(F.col("i") == 0, F.lit(title_weight)).otherwise(F.lit(1.0))
-    return best.groupBy("q", "n").agg((F.sum(w * F.greatest(F.col("m"), F.lit(0.0))) / F.sum(w)).alias("dir"))
+    return _directions(pairs, chunks, None, title_weight).select("q", "n", F.col("there").alias("dir"))
 
 
 def bi_max(pairs: DataFrame, chunks: DataFrame, means: DataFrame | None = None, title_weight: float = 2.0) -> DataFrame:
     """q, n, score: the mean of both directions. With ``means`` (id, mean) a note of one chunk meets the other's mean."""
-    from lorewell.functions.vectors import dot
-
-    both = pairs.select("q", "n").unionByName(pairs.select(F.col("n").alias("q"), F.col("q").alias("n"))).distinct()
-    one_way = max_sim(both, chunks, title_weight)
-    if means is not None:
-        sizes = chunks.groupBy("id").agg(F.count("*").alias("c"), F.min_by("v", "no").alias("title"))
-        own = sizes.where("c = 1").select(F.col("id").alias("q"), "title")
-        other = means.select(F.col("id").alias("n"), "mean")
-        single = both.join(own, "q").join(other, "n").select("q", "n", F.greatest(dot(F.col("title"), F.col("mean")), F.lit(0.0)).alias("one"))
-        one_way = one_way.join(single, ["q", "n"], "left").withColumn("dir", F.coalesce("one", "dir")).drop("one")
-    back = one_way.select(F.col("n").alias("q"), F.col("q").alias("n"), F.col("dir").alias("rev"))
-    return pairs.select("q", "n").join(one_way, ["q", "n"]).join(back, ["q", "n"]).select("q", "n", ((F.col("dir") + F.col("rev")) / 2).alias("score"))
+    return _directions(pairs, chunks, means, title_weight).select("q", "n", ((F.col("there") + F.col("back")) / 2).alias("score"))
 
 
 def blend_ideas(scores: DataFrame, ideas: DataFrame, weight: float) -> DataFrame:
@@ -252,8 +289,26 @@ def best_passage(query: list[float], chunks: DataFrame, k: int) -> DataFrame:
     return scored.groupBy("id").agg(F.max("score").alias("score"), F.max_by("no", "score").alias("no")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def evaluate(rank: DataFrame, targets: DataFrame, at: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """rank: q, n, rank; targets: q, n (repeats count) -> recall at each depth and the mean reciprocal rank."""
-    met = targets.where("q <> n").join(rank, ["q", "n"], "left")
+def by_keywords(queries: DataFrame, docs: DataFrame, k: int, least_letters: int = 4) -> DataFrame:
+    """queries: q, text; docs: n, text -> q, n, score, rank: documents by the share of a query's distinct words that they hold.
+
+    The stand-in for notes without a vector; the formula is this package's choice. Words join by hash; Spark broadcasts the queries' words only if they are few.
+    """
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[^\p{L}]+"), lambda w: F.length(w) >= least_letters)))
+    asked, held = queries.select("q", words("text").alias("w")), docs.select("n", words("text").alias("w"))
+    sizes = asked.groupBy("q").agg(F.count("*").alias("size"))
+    both = held.join(asked, "w").groupBy("q", "n").agg(F.count("*").alias("hits")).join(sizes, "q")
+    return ranked(both.select("q", "n", (F.col("hits") / F.col("size")).alias("score")), k)
+
+
+def evaluate(rank: DataFrame, targets: DataFrame, at: tuple[int, ...] = (5, 10, 20), known: DataFrame | None = None) -> DataFrame:
+    """rank: q, n, rank; targets: q, n (repeats count) -> recall at each depth and the mean reciprocal rank.
+
+    With ``known`` (id) targets that are no note leave the denominator, and notes left without a target are skipped.
+    """
+    targets = targets.where("q <> n")
+    if known is not None:
+        targets = targets.join(known.select(F.col("id").alias("n")), "n", "left_semi")
+    met = targets.join(rank, ["q", "n"], "left")
     by = met.groupBy("q").agg(*(F.avg((F.coalesce("rank", F.lit(1 << 30)) <= d).cast("double")).alias(f"r{d}") for d in at), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"))
     return by.agg(*(F.avg(f"r{d}").alias(f"recall_{d}") for d in at), F.avg("rr").alias("mrr"), F.count("*").alias("n_queries"))

@@ -21,17 +21,31 @@ class Options:
     exclude_folders: tuple[str, ...] = ()
     isolated_areas: tuple[str, ...] = ()
     model_id: str = "hash-64"
+    chunking: bool = True
+    device: str = "auto"
+    index_speed: str = "balanced"
+    exclude_folders_links: tuple[str, ...] = ()
 
     @property
     def shortlist(self) -> int:
         return max(4 * self.top_k, self.shortlist_size)
 
-    def fingerprint(self) -> tuple:
-        """What forces vectors to be made anew when it changes."""
-        return (self.model_id, self.max_chunks, self.show_summary, self.heading_context)
+    @property
+    def link_excluded(self) -> tuple[str, ...]:
+        """Folders whose notes are never linked: those outside the index, and those excluded from links alone."""
+        return self.exclude_folders + self.exclude_folders_links
+
+    def engine(self) -> tuple:
+        """What needs another embedder when it changes."""
+        return (self.model_id, self.device, self.index_speed)
+
+    def shape(self) -> tuple:
+        """What makes other chunks when it changes."""
+        return (self.chunking, self.max_chunks, self.show_summary, self.heading_context)
 
-    def needs_rebuild(self, other: Options) -> bool:
-        return self.fingerprint() != other.fingerprint()
+    def rebuild(self, other: Options) -> str | None:
+        """What a change to ``other`` asks for: ``engine`` (a new one, notes are reused by mtime), ``force`` (the same, all notes anew) or None."""
+        return "engine" if self.engine() != other.engine() else "force" if self.shape() != other.shape() else None
 
 
 #: Fixed values of the three presets.

@@ -53,6 +53,44 @@ na AS (SELECT DISTINCT lower(trim(s)) AS surface, path FROM (SELECT 'parts/' ||
 va AS (SELECT DISTINCT {_INFLECT} AS surface, path FROM na),
 su AS (SELECT surface, path, true AS exact FROM na UNION ALL SELECT surface, path, false FROM va WHERE length(surface) >= 3 AND surface NOT IN (SELECT surface FROM na))"""
 
+_BLANK = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def _passes(text: str, *passes: tuple[str, str]) -> str:
+    for pattern, to in passes:
+        text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
+    return text
+
+
+def _cleaned(text: str) -> str:
+    """Markdown cleaned and stripped, in RE2's syntax."""
+    text = _passes(
+        text,
+        (r"^---\n[\s\S]*?\n---\n?", "chr(10)"), (r"```[\s\S]*?```", "chr(10)"), (r"`[^`]*`", "' '"), (r"!\[\[[^\]]*\]\]", "' '"), (r"!\[[^\]]*\]\([^)]*\)", "' '"),
+        (r"\[\[([^\]|]+)\|([^\]]+)\]\]", r"'\2'"), (r"\[\[([^\]]+)\]\]", r"'\1'"), (r"\[([^\]]*)\]\([^)]*\)", r"'\1'"),
+        (rf"(?m)^[{_BLANK}]{{0,3}}(#{{1,6}}|>|[-*+]|\d+\.)[{_BLANK}]+", "''"), (r"[*_~]", "''"), (r"<[^>]+>", "' '"),
+    )
+    inner = _BLANK.replace(r"\n", "")
+    return _passes(text, (r"[ \t\f\x0B]+", "' '"), (rf"(?m)[{inner}]+$", "''"), (r"\n{3,}", "chr(10) || chr(10)"), (rf"^[{_BLANK}]+", "''"), (rf"[{_BLANK}]+$", "''"))
+
+
+_ALL_PAIRS = "ap AS (SELECT a.id AS q, b.id AS n FROM mean a JOIN mean b ON a.id <> b.id)"
+
+
+def _evaluated(scored: str) -> str:
+    """Recall and reciprocal ranks over scored (q, n, s) pairs of all notes."""
+    return f"""rk AS (SELECT q, n, row_number() OVER (PARTITION BY q ORDER BY s DESC, n) AS rank FROM {scored}),
+        b AS (SELECT src, avg((rank <= 5)::INT) AS r5, avg((rank <= 10)::INT) AS r10, avg((rank <= 20)::INT) AS r20, 1.0 / min(rank) AS rr
+            FROM li JOIN rk ON rk.q = src AND rk.n = dst GROUP BY src)
+        SELECT round(avg(r5), 6) AS recall_5, round(avg(r10), 6) AS recall_10, round(avg(r20), 6) AS recall_20, round(avg(rr)::DOUBLE, 6) AS mrr, count(*) AS n_queries FROM b"""
+
+
+_BENCH_WORDS = "bw AS (SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) >= 8)"
+_PLACES = """
+dt AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z]', ' ', 'g'), ' ') AS p FROM documents),
+dw AS (SELECT doc_id, unnest(p) AS word, unnest(range(1, len(p) + 1)) AS i FROM dt),
+pl AS (SELECT doc_id, word, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(word) - 1 AS start FROM dw)"""
+
 SQL: dict[str, str] = {
     "centroid": f"WITH {_V} SELECT (p - 1)::INTEGER AS pos, round(c[p], 6) AS value FROM (SELECT c, unnest(range(1, len(c) + 1)) AS p FROM cen)",
     "centered_vectors": f"WITH {_V} SELECT id AS vec_id, (p - 1)::INTEGER AS pos, round(v[p], 6) AS value FROM (SELECT id, v, unnest(range(1, len(v) + 1)) AS p FROM v)",
@@ -65,9 +103,9 @@ SQL: dict[str, str] = {
         sc AS (SELECT sh.q, sh.n, (a.d + b.d) / 2 AS s FROM sh JOIN dir1 a ON a.q = sh.q AND a.n = sh.n JOIN dir1 b ON b.q = sh.n AND b.n = sh.q)
         SELECT q, n, round(s, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY s DESC, n)::INTEGER AS rank FROM sc
         QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, n) <= 12""",
-    "bimax_eval_variant": f"""WITH {_V}, s20 AS (SELECT q, n FROM sh WHERE rank <= 20), {_directed('ch', 2.0, 's20')}
-        SELECT s20.q, s20.n, round((a.d + b.d) / 2, 6) AS score FROM s20 JOIN dir a ON a.q = s20.q AND a.n = s20.n JOIN dir b ON b.q = s20.n AND b.n = s20.q""",
-    "idea_similarity": f"""WITH {_V}, s10 AS (SELECT q, n FROM sh WHERE rank <= 10), {_directed('ch', 2.0, 's10')}, {_SINGLE},
+    "bimax_eval_variant": f"""WITH {_V}, {_ALL_PAIRS}, {_directed('ch', 2.0, 'ap')}
+        SELECT a.q, a.n, round((a.d + b.d) / 2, 6) AS score FROM dir a JOIN dir b ON b.q = a.n AND b.n = a.q""",
+    "idea_similarity": f"""WITH {_V}, s10 AS (SELECT q, n FROM sh), {_directed('ch', 2.0, 's10')}, {_SINGLE},
         i0 AS (SELECT id, no // 5 AS no, p, avg(c) AS a FROM (SELECT id, no, unnest(v) AS c, unnest(range(0, len(v))) AS p FROM ch) GROUP BY 1, 2, 3),
         idea AS (SELECT id, no, list(a / n ORDER BY p) AS v FROM i0 JOIN (SELECT id, no, sqrt(sum(a * a)) AS n FROM i0 GROUP BY 1, 2) USING (id, no) GROUP BY 1, 2),
         ib AS (SELECT q, n, x.no AS i, max(list_dot_product(x.v, y.v)) AS m FROM pr JOIN idea x ON x.id = q JOIN idea y ON y.id = n GROUP BY 1, 2, 3),
@@ -75,12 +113,11 @@ SQL: dict[str, str] = {
         SELECT s10.q, s10.n, round(0.7 * (a.d + b.d) / 2 + 0.3 * (x.d + y.d) / 2, 6) AS score FROM s10
         JOIN dir1 a ON a.q = s10.q AND a.n = s10.n JOIN dir1 b ON b.q = s10.n AND b.n = s10.q
         JOIN idir x ON x.q = s10.q AND x.n = s10.n JOIN idir y ON y.q = s10.n AND y.n = s10.q""",
-    "structural_boost": f"""WITH {_V}, {_LINKS}, {_BOTH}
-        SELECT sh.q, sh.n, round(s + CASE WHEN bo.q IS NULL THEN 0 ELSE 0.15 END, 6) AS score FROM sh LEFT JOIN bo ON bo.q = sh.q AND bo.n = sh.n WHERE s >= 0.05""",
-    "recall_mrr": f"""WITH {_V}, {_LINKS},
-        b AS (SELECT li.src, avg((coalesce(rank, 999) <= 5)::INT) AS r5, avg((coalesce(rank, 999) <= 10)::INT) AS r10, avg((coalesce(rank, 999) <= 20)::INT) AS r20,
-            coalesce(1.0 / min(rank), 0) AS rr FROM li LEFT JOIN sh ON sh.q = li.src AND sh.n = li.dst GROUP BY li.src)
-        SELECT round(avg(r5), 6) AS recall_5, round(avg(r10), 6) AS recall_10, round(avg(r20), 6) AS recall_20, round(avg(rr)::DOUBLE, 6) AS mrr, count(*) AS n_queries FROM b""",
+    "structural_boost": f"""WITH {_V}, {_LINKS}, {_BOTH}, {_TAGS}, {_SHARED}, {_COCITE}
+        SELECT sh.q, sh.n, round(s + least(0.15, 0.15 * (CASE WHEN bo.q IS NULL THEN 0 ELSE 1 END + 0.25 * least(coalesce(n_shared, 0), 3) + CASE WHEN n_sources > 0 THEN 0.25 ELSE 0 END)), 6) AS score
+        FROM sh LEFT JOIN bo ON bo.q = sh.q AND bo.n = sh.n LEFT JOIN st ON st.a = least(sh.q, sh.n) AND st.b = greatest(sh.q, sh.n)
+        LEFT JOIN cc ON cc.a = least(sh.q, sh.n) AND cc.b = greatest(sh.q, sh.n) WHERE s >= 0.05""",
+    "recall_mrr": f"""WITH {_V}, {_LINKS}, sc AS (SELECT a.id AS q, b.id AS n, list_dot_product(a.v, b.v) AS s FROM mean a JOIN mean b ON a.id <> b.id), {_evaluated('sc')}""",
     "quantize_roundtrip": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
         s AS (SELECT *, CASE WHEN list_max(list_transform(x, lambda t: abs(t))) = 0 THEN 1 ELSE list_max(list_transform(x, lambda t: abs(t))) / 127 END AS scale FROM e),
         q AS (SELECT *, list_transform(x, lambda t: greatest(-127, least(127, floor(t / scale + 0.5)))::DOUBLE) AS q FROM s)
@@ -98,9 +135,10 @@ SQL: dict[str, str] = {
         WHERE NOT EXISTS (SELECT 1 FROM tg o WHERE o.id = nb.id AND o.tag = t.tag) GROUP BY nb.id, tag HAVING count(*) >= 3""",
     "suggested_pairs_unlinked": f"""WITH {_V}, {_LINKS}, {_BOTH}, p AS (SELECT least(q, n) AS a, greatest(q, n) AS b, max(s) AS s FROM sh GROUP BY 1, 2)
         SELECT a, b, round(s, 6) AS score FROM p WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.q = a AND bo.n = b) ORDER BY s DESC, a, b LIMIT 50""",
-    "orphans_with_closest": """WITH l AS (SELECT DISTINCT l_partkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity >= 45)
-        SELECT p_partkey AS id, l.id AS closest, CASE WHEN l.id IS NOT NULL THEN 1.0::DOUBLE END AS closest_score
-        FROM part LEFT JOIN l ON l.id + 1 = p_partkey WHERE p_partkey NOT IN (SELECT id FROM l)""",
+    "orphans_with_closest": """WITH l AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45),
+        o AS (SELECT a.p_partkey AS id, first(b.p_partkey ORDER BY abs(a.p_retailprice - b.p_retailprice), b.p_partkey) AS closest, min(abs(a.p_retailprice - b.p_retailprice)) AS d
+            FROM part a JOIN part b ON a.p_partkey <> b.p_partkey WHERE a.p_partkey NOT IN (SELECT id FROM l) GROUP BY 1)
+        SELECT id, closest, 1 / (1 + d) AS closest_score FROM o""",
     "co_citation": """WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)
         SELECT a.p AS a, b.p AS b, count(*) AS n_sources FROM e a JOIN e b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 2""",
     "shared_tags_overlap": f"WITH {_TAGS}, {_SHARED} SELECT * FROM st",
@@ -120,21 +158,19 @@ SQL: dict[str, str] = {
     "resolve_ambiguous": f"WITH {_SURFACES} SELECT surface, first(path ORDER BY length(path), path) AS path, count(DISTINCT path) > 1 AS ambiguous FROM su GROUP BY surface",
     "inflect_variants": f"WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS surface FROM documents) SELECT surface, {_INFLECT} AS variant FROM w",
     "mention_first_per_target": """WITH n AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) >= 8),
-        d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z]', ' ', 'g') || ' ' AS t FROM documents WHERE lang = 'en'),
+        d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z]', ' ', 'g') || ' ' AS t FROM documents),
         k AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(trim(t), ' +')) AS word FROM d)
         SELECT doc_id AS doc, (instr(t, ' ' || word || ' ') - 1)::INTEGER AS start, word AS surface FROM k JOIN n USING (word) JOIN d USING (doc_id)""",
     "wikilink_text": "SELECT p_partkey, '[[' || p_name || ']]' AS plain, '[[' || p_name || '|' || p_brand || ']]' AS aliased FROM part",
     "word_counts": r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::BIGINT AS n_words FROM documents",
-    "markdown_clean": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-            'Head' || chr(10) || 'quoted   alias Other label' || chr(10) || 'item  ' || chr(10) || t, '[ \t\f\v]+', ' ', 'g'), '(?m) +$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '') AS clean
-        FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(left(text, 200), '(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d+\.[ \t]+)', '', 'g'), '[*_~]+', '', 'g'), '<[^>\n]+>', ' ', 'g') AS t FROM documents)""",
-    "keyword_overlap_rank": """WITH i AS (SELECT DISTINCT item_id AS q, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark),
-        d AS (SELECT DISTINCT doc_id AS n, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents),
-        z AS (SELECT q, count(*) AS size FROM i WHERE length(w) >= 8 GROUP BY q),
-        s AS (SELECT q, n, count(*)::DOUBLE / any_value(size) AS s FROM i JOIN d USING (w) JOIN z USING (q) WHERE length(w) >= 8 GROUP BY q, n)
+    "markdown_clean": "SELECT doc_id, " + _cleaned("""'# Head' || chr(10) || '> *quoted* `code` [[Note|alias]] [[Other]] [label](http://x/y)' || chr(10) || '- **item** ![p](q)' || chr(10) || text""") + " AS clean FROM documents",
+    "keyword_overlap_rank": r"""WITH i AS (SELECT DISTINCT item_id AS q, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS w FROM benchmark),
+        d AS (SELECT DISTINCT doc_id AS n, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS w FROM documents),
+        z AS (SELECT q, count(*) AS size FROM i WHERE length(w) >= 4 GROUP BY q),
+        s AS (SELECT q, n, count(*)::DOUBLE / any_value(size) AS s FROM i JOIN d USING (w) JOIN z USING (q) WHERE length(w) >= 4 GROUP BY q, n)
         SELECT q, n, round(s, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY s DESC, n)::INTEGER AS rank FROM s
         QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, n) <= 10""",
-    "blend_fuzzy_semantic": """WITH c AS (SELECT p_partkey AS id, 1.0::DOUBLE / (1 + p_size) AS m, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice / 10000 END AS sem FROM part),
+    "blend_fuzzy_semantic": """WITH c AS (SELECT p_partkey AS id, 1.0::DOUBLE / (1 + levenshtein('wd', lower(p_name))) AS m, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice / 10000 END AS sem FROM part WHERE regexp_matches(lower(p_name), 'w.*d')),
         s AS (SELECT id, 0.6::DOUBLE * (m / max(m) OVER ()) + 0.4::DOUBLE * coalesce(sem, 0) AS s FROM c)
         SELECT id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, id)::INTEGER AS rank FROM s QUALIFY row_number() OVER (ORDER BY s DESC, id) <= 37""",
     "fuzzy_names": "SELECT p_partkey, p_name, -levenshtein('rdwt', lower(p_name))::DOUBLE AS raw FROM part WHERE regexp_matches(lower(p_name), 'r.*d.*w.*t')",
@@ -143,7 +179,7 @@ SQL: dict[str, str] = {
         b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM l QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) <= 8),
         p AS (SELECT q, score, rank, unnest(parts) AS concept, unnest([0, 1, 2]) AS pl FROM b WHERE score >= 0.45),
         f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY q, lower(concept) ORDER BY rank, pl) = 1),
-        k AS (SELECT * FROM f WHERE lower(concept) NOT IN (SELECT surface FROM su WHERE surface LIKE '%widget%') AND NOT (q = 1 AND lower(concept) = 'economy'))
+        k AS (SELECT * FROM f WHERE lower(concept) NOT IN (SELECT surface FROM su) AND NOT (q = 1 AND lower(concept) = 'economy'))
         SELECT q, concept, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY rank, pl)::INTEGER AS k FROM k QUALIFY row_number() OVER (PARTITION BY q ORDER BY rank, pl) <= 3""",
     "latest_per_key": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "session_coalesce": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -151,4 +187,54 @@ SQL: dict[str, str] = {
         SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, s""",
     "reuse_by_mtime": "SELECT user_id AS path, max(event_id) AS mtime FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'purchase'",
     "percent_pills": "SELECT vec_id, CASE WHEN label = 0 THEN '~' ELSE '' END || floor(embedding[1]::DOUBLE * 100 + 0.5)::BIGINT || '%' AS pill FROM embeddings",
+    "eval_windows": f"""WITH {_V}, {_LINKS}, {_ALL_PAIRS}, {_directed('ch', 2.0, 'ap')}, sc AS (SELECT a.q, a.n, (a.d + b.d) / 2 AS s FROM dir a JOIN dir b ON b.q = a.n AND b.n = a.q), {_evaluated('sc')}""",
+    "snippets": f"SELECT doc_id, nullif(left({_cleaned('text')}, 160), '') AS line FROM documents",
+    "topic_labels": r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE length(term) > 3 GROUP BY 1, 2),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        s AS (SELECT doc_id, term, round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df), 9) AS s FROM tf JOIN df USING (term)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, term) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, term) <= 5)
+        SELECT doc_id, string_agg(term, ' · ' ORDER BY rank) AS label FROM r GROUP BY doc_id""",
+    "hash_embed": r"SELECT doc_id, 64::INTEGER AS dims, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{L}\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents",
+    "linked_text": f"""WITH {_BENCH_WORDS}, na AS (SELECT DISTINCT word AS surface FROM bw),
+        su AS (SELECT surface, surface AS base FROM na UNION ALL SELECT * FROM (SELECT {_INFLECT} AS v, surface AS base FROM na) WHERE length(v) >= 3 AND v NOT IN (SELECT surface FROM na)),
+        un AS (SELECT surface, any_value(base) AS base FROM su GROUP BY surface HAVING count(DISTINCT base) = 1),
+        dt AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', ' ', 'g') AS t FROM documents),
+        dw AS (SELECT doc_id, unnest(string_split(t, ' ')) AS word FROM dt),
+        h AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN word = base THEN 4 ELSE 5 + length(base) END) AS more FROM dw JOIN un ON surface = word GROUP BY doc_id)
+        SELECT doc_id AS doc, coalesce(n, 0)::INTEGER AS n_links, (length(t) + coalesce(more, 0))::INTEGER AS n_chars FROM dt LEFT JOIN h USING (doc_id)""",
+    "later_mentions": f"""WITH {_BENCH_WORDS}, {_PLACES}
+        SELECT DISTINCT doc_id AS doc, start::INTEGER AS start, word AS surface FROM pl JOIN bw USING (word)
+        WHERE item_id = doc_id % (SELECT count(*) FROM benchmark) AND NOT (100 BETWEEN start AND start + length(word))""",
+    "linked_notes": """SELECT l_orderkey AS src, l_partkey || '.md' AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey || '.md')::INTEGER AS rank
+        FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_orderkey, l_partkey""",
+    "topic_gate": f"WITH {_V}, {_LINKS} SELECT src AS doc, dst AS path FROM li JOIN mean a ON a.id = src JOIN mean b ON b.id = dst WHERE list_dot_product(a.v, b.v) < 0",
+    "tag_alias_folding": "SELECT p_partkey, concat_ws(chr(10), CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) END, p_type || ', ' || p_brand, p_name) AS input FROM part",
+    "median_size": "SELECT p_brand, round(median(p_retailprice), 6) AS middle FROM part GROUP BY 1",
+    "report_exclusion": "SELECT 'parts/' || p_partkey AS path FROM part WHERE p_partkey <> 7",
+    "link_exclusion": "SELECT p_brand || '/' || p_type || '/' || p_partkey AS path FROM part WHERE p_brand <> 'Brand#1' AND NOT (p_brand = 'Brand#2' AND p_type = 'ECONOMY')",
+    "empty_query_pool": f"WITH {_USERS} SELECT id, 0.0::DOUBLE AS semantic FROM u ORDER BY mtime DESC, id LIMIT 80",
+    "typed_concepts": f"""WITH {_SURFACES}, t AS (SELECT c_custkey AS q, trim(c_name) AS concept FROM customer UNION ALL SELECT p_partkey, trim(p_name) FROM part)
+        SELECT q, concept, 1::INTEGER AS k FROM t WHERE length(concept) >= 3 AND lower(concept) NOT IN (SELECT surface FROM su)""",
+    "unused_names": """WITH n AS (SELECT p_partkey AS id, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)
+        SELECT id, p_name || ' ' || CASE k WHEN 1 THEN 2 ELSE k + 2 END AS name FROM n""",
+    "context_badge": "SELECT vec_id, CASE WHEN embedding[1]::DOUBLE > 0.01 THEN floor(embedding[1]::DOUBLE * 100 + 0.5)::BIGINT || '%' END AS badge FROM embeddings",
+    "link_insertion": "SELECT p_partkey, left(p_name, 4) AS query, 'see [[x]] and [[' || p_name || ']] end' AS line FROM part",
+    "cursor_context": r"""WITH d AS (SELECT doc_id, text, length(text) // 2 AS h FROM documents),
+        b AS (SELECT doc_id, left(text, h) || '[[open' || substr(text, h + 1) AS t, h + 6 AS c FROM d)
+        SELECT doc_id, md5(regexp_replace(substr(t, greatest(c - 600, 0) + 1, c + 600 - greatest(c - 600, 0)), '\[\[[^\]]*$', ' ')) AS context_md5 FROM b""",
+    "context_key": """WITH u AS (SELECT p_partkey, p_brand, list_transform(string_split(p_name, ''), lambda c: ord(c)::BIGINT) AS u FROM part)
+        SELECT p_partkey, p_brand || ':' || lower(to_base(list_reduce(list_prepend(5381::BIGINT, u), lambda h, x: (h * 33 + x) % 4294967296), 36)) AS key FROM u""",
+    "context_rank": f"""WITH {_V} SELECT m.id, round(list_dot_product(m.v, v.v), 6) AS semantic FROM mean m, v WHERE v.id = 0 AND m.id <> 0 ORDER BY list_dot_product(m.v, v.v) DESC, m.id LIMIT 80""",
+    "single_link": """WITH w AS (SELECT p_partkey, p_name, p_type, regexp_extract(p_name, '^([^ ]+)', 1) AS w FROM part)
+        SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'a ' || p_name ELSE 'a [[' || p_type || CASE WHEN lower(p_type) = lower(w) THEN '' ELSE '|' || w END || ']]' || substr(p_name, length(w) + 1) END AS body FROM w""",
+    "skipped_spans": """WITH w AS (SELECT p_partkey::VARCHAR AS doc, regexp_extract(p_name, '^([^ ]+)', 1) AS w FROM part)
+        SELECT doc, unnest([11 + 3 * length(w), 25 + 5 * length(w)])::INTEGER AS start, lower(w) AS surface FROM w WHERE length(w) >= 3""",
+    "rebuild_predicate": """SELECT * FROM (VALUES ('model_id', 'engine'), ('device', 'engine'), ('index_speed', 'engine'), ('chunking', 'force'), ('max_chunks', 'force'),
+        ('show_summary', 'force'), ('heading_context', 'force'), ('top_k', NULL), ('min_similarity', NULL)) t(setting, rebuild)""",
+    "index_round_trip": "SELECT vec_id::VARCHAR AS path, vec_id AS mtime, 'l' AS label, (vec_id % 2 = 0)::INTEGER AS n_ideas FROM embeddings WHERE vec_id % 7 <> 0",
 }
+SQL["suggestion_list"] = f"""WITH nn AS ({SQL['new_concepts_antijoin']}),
+        no AS (SELECT p_partkey % 5 AS q, p_partkey AS id, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_retailprice / 2000 DESC, p_partkey) AS r FROM part),
+        a AS (SELECT q, 0 AS kind, r, id, NULL AS concept FROM no WHERE r <= 37 UNION ALL SELECT q, 1, k, NULL, concept FROM nn)
+        SELECT q, row_number() OVER (PARTITION BY q ORDER BY kind, r)::INTEGER AS place, CASE kind WHEN 0 THEN 'note' ELSE 'new' END AS kind, id, concept FROM a"""

@@ -7,11 +7,14 @@ vectors' labels; note a links to the note whose number is a label of its first t
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lorewell import index
 from lorewell.functions import chunking, sections, text as tx, vectors as vx
 from lorewell.operators import graph, mentions, ranking, suggest
+from lorewell.options import Options
 from lorewell.sources import embedder, index_store, synthetic
 from lorewell.streaming import changes
 
@@ -117,15 +120,28 @@ def idea_similarity(spark, sf):
 
 @query
 def structural_boost(spark, sf):
-    signal = graph.both_ways(links(spark, sf)).withColumn("signal", F.lit(1.0))
-    return rounded(ranking.boost(_shortlist(spark, sf).drop("rank"), signal, 0.15, 0.05).select("q", "n", "score"), "score")
+    """Signals: a link counts 1, a shared tag a quarter each up to three, a shared source a quarter."""
+    short = _shortlist(spark, sf).drop("rank")
+    pairs = short.select("q", "n", F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b"))
+    linked = graph.both_ways(links(spark, sf)).withColumn("linked", F.lit(1.0))
+    signals = pairs.join(linked, ["q", "n"], "left").join(graph.shared_tags(tags(spark, sf), pairs), ["a", "b"], "left").join(graph.co_citations(links(spark, sf), pairs=pairs), ["a", "b"], "left")
+    signal = F.coalesce("linked", F.lit(0.0)) + 0.25 * F.least(F.coalesce("n_shared", F.lit(0)), F.lit(3)) + F.when(F.col("n_sources") > 0, 0.25).otherwise(0.0)
+    return rounded(ranking.boost(short, signals.select("q", "n", signal.alias("signal")), 0.15, 0.05).select("q", "n", "score"), "score")
 
 
 @query
 def recall_mrr(spark, sf):
+    """The evaluation of notes as one vector each, over all notes."""
     targets = links(spark, sf).select(F.col("src").alias("q"), F.col("dst").alias("n"))
-    ranks = ranking.ranks_of(means(spark, sf).withColumnRenamed("mean", "v"), targets)
-    return rounded(ranking.evaluate(ranks, targets), "recall_5", "recall_10", "recall_20", "mrr")
+    found = index.evaluate_whole(means(spark, sf).withColumnRenamed("mean", "v"), targets)
+    return rounded(found, "recall_5", "recall_10", "recall_20", "mrr")
+
+
+@query
+def eval_windows(spark, sf):
+    """The evaluation by chunks both ways, over all notes."""
+    targets = links(spark, sf).select(F.col("src").alias("q"), F.col("dst").alias("n"))
+    return rounded(index.evaluate_windows(chunks(spark, sf), targets), "recall_5", "recall_10", "recall_20", "mrr")
 
 
 @query
@@ -174,7 +190,7 @@ def link_degrees(spark, sf):
 def link_reasons(spark, sf):
     short = _shortlist(spark, sf).where("rank <= 5").select("q", "n", F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b"))
     linked = graph.both_ways(links(spark, sf)).withColumn("linked", F.lit(True))
-    shared, cited = graph.shared_tags(tags(spark, sf)), graph.co_citations(links(spark, sf))
+    shared, cited = graph.shared_tags(tags(spark, sf), short), graph.co_citations(links(spark, sf), pairs=short)
     j = short.join(linked, ["q", "n"], "left").join(shared, ["a", "b"], "left").join(cited, ["a", "b"], "left")
     r = ranking.reason(F.coalesce("linked", F.lit(False)), F.coalesce("n_shared", F.lit(0)), F.col("top_tag"), F.coalesce("n_sources", F.lit(0)))
     return j.select("q", "n", r["kind"].alias("kind"), r["detail"].alias("detail"))
@@ -278,19 +294,16 @@ def snippets(spark, sf):
 
 @query
 def keyword_overlap_rank(spark, sf):
-    """Documents by the share of a benchmark item's long words that they hold; first ten items."""
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 8)))
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), words("text").alias("w"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("n"), words("text").alias("w"))
-    sizes = items.groupBy("q").agg(F.count("*").alias("size"))
-    both = docs.join(F.broadcast(items) if items.count() < 1_000_000 else items, "w").groupBy("q", "n").agg(F.count("*").alias("hits")).join(sizes, "q")
-    return rounded(ranking.ranked(both.select("q", "n", (F.col("hits") / F.col("size")).alias("score")), 10), "score")
+    """Documents by the share of a benchmark item's words of four letters or more that they hold."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), "text")
+    return rounded(ranking.by_keywords(items, table(spark, sf, "documents").select(F.col("doc_id").alias("n"), "text"), 10), "score")
 
 
 @query
 def blend_fuzzy_semantic(spark, sf):
-    c = table(spark, sf, "part").select(F.lit(0).alias("q"), F.col("p_partkey").alias("id"), (F.lit(-1.0) * F.col("p_size")).alias("raw"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice") / 10000).alias("semantic"))
-    return rounded(suggest.top(suggest.blend(c)).select("id", "score", "rank"), "score")
+    """Part names that fit what is typed; every third has a context score, a ten-thousandth of its price."""
+    c = table(spark, sf, "part").select(F.lit(0).alias("q"), F.col("p_partkey").alias("id"), suggest.fuzzy(F.lit("wd"), F.col("p_name")).alias("raw"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice") / 10000).alias("semantic"))
+    return rounded(suggest.top(suggest.blend(c.where("raw IS NOT NULL"))).select("id", "score", "rank"), "score")
 
 
 @query
@@ -336,8 +349,8 @@ def percent_pills(spark, sf):
 @query
 def chunk_windows(spark, sf):
     d = table(spark, sf, "documents")
-    made = d.select("doc_id", F.posexplode(chunking.chunks(F.concat(F.lit("note "), F.col("doc_id").cast("string")), F.col("text"))).alias("no", "chunk"))
-    return made.select("doc_id", "no", F.length("chunk").alias("n_chars"), F.xxhash64("chunk").alias("hash"))
+    made = d.select("doc_id", chunking.n_dropped(F.col("text")).alias("n_dropped"), F.posexplode(chunking.chunks(F.concat(F.lit("note "), F.col("doc_id").cast("string")), F.col("text"))).alias("no", "chunk"))
+    return made.select("doc_id", "no", F.length("chunk").alias("n_chars"), F.xxhash64("chunk").alias("hash"), "n_dropped")
 
 
 @query
@@ -361,8 +374,8 @@ def section_split(spark, sf):
 
 @query
 def heading_context(spark, sf):
-    made = _noted(spark, sf).select("doc_id", F.posexplode(sections.chunks(F.col("name"), F.col("body"))).alias("no", "c"))
-    return made.select("doc_id", "no", "c.section", F.length("c.text").alias("n_chars"), F.xxhash64("c.text").alias("hash"))
+    made = _noted(spark, sf).select("doc_id", sections.n_dropped(F.col("name"), F.col("body")).alias("n_dropped"), F.posexplode(sections.chunks(F.col("name"), F.col("body"))).alias("no", "c"))
+    return made.select("doc_id", "no", "c.section", F.length("c.text").alias("n_chars"), F.xxhash64("c.text").alias("hash"), "n_dropped")
 
 
 @query
@@ -393,12 +406,8 @@ def synthetic_index(spark, sf):
 @query
 def topic_labels(spark, sf):
     """The five terms of the highest tf-idf of each document, joined by a middle dot; the formula is ours."""
-    d = table(spark, sf, "documents")
-    w = d.select("doc_id", F.explode(F.split(F.lower("text"), r"(?U)[^\p{L}]+")).alias("term")).where("length(term) > 3")
-    tf = w.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").select(F.col("doc_id").alias("q"), F.col("term").alias("n"), (F.col("tf") * -F.log("df")).alias("score"))
-    return ranking.ranked(scored, 5).groupBy(F.col("q").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n"))), lambda r: r["n"]), " · ").alias("label"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return suggest.topic_labels(d.withColumnRenamed("doc_id", "id"), 5).withColumnRenamed("id", "doc_id")
 
 
 @query
@@ -411,3 +420,172 @@ def query_search(spark, sf):
     """The best conversation passage for one text, by hashed vectors."""
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("no"), embedder.embed(F.col("text")).alias("v"))
     return rounded(ranking.best_passage(embedder.hash_embed("the tion and ing"), turns, 12), "score")
+
+
+@query
+def linked_notes(spark, sf):
+    """Parts of an order by line, as the Markdown notes that a note links to."""
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.concat(F.col("l_partkey").cast("string"), F.lit(".md")).alias("dst"), F.col("l_linenumber").alias("at"))
+    notes = table(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
+    return graph.linked_notes(e, notes)
+
+
+@query
+def topic_gate(spark, sf):
+    """Linked notes that are off topic: their centred means score below 0."""
+    v = means(spark, sf).select("id", F.col("mean").alias("v"))
+    pairs = links(spark, sf).select(F.col("src").alias("doc"), F.col("dst").alias("path"))
+    return mentions.topic_gate(v, pairs)
+
+
+@query
+def tag_alias_folding(spark, sf):
+    p = table(spark, sf, "part")
+    made = tx.embed_input(F.col("p_name"), F.array("p_type", "p_brand"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.upper("p_name"))))
+    return p.select("p_partkey", made.alias("input"))
+
+
+@query
+def median_size(spark, sf):
+    return rounded(table(spark, sf, "part").groupBy("p_brand").agg(vx.median(F.col("p_retailprice")).alias("middle")), "middle")
+
+
+@query
+def report_exclusion(spark, sf):
+    return graph.without_report(table(spark, sf, "part").select(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string")).alias("path")), "parts/7")
+
+
+@query
+def link_exclusion(spark, sf):
+    """Brands that are in the index but never linked go as well as those outside it."""
+    o = Options(exclude_folders=("Brand#1",), exclude_folders_links=("Brand#2/ECONOMY",))
+    notes = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_type", F.col("p_partkey").cast("string")).alias("path"))
+    return index_store.without_folders(notes, spark.createDataFrame([(f,) for f in o.link_excluded], "folder string"))
+
+
+@query
+def empty_query_pool(spark, sf):
+    """What an empty query shows while there is no vector: the last changed."""
+    return suggest.unqueried(None, _users(spark, sf), has_vector=False)
+
+
+@query
+def suggestion_list(spark, sf):
+    """Parts by price and new concepts from their labels, as one list."""
+    p = table(spark, sf, "part")
+    notes = suggest.top(p.select((F.col("p_partkey") % 5).alias("q"), F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 2000).alias("score")))
+    return suggest.assembled(notes, new_concepts_antijoin(spark, sf).select("q", "concept", "k"))
+
+
+@query
+def typed_concepts(spark, sf):
+    """Customers' names typed as queries: those that are no part's surface are offered."""
+    typed = table(spark, sf, "customer").select(F.col("c_custkey").alias("q"), F.col("c_name").alias("text")).unionByName(table(spark, sf, "part").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("text")))
+    return suggest.queried_concepts(typed, mentions.surfaces(_titles(spark, sf), ascii_only=True), spark.createDataFrame([], "q long, surface string"))
+
+
+@query
+def unused_names(spark, sf):
+    """File names for part names that several want, some in use."""
+    p = table(spark, sf, "part")
+    taken = p.select(F.col("p_name").alias("name")).distinct().unionByName(p.select(F.concat("p_name", F.lit(" 3")).alias("name")).distinct())
+    return suggest.unused_names(p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("#"), "p_name", F.lit("?")).alias("concept")), taken)
+
+
+@query
+def context_badge(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", tx.badge(F.element_at("embedding", 1).cast("double")).alias("badge"))
+
+
+@query
+def link_insertion(spark, sf):
+    """A link completed in a line that has text behind it, with closing brackets for every second part."""
+    p = table(spark, sf, "part")
+    before = F.concat(F.lit("see [[x]] and [["), F.substring("p_name", 1, 4))
+    line = F.concat(before, F.when(F.col("p_partkey") % 2 == 0, "]]").otherwise(""), F.lit(" end"))
+    return p.select("p_partkey", suggest.trigger(before).alias("query"), suggest.insert_at_trigger(line, F.length(before), tx.wikilink(F.col("p_name"), F.col("p_name"), True)).alias("line"))
+
+
+@query
+def cursor_context(spark, sf):
+    """What stands around a cursor in the middle of each document, where a link was opened."""
+    half = (F.length("text") / 2).cast("int")
+    body = F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit("[[open"), F.substring(F.col("text"), half + 1, F.length("text")))
+    return table(spark, sf, "documents").select("doc_id", F.md5(suggest.context(body, half + 6).cast("binary")).alias("context_md5"))
+
+
+@query
+def context_key(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", suggest.block_key(F.col("p_brand"), F.col("p_name")).alias("key"))
+
+
+@query
+def context_rank(spark, sf):
+    """Notes by their mean's product with the first vector, without note 0."""
+    v = means(spark, sf).select(F.col("id").alias("path"), F.col("mean"))
+    q = vectors(spark, sf).where("id = 0").first().v
+    empty = spark.createDataFrame([], "src long, dst long")
+    return rounded(index.NoteIndex(v, empty, empty).rank_for_context(q, 80, 0), "semantic")
+
+
+@query
+def later_mentions(spark, sf):
+    """Mentions in documents of words that the document's benchmark item, doc_id modulo their number, holds; the cursor is at 100."""
+    names = _words(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.regexp_replace(F.lower("text"), "[^a-z]", " ").alias("body"))
+    n = table(spark, sf, "benchmark").count()
+    w = table(spark, sf, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) >= 8").distinct()
+    linked = docs.select("doc", (F.col("doc") % n).alias("item_id")).join(w, "item_id").select("doc", F.concat(F.lit("w/"), "word").alias("path"))
+    hits = mentions.detect(docs, mentions.surfaces(names, ascii_only=True).where("exact"), every=True)
+    return mentions.later_mentions(hits, linked, docs.select("doc", F.lit(100).alias("cursor"))).select("doc", "start", "surface")
+
+
+@query
+def single_link(spark, sf):
+    """One link put in place of each part's first word; every third range no longer holds it."""
+    p = table(spark, sf, "part")
+    first = F.regexp_extract("p_name", r"^(\S+)", 1)
+    said = F.when(F.col("p_partkey") % 3 == 0, F.lit("gone")).otherwise(first)
+    return p.select("p_partkey", mentions.insert_link(F.concat(F.lit("a "), "p_name"), F.lit(2), F.length(first) + 2, said, F.col("p_type")).alias("body"))
+
+
+@query
+def skipped_spans(spark, sf):
+    """Mentions between spans where none may be: of the five places of a word the plain ones count."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("doc"), F.regexp_extract("p_name", r"^(\S+)", 1).alias("w"))
+    body = F.concat(F.lit("# "), "w", F.lit("\n`"), "w", F.lit("` [["), "w", F.lit("]] "), "w", F.lit("\n```\n"), "w", F.lit("\n```\nand "), "w")
+    names = p.select(F.concat(F.lit("w/"), "w").alias("path"), F.col("w").alias("basename"), F.lit(None).cast("array<string>").alias("aliases")).distinct()
+    return mentions.detect(p.select("doc", body.alias("body")), mentions.surfaces(names, ascii_only=True).where("exact"), every=True).select("doc", "start", "surface")
+
+
+@query
+def rebuild_predicate(spark, sf):
+    """What a change of each setting asks for."""
+    changed = {"model_id": "other", "device": "gpu", "index_speed": "fast", "chunking": False, "max_chunks": 64, "show_summary": True, "heading_context": True, "top_k": 20, "min_similarity": 0.5}
+    rows = [(k, Options().rebuild(replace(Options(), **{k: v}))) for k, v in changed.items()]
+    return spark.createDataFrame(rows, "setting string, rebuild string")
+
+
+@query
+def upserts(spark, sf):
+    """Users as notes: an index of the first events, changed by all others in their order: purchases rename, clicks delete."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 50).alias("u"), "event_id", "event_type")
+    path = lambda c: F.concat(F.lit("u"), c.cast("string"), F.lit(".md"))
+    held = e.groupBy("u").agg(F.min("event_id").alias("mtime")).select(path(F.col("u")).alias("path"), "mtime")
+    op = F.when(F.col("event_type") == "purchase", "rename").when(F.col("event_type") == "click", "delete").otherwise("modify")
+    to = F.when(F.col("event_type") == "purchase", path((F.col("u") * 7 + F.col("event_id")) % 50))
+    told = e.select(path(F.col("u")).alias("path"), op.alias("op"), to.alias("new_path"), F.col("event_id").alias("ts")).where("new_path IS NULL OR new_path <> path")
+    return changes.upsert(held, told, lambda rows: rows.select("path", F.col("ts").alias("mtime")))
+
+
+@query
+def index_round_trip(spark, sf):
+    """The index written as tables and read back: rows that its guards keep."""
+    import tempfile
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.col("vec_id").alias("mtime"), F.size("embedding").alias("dims"), F.when(F.col("vec_id") % 7 == 0, 2).otherwise(1).alias("chunk_count"), vx.doubles(F.col("embedding")).alias("mean"), F.array(vx.quantize(F.col("embedding"))).alias("chunks"), F.lit(None).cast("array<string>").alias("chunk_texts"), F.lit("l").alias("label"), F.when(F.col("vec_id") % 2 == 0, F.array(F.lit(0))).alias("idea_of"))
+    dims = e.first().dims
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{base}/lorewell-index-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    index_store.save(e, {"model_id": "m", "dims": dims}, path)
+    return index_store.load(spark, path, "m", dims).select("path", "mtime", "label", F.size(F.coalesce("idea_of", F.array())).alias("n_ideas"))

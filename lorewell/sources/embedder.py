@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,3 +59,15 @@ def embed(text: Column, kind: str = "passage", model_id: str = "hash-64") -> Col
     spec = model_spec(model_id)
     prefix = "" if model_id.startswith("hash") else spec.query_prefix if kind == "query" else spec.passage_prefix
     return _hash_embed(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))))
+
+
+def batch_embedder(load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int = 12) -> Callable[[Column], Column]:
+    """An embedder of any model: ``load`` runs once a worker and gives what turns an array of texts into rows of unit vectors, ``batch`` at a time."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch)
+
+
+def load_hashing() -> Callable[[np.ndarray], np.ndarray]:
+    """The hashing embedder as a model for ``batch_embedder``."""
+    return lambda texts: np.array([hash_embed(t or "") for t in texts]).reshape(len(texts), -1)

@@ -3,7 +3,6 @@
 import numpy as np
 import pytest
 
-from lorewell.llm import language_id, near_dedup
 from lorewell.plans import queries as plans
 
 
@@ -20,14 +19,6 @@ def test_near_duplicates_of_a_dense_cluster(spark, tmp_path):
     assert len(got) == len(want) and {(r.a, r.b): r.score for r in got} == pytest.approx(want, abs=2e-6)
 
 
-def test_near_dedup_of_a_text_inside_another(spark):
-    """1200 of 1499 shingles, of whose 64 smallest hashes only 37 are shared."""
-    words = [f"w2864x{i}" for i in range(1500)]
-    rows = [(1, " ".join(words)), (2, " ".join(words[110:1311]))]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 1499, 1), (2, 1200, 1)}
-
-
 def test_markdown_clean_of_a_long_text(spark, tmp_path):
     spark.createDataFrame([(1, "x " * 150 + "\n> **bold** end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert plans.QUERIES["markdown_clean"](spark, str(tmp_path)).first().clean.endswith("x x\nbold end")
@@ -90,11 +81,3 @@ def test_orphans_closest_by_price(spark):
     price_of = lambda a: min((abs(p - price[a]), b) for b, p in price.items() if b != a)
     got = plans.QUERIES["orphans_with_closest"](spark, sf).collect()
     assert len(got) == 69 and all((r.closest, r.closest_score) == (price_of(r.id)[1], pytest.approx(1 / (1 + price_of(r.id)[0]))) for r in got)
-
-
-def test_every_language_is_learned(spark):
-    rows = [(f"l{i:02d}", f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i)} {j}") for i in range(70) for j in range(3)] + [("long", "12 " + "word " * 20_000)]
-    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
-    assert model.languages == sorted({x for x, _ in rows})
-    texts = [(chr(0x4E00 + i) * 3).encode() for i in range(70)] + [b"word word"]
-    assert model.predict(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))[0] == model.languages
