@@ -33,7 +33,7 @@ from lorewell.llm.shared import cut, small_batches, text_chunks
 
 U = np.uint64
 BASE = 1.5
-BITS_PER_ENTRY, PROBES = 10, 4
+BITS_PER_ENTRY, PROBES, LINE = 12, 4, 8  # LINE words of 64 bits
 HEAD, LEAST_HEAD = 1 << 20, 1 << 12  # words in the head table at most; counts told apart where its last is sought
 SHARD_BYTES, SHARD_WORDS = 24 << 20, 1 << 20  # of training text for a shard of bigrams; words of one of words
 SLICE = 1 << 16  # words in a row
@@ -52,20 +52,32 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(_FIRST, counts, "right"), MAX_LEVEL)
 
 
-def _slots(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+def _place(keys: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The first word of each key's line: all its levels are in one line, so that a probe costs one miss of the cache."""
+    return ((keys & U(0xFFFFFFFF)) * lines >> U(32)) * U(LINE)
+
+
+def _marks(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of the line that (key, level) is in, and its bits there."""
     a = tk.mix(keys + _LEVEL[level])
-    step = tk.mix(a) | U(1)
-    for i in range(PROBES):
-        yield ((a + U(i) * step) >> U(32)) * U(size) >> U(32)
+    bits = U(1) << (a & U(63))
+    for i in range(1, PROBES):
+        bits |= U(1) << (a >> U(6 * i) & U(63))
+    return a >> U(61), bits
 
 
 def build_filter(keys: np.ndarray, levels: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
-    """The bits of one shard's filter."""
-    bits = np.zeros(max(64, -(-int(levels.sum()) * bits_per_entry // 8) * 8), bool)
+    """The words of one shard's filter."""
+    lines = max(1, -(-int(levels.sum()) * bits_per_entry // (64 * LINE)))
+    words = np.zeros(lines * LINE, U)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for slot in _slots(keys[levels >= level], level, len(bits)):
-            bits[slot] = True
-    return np.packbits(bits, bitorder="little")
+        some = keys[levels >= level]
+        word, bits = _marks(some, level)
+        word += _place(some, U(lines))
+        order = np.argsort(word)
+        at = np.flatnonzero(tk.first_of_runs(word[order]))
+        words[word[order][at]] |= np.bitwise_or.reduceat(bits[order], at)
+    return words
 
 
 class Filter:
@@ -73,30 +85,27 @@ class Filter:
 
     def __init__(self, sizes: dict[int, int], shards: int):
         """sizes: the bytes of each shard here."""
-        self.data = np.zeros(max(1, sum(sizes.values())), np.uint8)
-        self.size, self.at = np.zeros(shards, U), np.zeros(shards, U)
+        self.data = np.zeros(max(1, sum(sizes.values()) // 8), U)
+        self.lines, self.at = np.zeros(shards, U), np.zeros(shards, U)
         at = 0
         for k in sorted(sizes):
-            self.size[k], self.at[k] = sizes[k] * 8, at * 8
-            at += sizes[k]
+            self.lines[k], self.at[k] = sizes[k] // (8 * LINE), at
+            at += sizes[k] // 8
 
     def fill(self, shard: int, bits: bytes) -> None:
-        at = int(self.at[shard]) // 8
-        self.data[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+        at = int(self.at[shard])
+        self.data[at : at + len(bits) // 8] = np.frombuffer(bits, U)
 
     def levels(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """The levels of keys, each in its shard."""
         out = np.zeros(len(keys), np.uint8)
-        live = np.flatnonzero(self.size[shard] > 0)
-        keys, size, at = keys[live], self.size[shard[live]], self.at[shard[live]]
+        live = np.flatnonzero(self.lines[shard] > 0)
+        keys, shard = keys[live], shard[live]
+        start = _place(keys, self.lines[shard]) + self.at[shard]
         for level in range(1, MAX_LEVEL + 1):
-            a = tk.mix(keys + _LEVEL[level])
-            step, left, of, to = tk.mix(a) | U(1), np.arange(len(a)), size, at
-            for _ in range(PROBES):
-                slot = ((a >> U(32)) * of >> U(32)) + to
-                hit = np.flatnonzero((self.data[slot >> U(3)] >> (slot & U(7)).astype(np.uint8)) & 1)
-                left, a, step, of, to = left[hit], a[hit] + step[hit], step[hit], of[hit], to[hit]
-            live, keys, size, at = live[left], keys[left], size[left], at[left]
+            word, bits = _marks(keys, level)
+            hit = np.flatnonzero((self.data[start + word] & bits) == bits)
+            live, keys, start = live[hit], keys[hit], start[hit]
             if not len(live):
                 break
             out[live] = level
