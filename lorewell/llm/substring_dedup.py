@@ -22,8 +22,8 @@ with the same anchor, the symbol of least hash between their edges, form a piece
 Of equal pieces the smallest document's stays, so a passage in a third of all documents sends one row a piece and task
 through partial aggregation. Only where an anchor has several different pieces, their windows are compared one by one.
 
-Scale: what is shuffled are a row a high-level symbol, a row a piece, the texts with open windows once and all rows once;
-rows grow in proportion to the words. No pair of documents is formed, no group is collected into one task.
+Scale: what is shuffled are a row a high-level symbol, a row a piece, and twice the texts that may matter: those with open
+windows, then those with repeats (a filter of bounded size lets the others pass by); rows grow in proportion to the words. No pair of documents is formed, no group is collected into one task.
 
 Defined cases: null texts have no words; shorter documents than a window keep all; a null doc_id counts as larger than
 any; rows that share a doc_id never remove each other's words; repeated rows are answered each; other columns are kept as
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lorewell.llm import tokens as tk
-from lorewell.llm.shared import cut, small_batches, text_chunks
+from lorewell.llm.shared import cut, id_filter, in_filter, small_batches, text_chunks
 
 RUN = 0
 #: The levels of each round: RUN, or the words from which a symbol takes no part in a pair.
@@ -187,7 +187,21 @@ def _intervals(mark: np.ndarray, owner: np.ndarray, start: np.ndarray, rows: int
     return _lists(flat, 2 * np.bincount(who, minlength=rows)[:rows], pa.int32())
 
 
-_STATE = "rk long, id long, n int, name array<long>, size array<int>, lead array<int>, tail array<int>, open array<int>, ask array<long>"
+_STATE = "rk long, id long, n int, name array<long>, shape binary, open array<int>, ask array<long>"
+
+
+def _shaped(counts: np.ndarray, *columns: np.ndarray) -> pa.Array:
+    """Size, lead and tail of each text's symbols, one after the other, in bytes where they fit, else in four bytes each."""
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    over = np.concatenate([[0], np.cumsum(np.max(columns, axis=0) > 255)])
+    wide = over[cuts[1:]] > over[cuts[:-1]]
+    rows = np.stack(columns)
+    return pa.array([rows[:, a:b].astype(np.int32 if w else np.uint8).tobytes() for a, b, w in zip(cuts[:-1], cuts[1:], wide)], pa.binary())
+
+
+def _unshaped(column: pa.Array, counts: np.ndarray) -> np.ndarray:
+    rows = [np.frombuffer(x.as_buffer(), np.int32 if len(x.as_buffer()) > 3 * n else np.uint8).reshape(3, n) for x, n in zip(column, counts.tolist())]
+    return np.concatenate([np.zeros((3, 0), np.uint8), *rows], 1).astype(np.int64)
 
 
 def _state(rk: pa.Array, ids: pa.Array, n: np.ndarray, name, size, before, after, opened: np.ndarray, fresh: np.ndarray, window: int) -> pa.RecordBatch:
@@ -209,7 +223,7 @@ def _state(rk: pa.Array, ids: pa.Array, n: np.ndarray, name, size, before, after
     x, who = x[new], who[new]
     lead, tail = np.minimum(end - size - before, window), np.minimum(after - end, window)
     spans = _intervals(opened, tk.owners(bounds), bounds[:-1], len(n))
-    arrays = [rk, ids, pa.array(n, pa.int32()), _lists(name, counts, pa.int64()), *(_lists(y, counts, pa.int32()) for y in (size, lead, tail)), spans, _lists(x, np.bincount(who, minlength=len(n)), pa.int64())]
+    arrays = [rk, ids, pa.array(n, pa.int32()), _lists(name, counts, pa.int64()), _shaped(counts, size, lead, tail), spans, _lists(x, np.bincount(who, minlength=len(n)), pa.int64())]
     batch = pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _STATE.split(", ")])
     return batch.filter(pa.array(np.diff(count[bounds]) > 0))
 
@@ -243,7 +257,8 @@ def _next_task(window: int, number: int):
                 continue
             col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
             n = col["n"].to_numpy(zero_copy_only=False).astype(np.int64)
-            (name, counts), (size, _), (lead, _), (tail, _) = (_flat(col[c]) for c in ("name", "size", "lead", "tail"))
+            name, counts = _flat(col["name"])
+            size, lead, tail = _unshaped(col["shape"], counts)
             name = name.astype(np.int64).view(U)
             doc, bounds = np.repeat(np.arange(len(n)), counts), np.concatenate([[0], np.cumsum(n)])
             salt = tk.mix(np.arange(len(n), dtype=U))
@@ -316,6 +331,16 @@ def _piece_task(window: int):
     return run
 
 
+def _named(filter_, yes: bool):
+    """Rows whose rk the filter names, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(filter_.value, batch.column(0).to_numpy()) == yes))
+
+    return run
+
+
 def _cut_task(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +367,8 @@ def _cut_task(window: int):
 
 def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
     """All columns but text, n_words, n_removed, and kept_text: the kept words joined by one space."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     own = [c for c in docs.columns if c != "text" and c.lower() not in RESULT]
     text, order = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     rows = docs.select(F.xxhash64(order, text).alias("rk"), order.alias("id"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"))
@@ -355,7 +381,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
         state = cut(state.join(known, "rk", "left").mapInArrow(_next_task(window, number), _STATE))
 
     spans = state.select("rk", "id", "open").dropDuplicates(["rk", "id"])
-    texts = rows.select("rk", "id", "text").join(spans, ["rk", "id"]).dropDuplicates(["rk", "id"])
+    own_text = rows.select("rk", "id", "text")
+    texts = own_text.mapInArrow(_named(spark.sparkContext.broadcast(id_filter(spans)), True), own_text.schema).join(spans, ["rk", "id"]).dropDuplicates(["rk", "id"])
     pieces = cut(texts.mapInArrow(_piece_task(window), _PIECES))
     least = pieces.groupBy("key").agg(F.min("id").alias("a"), F.min("anchor").alias("anchor"))
     mixed = least.where("anchor <> 0").groupBy("anchor").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("anchor", F.lit(True).alias("mixed"))
@@ -367,6 +394,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
     first = single.groupBy("w").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("w", "a")
     again = single.join(first, "w").where("id > a").select("rk", "id", (F.col("lo") + F.col("i")).alias("lo"), F.lit(1).alias("n"))
     places = cut(copies.unionByName(again).groupBy("rk", "id").agg(F.collect_list(F.struct("lo", "n")).alias("places")))
-    joined = rows.join(places, ["rk", "id"], "left").select("text", "places", "own")
+    named = spark.sparkContext.broadcast(id_filter(places))
+    joined = rows.mapInArrow(_named(named, True), rows.schema).join(places, ["rk", "id"], "left").select("text", "places", "own")
+    others = rows.mapInArrow(_named(named, False), rows.schema).select("text", F.lit(None).cast(places.schema["places"].dataType).alias("places"), "own")
     schema = StructType([StructField("own", joined.schema["own"].dataType), *(StructField(c, LongType()) for c in RESULT[:2]), StructField(RESULT[2], StringType())])
-    return joined.mapInArrow(_cut_task(window), schema).select("own.*", *RESULT)
+    return joined.unionByName(others).mapInArrow(_cut_task(window), schema).select("own.*", *RESULT)
