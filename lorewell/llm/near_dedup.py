@@ -9,16 +9,17 @@ such sketches share one of their ``PREFIX`` rarest values, and only these are li
 half of a document lists nothing. Sets of at most ``SMALL`` shingles are whole in their sketch and take the exact prefix.
 Entries carry ``BITS`` bits, one set by each retained value: two sketches share no more values than the bits they have in
 common and the values that fell on a bit already set, which drops nearly all pairs that met by chance before anything
-else of them is read. Lists of values that at most ``FEW`` classes retain give all their pairs that pass. A longer list is
-cut by size class (a class spans the ratio that the bar allows), and an entry stands in its own class and as a guest in
-the next, so that two sets that may link meet; there every member meets the leader.
-
-Links are found in three steps, so that a group of copies never gives all its pairs. First each document is verified
-against the smallest that it met; linked documents form components. Then pairs met so far whose components differ are
-verified. Last, in long lists, members outside the list's main component meet the members of other components, in blocks
-of at most ``BLOCK`` by ``BLOCK``. Pairs are verified on the full sets, which only documents that such a pair names give
-(found by a filter of bounded size, so no text is shuffled): the sketch of the union estimates the similarity first, and
-what passes is compared exactly.
+else of them is read. A list of a value that more than ``FEW`` classes retain is cut by size class (a class spans the
+ratio that the bar allows), and an entry stands in its own class and as a guest in the next, so that two sets that may
+link meet.
+
+Links are found in three steps, so that a group of copies never gives all its pairs. First every entry meets its list's
+leader, and each document is verified against the smallest that it met so; linked documents form components. Then only
+pairs whose components differ count: all of short lists, and those of leaders. Last, in long lists, members outside the
+list's main component meet the members of other components, in blocks of at most ``BLOCK`` by ``BLOCK``, each pair in the
+list of the smallest value that both are listed under. Pairs are verified on the full sets, which only documents that
+such a pair names give (found by a filter of bounded size, so no text is shuffled): the sketch of the union estimates the
+similarity first, and what passes is compared exactly.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words its set is empty and it links with
 nothing; rows with a null doc_id take no part (component null, kept); rows that share a doc_id count as one document
@@ -104,6 +105,26 @@ def _sets(width: int, named):
     return run
 
 
+def _rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _shares(rows: list[np.ndarray]):
+    """A function that counts what a row shares with every row."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    owner = np.repeat(np.arange(len(rows)), np.diff(at))
+    _, code = np.unique(np.concatenate(rows), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    by, bounds = owner[order], np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
+
+    def of(i: int) -> np.ndarray:
+        return np.bincount(np.concatenate([by[:0], *(by[bounds[c] : bounds[c + 1]] for c in code[at[i] : at[i + 1]])]), minlength=len(rows))
+
+    return of
+
+
 def _needed(n, m, percent: int, greater):
     """The fewest values that two sketches of sets of n and m at the bar share (numbers, arrays or columns)."""
     shared = (percent * (n + m) + 99 + percent) // (100 + percent) if not isinstance(n, Column) else F.ceil(percent * (n + m) / F.lit(100 + percent))
@@ -134,11 +155,12 @@ def _block_pairs(percent: int):
     """Pairs of a block of a list: members outside the main component with members of other components."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        c1, c2 = key[2].as_py(), key[3].as_py()
+        v, c1, c2 = (key[i].as_py() for i in (0, 2, 3))
         rep, comp, n, chunk, guest = (table[c].to_numpy() for c in ("rep", "comp", "n", "chunk", "guest"))
         bits = np.stack([table[b].to_numpy() for b in _BITS], 1).view(U)
         spare = np.minimum(n, K) - np.bitwise_count(bits).sum(1, dtype=np.int64)  # values on bits already set
         minor = comp != table["main"].to_numpy()
+        earlier = _shares([x[x < v] for x in _rows(table["listed"])])
         out = [np.zeros((2, 0), np.int64)]
         for i in np.flatnonzero(minor):
             fits = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (~minor | (rep > rep[i]))
@@ -148,6 +170,8 @@ def _block_pairs(percent: int):
             common = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
             least = np.where(np.minimum(n[j], n[i]) > K, K - PREFIX + 1, _needed(n[j], n[i], percent, np.maximum))
             j = j[common >= least - np.minimum(spare[j], spare[i])]
+            if len(j):
+                j = j[earlier(i)[j] == 0]
             out.append(np.stack([np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])]))
         a, b = np.concatenate(out, 1)
         return pa.table({"a": a, "b": b})
@@ -205,31 +229,37 @@ def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> Da
     lists = listed.select("rep", "n", *_BITS, class_.alias("class"), F.explode(F.slice("vs", F.lit(1), F.greatest(prefix - alone, F.lit(0)))).alias("x"))
     lists = cut(lists.select("rep", "n", *_BITS, "class", "x.v", (F.col("x.f") <= FEW).alias("few")))
 
-    few = lists.where("few").select("v", "rep", "n", *_BITS)
-    met = few.join(few.toDF("v", *(f"o_{c}" for c in few.columns[1:])), "v").where((F.col("rep") < F.col("o_rep")) & _may_link("", "o_", percent))
-    cells = F.array(F.struct(F.col("class").alias("size"), F.lit(False).alias("guest")), F.struct((F.col("class") + 1).alias("size"), F.lit(True).alias("guest")))
-    entries = lists.where("not few").select("v", F.explode(cells).alias("cell"), "rep", "n", *_BITS).select("v", "cell.size", "cell.guest", "rep", "n", *_BITS)
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    in_cells = F.array(F.struct(F.col("class").alias("size"), F.lit(False).alias("guest")), F.struct((F.col("class") + 1).alias("size"), F.lit(True).alias("guest")))
+    cells = F.when(F.col("few"), F.array(F.struct(F.lit(-1).cast("long").alias("size"), F.lit(False).alias("guest")))).otherwise(in_cells)
+    entries = lists.select("v", F.explode(cells).alias("cell"), "few", "rep", "n", *_BITS).select("v", "cell.size", "cell.guest", "few", "rep", "n", *_BITS)
     lead = F.when(~F.col("guest"), F.struct("rep", "n", *_BITS))
-    leaders = entries.groupBy("v", "size").agg(F.min(lead).alias("l"), F.count("*").alias("members")).where("members > 1")
+    leaders = entries.groupBy("v", "size").agg(F.min(lead).alias("l"), F.count("*").alias("members")).where("members > 1 AND l IS NOT NULL").drop("members")
     star = entries.join(leaders, ["v", "size"]).where("rep <> l.rep").where(_may_link("", "l.", percent))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = cut(met.select(*ordered("rep", "o_rep")).unionByName(star.select(*ordered("rep", "l.rep"))).distinct())
-
-    links = _links(cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), docs, width, percent)
+    first = cut(star.groupBy("rep").agg(F.min("l.rep").alias("o")).select(*ordered("rep", "o")).distinct())
+    links = _links(first, docs, width, percent)
     label = components(links)
-    more = cut(_apart(pairs, label))
+
+    of = label.withColumnRenamed("id", "rep").withColumnRenamed("label", "comp")
+    few = lists.where("few").select("rep", "v", "n", *_BITS).join(of, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    met = few.join(few.toDF(*(c if c == "v" else f"o_{c}" for c in few.columns)), "v").where((F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & _may_link("", "o_", percent))
+    apart = _apart(star.where("not few").select(*ordered("rep", "l.rep")), label)
+    more = cut(met.select(*ordered("rep", "o_rep")).unionByName(apart).distinct().join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = cut(links.unionByName(_links(more, docs, width, percent)).distinct())
         label = components(links)
+    tried = first.unionByName(more)
 
+    long = lists.where("not few").groupBy("rep").agg(F.collect_list("v").alias("listed"))
+    entries = entries.where("not few").drop("few")
     placed = entries.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
     mains = placed.groupBy("v", "size").agg(F.mode("comp").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    open_ = placed.join(mains.drop("lo", "hi"), ["v", "size"]).withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members")
+    open_ = placed.join(mains.drop("lo", "hi"), ["v", "size"]).join(long, "rep").withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members")
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other")).drop("chunks", "other")
     more = dealt.groupBy("v", "size", "c1", "c2").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+    more = cut(more.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(_links(more, docs, width, percent)).distinct()
         label = components(links)
