@@ -16,10 +16,13 @@ link meet.
 Links are found in three steps, so that a group of copies never gives all its pairs. First every entry meets its list's
 leader, and each document is verified against the smallest that it met so; linked documents form components. Then only
 pairs whose components differ count: all of short lists, and those of leaders. Last, in long lists, members outside the
-list's main component meet the members of other components, in blocks of at most ``BLOCK`` by ``BLOCK``, each pair in the
-list of the smallest value that both are listed under. Pairs are verified on the full sets, which only documents that
-such a pair names give (found by a filter of bounded size, so no text is shuffled): the sketch of the union estimates the
-similarity first, and what passes is compared exactly.
+list's main component meet the members of other components, in blocks of at most ``BLOCK`` by ``BLOCK``: once to find the
+documents that any bits let pass, and once more among these with the ``LONG`` smallest shingles of each (the whole set of
+shorter documents, so that the similarity is known; of longer ones the union's sketch estimates it), each pair in the list
+of the smallest value that both are listed under. Where the similarity is known, a document gives its ``BEST`` pairs with
+each other component, as one link joins them. Pairs are verified on the full sets, which only documents that such a pair
+names give (found by a filter of bounded size, so no text is shuffled): the sketch of the union estimates the similarity
+first, and what passes is compared exactly.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words its set is empty and it links with
 nothing; rows with a null doc_id take no part (component null, kept); rows that share a doc_id count as one document
@@ -37,11 +40,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lorewell.llm import tokens as tk
 from lorewell.llm.components import components
-from lorewell.llm.shared import cut, id_filter, in_filter, small_batches, text_chunks
+from lorewell.llm.shared import cut, done, id_filter, in_filter, small_batches, text_chunks
 
 K, PREFIX, SMALL, FEW, BLOCK = 64, 31, 50, 24, 4096
-BITS = 256
-SLACK = 0.29  # of the union sketch's estimate: at 0.8 a binomial share falls below with a chance of 8e-8
+BITS, LONG, BEST = 256, 256, 3
+SLACK = {K: 0.29, LONG: 0.135}  # of the union sketch's estimate: at 0.8 a binomial share falls below with a chance of 8e-8 and 2.4e-7
 U = np.uint64
 
 
@@ -88,8 +91,8 @@ _BITS = [f"b{i}" for i in range(BITS // 64)]
 _SKETCHED = "doc_id long, n long, s1 long, s2 long, sketch array<long>, " + ", ".join(f"{b} long" for b in _BITS)
 
 
-def _sets(width: int, named):
-    """The full sets of the documents that the filter names."""
+def _sets(width: int, named, long: bool = False):
+    """The full sets of the documents that the filter names, or of each its smallest shingles, of whose order the high halves keep enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +102,10 @@ def _sets(width: int, named):
                 continue
             for lo, hi, data, offsets in text_chunks(batch):
                 s, bounds = shingle_sets(data, offsets, width)
-                blobs = [s[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
+                if long:
+                    blobs = [(s[x : min(y, x + LONG)] >> U(32)).astype(np.uint32).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
+                else:
+                    blobs = [s[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["rep", "shingles"])
 
     return run
@@ -142,17 +148,37 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (common >= least - spare)
 
 
-def _union_estimate(x: np.ndarray, y: np.ndarray) -> float:
-    """The share of the union's ``K`` smallest values that both sets hold."""
-    x, y = x[:K], y[:K]
+def _union_estimate(x: np.ndarray, y: np.ndarray, size: int = K) -> float:
+    """The share of the union's ``size`` smallest values that both sets hold."""
+    x, y = x[:size], y[:size]
     both = np.sort(np.concatenate([x, y]))
     twice = both[1:] == both[:-1]
-    union = both[np.concatenate([[True], ~twice])][:K]
+    union = both[np.concatenate([[True], ~twice])][:size]
     return int((both[:-1][twice] <= union[-1]).sum()) / len(union)
 
 
-def _block_pairs(percent: int):
-    """Pairs of a block of a list: members outside the main component with members of other components."""
+def _best_pairs(i: int, j: np.ndarray, longs: list, n: np.ndarray, comp: np.ndarray, bar: float) -> list[int]:
+    """Of the candidates j those that may link with i: all whose similarity is estimated, of each component the best whose is known."""
+    out, known = [], []
+    for x in j.tolist():
+        if max(n[i], n[x]) > LONG:
+            if _union_estimate(longs[i], longs[x], LONG) >= bar - SLACK[LONG]:
+                out.append(x)
+        else:
+            both = np.sort(np.concatenate([longs[i], longs[x]]))
+            shared = int((both[1:] == both[:-1]).sum())
+            if shared >= bar * (n[i] + n[x] - shared) - 1e-9:
+                known.append((-shared / (n[i] + n[x] - shared), x))
+    met: dict[int, int] = {}
+    for _, x in sorted(known):
+        met[comp[x]] = met.get(comp[x], 0) + 1
+        if met[comp[x]] <= BEST:
+            out.append(x)
+    return out
+
+
+def _block_pairs(percent: int, ids: bool):
+    """Of a block of a list, members outside the main component with members of other components: the ids in any pair that bits let pass, or pairs."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         v, c1, c2 = (key[i].as_py() for i in (0, 2, 3))
@@ -160,8 +186,10 @@ def _block_pairs(percent: int):
         bits = np.stack([table[b].to_numpy() for b in _BITS], 1).view(U)
         spare = np.minimum(n, K) - np.bitwise_count(bits).sum(1, dtype=np.int64)  # values on bits already set
         minor = comp != table["main"].to_numpy()
-        earlier = _shares([x[x < v] for x in _rows(table["listed"])])
-        out = [np.zeros((2, 0), np.int64)]
+        met, a, b = np.zeros(len(rep), bool), [], []
+        if not ids:
+            earlier = _shares([x[x < v] for x in _rows(table["listed"])])
+            longs = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["long"]]
         for i in np.flatnonzero(minor):
             fits = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (~minor | (rep > rep[i]))
             fits &= ~guest | ~guest[i]  # two guests meet in their own class
@@ -170,11 +198,16 @@ def _block_pairs(percent: int):
             common = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
             least = np.where(np.minimum(n[j], n[i]) > K, K - PREFIX + 1, _needed(n[j], n[i], percent, np.maximum))
             j = j[common >= least - np.minimum(spare[j], spare[i])]
-            if len(j):
-                j = j[earlier(i)[j] == 0]
-            out.append(np.stack([np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])]))
-        a, b = np.concatenate(out, 1)
-        return pa.table({"a": a, "b": b})
+            if ids:
+                met[j] = True
+                met[i] |= len(j) > 0
+            elif len(j):
+                for x in _best_pairs(i, j[earlier(i)[j] == 0], longs, n, comp, percent / 100):
+                    a.append(min(rep[i], rep[x]))
+                    b.append(max(rep[i], rep[x]))
+        if ids:
+            return pa.table({"rep": rep[met]})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -186,7 +219,7 @@ def _verify(percent: int):
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
                 shared = -1
-                if len(x) and len(y) and _union_estimate(x, y) >= percent / 100 - SLACK * (max(len(x), len(y)) > K):
+                if len(x) and len(y) and _union_estimate(x, y) >= percent / 100 - SLACK[K] * (max(len(x), len(y)) > K):
                     shared = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -200,7 +233,16 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     named = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
     sets = cut(docs.mapInArrow(_sets(width, named), "rep long, shingles binary"))
     one, two = (sets.select(F.col("rep").alias(r), F.col("shingles").alias(s)) for r, s in (("a", "x"), ("b", "y")))
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct())
+    found = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct())
+    done(sets)
+    return found
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    """Entries of lists of ``chunks`` parts, each in every block of two parts that it belongs to."""
+    own = entries.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other")).drop("chunks", "other")
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -254,15 +296,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> Da
     entries = entries.where("not few").drop("few")
     placed = entries.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
     mains = placed.groupBy("v", "size").agg(F.mode("comp").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    open_ = placed.join(mains.drop("lo", "hi"), ["v", "size"]).join(long, "rep").withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members")
-    open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("c1", F.least("chunk", "other")).withColumn("c2", F.greatest("chunk", "other")).drop("chunks", "other")
-    more = dealt.groupBy("v", "size", "c1", "c2").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
+    open_ = cut(placed.join(mains.drop("lo", "hi"), ["v", "size"]).withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members"))
+    cell = ("v", "size", "c1", "c2")
+    named = cut(_dealt(open_).groupBy(*cell).applyInArrow(_block_pairs(percent, True), "rep long").distinct())
+    longs = docs.mapInArrow(_sets(width, docs.sparkSession.sparkContext.broadcast(id_filter(named)), True), "rep long, long binary")
+    again = open_.join(named, "rep").join(long, "rep").join(longs, "rep")
+    more = _dealt(again).groupBy(*cell).applyInArrow(_block_pairs(percent, False), "a long, b long").distinct()
     more = cut(more.join(tried, ["a", "b"], "left_anti"))
+    done(open_)
     if not more.isEmpty():
         links = links.unionByName(_links(more, docs, width, percent)).distinct()
         label = components(links)
+    done(lists)
     ids = classes.select("s1", "s2", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(ids, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,11 @@ from lorewell.llm.tokens import mix
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder below the cluster's ``spark.checkpoint.dir``; a machine's own only in local mode where that is unset (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "lorewell-checkpoints")
         spark.sparkContext.setCheckpointDir(base)
         base = "file://" + base
@@ -28,7 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back, so later plans never recompute it."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def done(*frames: DataFrame) -> None:
+    """Removes what ``cut`` wrote of these; no plan that is still to run may read them."""
+    for df in frames:
+        jvm, path = df.sparkSession._jvm, df._cut_path
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -75,7 +88,7 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = 1 << 20)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches that stay small for long texts: a batch ends at either bound."""
+    """Arrow batches that stay small for long texts: a batch ends at either bound. The session keeps these settings, as results are lazy."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
