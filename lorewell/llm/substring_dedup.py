@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lorewell.llm import tokens as tk
-from lorewell.llm.shared import cut, id_filter, in_filter, small_batches, text_chunks
+from lorewell.llm.shared import cut, done, id_filter, in_filter, small_batches, text_chunks
 
 RUN = 0
 #: The levels of each round: RUN, or the words from which a symbol takes no part in a pair.
@@ -378,22 +378,27 @@ def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
         named = state.select("rk", "id", F.explode("ask").alias("name"))
         shared = named.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("name")
         known = named.select("rk", "name").join(shared, "name").groupBy("rk").agg(F.collect_set("name").alias("known"))
-        state = cut(state.join(known, "rk", "left").mapInArrow(_next_task(window, number), _STATE))
+        after = cut(state.join(known, "rk", "left").mapInArrow(_next_task(window, number), _STATE))
+        done(state)
+        state = after
 
     spans = state.select("rk", "id", "open").dropDuplicates(["rk", "id"])
     own_text = rows.select("rk", "id", "text")
     texts = own_text.mapInArrow(_named(spark.sparkContext.broadcast(id_filter(spans)), True), own_text.schema).join(spans, ["rk", "id"]).dropDuplicates(["rk", "id"])
     pieces = cut(texts.mapInArrow(_piece_task(window), _PIECES))
+    done(state)
     least = pieces.groupBy("key").agg(F.min("id").alias("a"), F.min("anchor").alias("anchor"))
     mixed = least.where("anchor <> 0").groupBy("anchor").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("anchor", F.lit(True).alias("mixed"))
     least = least.join(mixed, "anchor", "left").select("key", "a", (F.col("mixed").isNotNull() | (F.col("anchor") == 0)).alias("mixed"))
     met = pieces.drop("anchor").join(least, "key").where("id > a or mixed")
     met = cut(met.select("rk", "id", "lo", F.size("windows").alias("n"), F.when(F.col("id") == F.col("a"), F.col("windows")).alias("windows")))
+    done(pieces)
     copies = met.where("windows is null").select("rk", "id", "lo", "n")
     single = met.where("windows is not null").select("rk", "id", "lo", F.posexplode("windows").alias("i", "w"))
     first = single.groupBy("w").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("w", "a")
     again = single.join(first, "w").where("id > a").select("rk", "id", (F.col("lo") + F.col("i")).alias("lo"), F.lit(1).alias("n"))
     places = cut(copies.unionByName(again).groupBy("rk", "id").agg(F.collect_list(F.struct("lo", "n")).alias("places")))
+    done(met)
     named = spark.sparkContext.broadcast(id_filter(places))
     joined = rows.mapInArrow(_named(named, True), rows.schema).join(places, ["rk", "id"], "left").select("text", "places", "own")
     others = rows.mapInArrow(_named(named, False), rows.schema).select("text", F.lit(None).cast(places.schema["places"].dataType).alias("places"), "own")
