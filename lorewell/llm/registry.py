@@ -49,7 +49,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(_table(spark, sf_dir, "pages"), shared_dir(spark) + "/warc")
-    records = warc.read_warc(manifest)
+    records = warc.read_warc(manifest).where("record_type <> 'damaged'")
     return records.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to_id").alias("refers_to"))
 
 

@@ -3,11 +3,11 @@
 The writer puts each record into a gzip member of its own. The reader cuts files into byte ranges, one task each: a
 task looks for gzip magic from its range's start, accepts a member only if what it inflates begins with a WARC header,
 and owns the records whose member starts inside its range, reading beyond the end to finish the last; so every
-record is read once and whatever number of tasks share a file.
+record is read once and whatever number of tasks share a file. Damaged members are reported, not passed over.
 
 Scale: payload digests come first; only digests that occur twice are grouped, by partial aggregation, and those with
 more than 1 / ``HOT`` of the rows (fewer than ``HOT`` of them) are joined by broadcast, so one payload of a third of
-all pages meets in no single task. Files are written under attempt names; the manifest lists what finished attempts
+all pages meets in no single task. Pages whose digest a filter of bounded size knows as single pass by the join. Files are written under attempt names; the manifest lists what finished attempts
 wrote. Paths may be of any filesystem that Arrow knows.
 
 Defined cases: a null payload is empty; null page ids are written as such and are never the response that others
@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lorewell.llm.shared import shared_dir
+from lorewell.llm.shared import id_filter, in_filter, shared_dir, small_batches
 
 HOT = 1000
 SPLIT_BYTES = 8 << 20
@@ -77,9 +77,20 @@ def _write(folder: str):
     return run
 
 
+def _named(filter_, yes: bool):
+    """Pages whose digest the filter of repeated ones names, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(filter_.value, batch.column(batch.schema.get_field_index("h")).to_numpy()) == yes))
+
+    return run
+
+
 def link_copies(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Pages with refers_to and revisit, from the smallest page_id of each payload that occurs more than once."""
     spark = pages.sparkSession
+    small_batches(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digests = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size"))
     groups = digests.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
@@ -87,14 +98,18 @@ def link_copies(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     groups.write.parquet(path)  # also ends the lineage of what is joined twice
     groups = spark.read.parquet(path)
     n = pages.count()
+    repeated = spark.sparkContext.broadcast(id_filter(groups.select(F.xxhash64("digest"))))
+    pages = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("h", F.xxhash64("digest"))
+    single = pages.mapInArrow(_named(repeated, False), pages.schema).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+    pages = pages.mapInArrow(_named(repeated, True), pages.schema).drop("h")
     hot = groups.where(F.col("n") * HOT > n).select("digest", F.col("refers_to").alias("hot_to"))  # fewer than HOT rows
     rest = groups.where(F.col("n") * HOT <= n).select("digest", "refers_to")
-    known = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(F.broadcast(hot), "digest", "left")
+    known = pages.join(F.broadcast(hot), "digest", "left")
     # a hot row joins nothing by shuffle: its key becomes one that spreads and matches none
     known = known.withColumn("cold", F.when(F.col("hot_to").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
     joined = known.join(rest.withColumnRenamed("digest", "cold"), "cold", "left").withColumn("refers_to", F.coalesce("hot_to", "refers_to"))
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
+    return single.unionByName(joined.select("page_id", "url", "html", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit")))
 
 
 def write_warc(pages: DataFrame, folder: str, *, least_bytes: int = 0) -> DataFrame:
@@ -107,13 +122,28 @@ def write_warc(pages: DataFrame, folder: str, *, least_bytes: int = 0) -> DataFr
 _RECORDS = "path string, at long, record_type string, record_id string, target_uri string, refers_to_id string, payload_bytes long, payload_digest string, payload binary"
 
 
-def _member(f, at: int, size: int, step: int = 1 << 18) -> tuple[bytes, int] | None:
+class _Window:
+    """A file's bytes where the reader is, ``step`` at a time; only what no record began with is read again."""
+
+    def __init__(self, f, step: int):
+        self.f, self.step, self.base, self.held = f, step, 0, b""
+
+    def at(self, where: int, least: int = 1) -> memoryview:
+        """What is held from ``where`` on, ``least`` bytes or more unless the file ends before."""
+        if not 0 <= where - self.base <= len(self.held) - least:
+            self.f.seek(where)
+            self.base, self.held = where, self.f.read(self.step)
+        return memoryview(self.held)[where - self.base :]
+
+
+def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     """What the gzip member at ``at`` holds and where it ends; None if there is no whole WARC record."""
-    out, parts, seen, where = zlib.decompressobj(31), [], 0, at
-    while not out.eof and where < size:
-        f.seek(where)
-        raw = f.read(step)
-        where += len(raw)
+    out, parts, seen, used, take = zlib.decompressobj(31), [], 0, 0, 1 << 12
+    while not out.eof:
+        raw = window.at(at + used)[:take]
+        if not len(raw):
+            return None
+        used, take = used + len(raw), min(2 * take, window.step)
         try:
             got = out.decompress(raw)
         except zlib.error:
@@ -122,9 +152,7 @@ def _member(f, at: int, size: int, step: int = 1 << 18) -> tuple[bytes, int] | N
         seen += len(got)
         if seen >= len(_VERSION) and not b"".join(parts[:2]).startswith(b"WARC/1."):
             return None
-        if not raw:
-            return None
-    return (b"".join(parts), where - len(out.unused_data)) if out.eof and seen else None
+    return (b"".join(parts), at + used - len(out.unused_data)) if seen else None
 
 
 def _parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -137,27 +165,32 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
     return (fields, rest[: int(n)]) if n.isdigit() and len(rest) >= int(n) else None
 
 
-def read_range(f, size: int, start: int, end: int, step: int = 1 << 18) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """The records of the members that start in [start, end)."""
-    at, known = start, start == 0
+def read_range(f, start: int, end: int, step: int = 1 << 18) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """The records of the members that start in [start, end), and for bytes between members that are none a row of type
+    ``damaged`` with their number as its length. What precedes the first member of a later range is its predecessor's."""
+    window, at, known, lost = _Window(f, step), start, start == 0, -1
+    damage = lambda to: (lost, {"warc-type": "damaged", "warc-payload-length": str(to - lost)}, b"")
     while at < end:
-        if not known:  # look for magic that may also cross the end of what was read
-            f.seek(at)
-            window = f.read(min(step, end - at) + len(_MAGIC) - 1)
-            found = window.find(_MAGIC)
+        if not known:  # look for magic that may also cross the end of what is held
+            held = window.at(at, len(_MAGIC))
+            found = bytes(held[: end - at + len(_MAGIC) - 1]).find(_MAGIC)
             if found < 0:
-                at += max(1, len(window) - len(_MAGIC) + 1)
+                at += max(1, min(len(held) - len(_MAGIC) + 1, end - at))
                 continue
             at += found
-            if at >= end:
-                return
-        member = _member(f, at, size)
+        member = _member(window, at)
         fields = member and _parse(member[0])
         if not fields:
+            lost = at if known else lost
             at, known = at + 1, False
             continue
+        if lost >= 0:
+            yield damage(at)
+            lost = -1
         yield at, *fields
         at, known = member[1], True
+    if lost >= 0:
+        yield damage(min(at, end))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +205,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
             with fs.open_input_file(local) as f:
-                for at, h, payload in read_range(f, size, start, end):
-                    revisit = h.get("warc-type") == "revisit"
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base32_sha1(payload)
+                for at, h, payload in read_range(f, start, end):
+                    revisit = h.get("warc-type") in ("revisit", "damaged")
+                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None if revisit else base32_sha1(payload)
                     n = int(h.get("warc-payload-length", "0")) if revisit else len(payload)
                     held.append((path, at, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), n, digest, payload))
                     weight += len(payload)
@@ -186,7 +219,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(manifest: DataFrame, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of the files in ``manifest`` (path, n_bytes); see ``_RECORDS``."""
+    """All records of the files in ``manifest`` (path, n_bytes), see ``_RECORDS``; bytes that are in no record give a row of
+    record_type ``damaged`` each run of them, whose payload_bytes is their number."""
     starts = F.explode(F.expr(f"sequence(0L, greatest(n_bytes - 1, 0L), {split_bytes}L)"))
     ranges = manifest.select("path", "n_bytes", starts.alias("start")).withColumn("end", F.least(F.col("start") + split_bytes, "n_bytes"))
     n = max(1, min(1 << 16, ranges.count()))
