@@ -57,7 +57,8 @@ class ByteCNN:
         """Each filter's output for each byte at each of its places."""
         return np.einsum("be,oef->obf", self.p["e"], self.p["k"]).astype(np.float32)
 
-    def _half_pools(self, tokens: np.ndarray, tables: np.ndarray, where: bool = False):
+    def _half_pools(self, tokens: np.ndarray, at: np.ndarray, tables: np.ndarray, where: bool = False):
+        ends = at[1:] * HALF
         ids = np.concatenate([tokens, np.full(WIDTH - 1, PAD, np.int16)])
         n = len(tokens) // HALF
         pools = np.empty((n, FILTERS), np.float32)
@@ -69,6 +70,9 @@ class ByteCNN:
             out = tables[0].take(own[: len(own) - WIDTH + 1], axis=0)
             for o in range(1, WIDTH):
                 out += tables[o].take(own[o : len(own) - WIDTH + 1 + o], axis=0)
+            own_ends = ends[np.searchsorted(ends, lo * HALF, "right") : np.searchsorted(ends, hi * HALF, "right")]
+            for k in range(1, WIDTH):  # a filter reads padding beyond its text, not the next text
+                out[own_ends - k - lo * HALF] = sum(tables[o].take(ids[own_ends - k + o] if o < k else np.full(len(own_ends), PAD), axis=0) for o in range(WIDTH))
             out = out.reshape(hi - lo, HALF, FILTERS)
             pools[lo:hi] = out.max(1)
             if where:
@@ -95,12 +99,12 @@ class ByteCNN:
         if not self.trained:
             return np.full(len(offsets) - 1, 0.5)
         tokens, at = _padded(data, offsets)
-        return self._head(self._half_pools(tokens, self._tables() if tables is None else tables)[0], at)[-1]
+        return self._head(self._half_pools(tokens, at, self._tables() if tables is None else tables)[0], at)[-1]
 
     def _gradients(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
         offsets = np.cumsum([0, *map(len, texts)])
         tokens, at = _padded(np.frombuffer(b"".join(texts), np.uint8), offsets)
-        pools, places = self._half_pools(tokens, self._tables(), where=True)
+        pools, places = self._half_pools(tokens, at, self._tables(), where=True)
         x, second, h, top, p = self._head(pools, at)
         g = {}
         d = (p - labels) * weights
@@ -114,10 +118,11 @@ class ByteCNN:
         half = np.arange(len(pools))[:, None] + second
         chunk, f = np.nonzero(dx)
         value, at_byte = dx[chunk, f], places[half[chunk, f], f]
+        end = (at[1:] * HALF)[doc[chunk]]
         ids = np.concatenate([tokens, np.full(WIDTH - 1, PAD, np.int16)])
         g["k"], g["e"] = np.zeros_like(self.p["k"]), np.zeros_like(self.p["e"])
         for o in range(WIDTH):
-            b = ids[at_byte + o]
+            b = np.where(at_byte + o < end, ids[at_byte + o], PAD)
             table = np.zeros((PAD + 1, FILTERS))
             np.add.at(table, (b, f), value)
             g["k"][o] = self.p["e"].T @ table
