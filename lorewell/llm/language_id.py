@@ -3,7 +3,9 @@
 One model of character 4-grams a language, each order a sorted array of 64-bit n-gram keys with counts (continuation
 counts below the highest order). Letters are lower-cased; everything else is one boundary symbol. The prediction is
 the language of the lowest cross-entropy a symbol. A text is rejected if that entropy lies above what calibration
-texts of the language show, with a margin that grows for short texts, or if it has no letter.
+texts of the language show, with a margin that grows for short texts, or if it has no letter. The score is the share
+of the best language in the likelihoods; symbols beyond the hundredth weigh no more, or every long text had 1 (the
+prediction reads them all). Letters above U+FFFF share symbols with others, as a key has 16 bits a symbol.
 
 The models learn from every language that ``lang`` names: at most ``PER_LANGUAGE`` texts of each, chosen by row hash,
 and fewer where there are more than ``LANGUAGES`` of them; every fourth of them calibrates. Of a text above ``LONGEST``

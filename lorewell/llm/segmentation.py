@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from lorewell.llm import tokens as tk
 from lorewell.llm.shared import small_batches, text_chunks
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file, unless the session names another under this setting.
+MODEL, SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.lorewell.pieces"
 SAMPLES, ALPHA = 2, 0.3
 KEPT = 1 << 20
 U = np.uint64
@@ -359,11 +360,11 @@ def sample_chunk(lat: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.
 _OUT = "doc_id long, sample int, n_pieces long, pieces binary, log_prob double, perturbed double, inclusion double, decoded string, exact boolean"
 
 
-def sample_segmentations(docs: DataFrame, *, model: str = MODEL, k: int = SAMPLES, alpha: float = ALPHA) -> DataFrame:
+def sample_segmentations(docs: DataFrame, *, model: str | None = None, k: int = SAMPLES, alpha: float = ALPHA) -> DataFrame:
     """Up to k rows a document, by sample from 1: ``pieces`` are the ids as little-endian int32; ``exact``: they decode to the text."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary.load(model))
+    shared = spark.sparkContext.broadcast(Vocabulary.load(model or spark.conf.get(SETTING, MODEL)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
