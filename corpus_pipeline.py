@@ -14,10 +14,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word-shingle similarity 0.8: that of the smallest id. Rows that repeat it stay one."""
+    """One document of each group of five-word-shingle similarity 0.8: that of the smallest id.
+
+    Rows that share its id and text stay one, the least by their other columns; other texts under its id stay too.
+    """
     found = near_dedup.near_duplicates(docs, width=5).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    known = docs.join(found, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest"))
+    return known.select("doc_id", "text", "__rest.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("segmentation", sample_pieces),
 ]
-#: Sampling and the language models have no SQL; the stages are tested against brute force.
+#: Sampling and the language models have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
