@@ -41,7 +41,8 @@ def strip(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    lines = F.transform(F.split(text, r"\n{2,}"), lambda p: F.trim(F.regexp_replace(p, r"\s*\n\s*", " ")))
+    """What stands between empty lines, its lines joined by blanks; nothing for nothing."""
+    lines = F.transform(F.split(text, r"\n{2,}"), lambda p: F.regexp_replace(F.translate(p, "\n", " "), rf"\A[{_BLANK}]+|[{_BLANK}]+\z", ""))
     return F.filter(lines, lambda p: p != "")
 
 

@@ -281,12 +281,13 @@ def reason(linked: Column, shared: Column, top_tag: Column, co_cited: Column) ->
     return F.struct(kind.alias("kind"), F.when(shared > 0, top_tag).alias("detail"))
 
 
-def best_passage(query: list[float], chunks: DataFrame, k: int) -> DataFrame:
-    """id, score, no: the best chunk of each note for one query vector, the k best notes."""
+def best_passage(query: list[float], chunks: DataFrame, k: int | None) -> DataFrame:
+    """id, score, no: the best chunk of each note for one query vector, the k best notes, or all."""
     from lorewell.functions.vectors import dot
 
     scored = chunks.withColumn("score", dot(F.col("v"), F.array(*map(F.lit, query))))
-    return scored.groupBy("id").agg(F.max("score").alias("score"), F.max_by("no", "score").alias("no")).orderBy(F.desc("score"), "id").limit(k)
+    best = scored.groupBy("id").agg(F.max("score").alias("score"), F.max_by("no", "score").alias("no"))
+    return best if k is None else best.orderBy(F.desc("score"), "id").limit(k)
 
 
 def by_keywords(queries: DataFrame, docs: DataFrame, k: int, least_letters: int = 4) -> DataFrame:

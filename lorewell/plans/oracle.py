@@ -232,6 +232,13 @@ SQL: dict[str, str] = {
         SELECT doc, unnest([11 + 3 * length(w), 25 + 5 * length(w)])::INTEGER AS start, lower(w) AS surface FROM w WHERE length(w) >= 3""",
     "rebuild_predicate": """SELECT * FROM (VALUES ('model_id', 'engine'), ('device', 'engine'), ('index_speed', 'engine'), ('chunking', 'force'), ('max_chunks', 'force'),
         ('show_summary', 'force'), ('heading_context', 'force'), ('top_k', NULL), ('min_similarity', NULL)) t(setting, rebuild)""",
+    "paragraph_split": f"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\. ', '.' || chr(10), 'g'), '! |\\? ', chr(10) || chr(10) || chr(10), 'g') AS t FROM documents),
+        p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\n{{2,}}'), lambda p: regexp_replace(regexp_replace(replace(p, chr(10), ' '), '^[{_BLANK}]+', ''), '[{_BLANK}]+$', '')), lambda p: p <> '') AS p FROM d)
+        SELECT doc_id, (unnest(range(1, len(p) + 1)) - 1)::INTEGER AS no, md5(unnest(p)) AS text_md5 FROM p""",
+    "whole_note_text": f"SELECT doc_id, md5(left('note ' || doc_id || '. ' || {_cleaned('text')}, 6000)) AS text_md5 FROM documents",
+    "cache_expiry": "SELECT user_id AS path, max(event_id) AS mtime FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) = 'view'",
+    "index_header": """WITH n AS (SELECT vec_id // 10, any_value(len(embedding)) AS dims, count(*) AS c FROM embeddings GROUP BY 1)
+        SELECT 4::INTEGER AS version, 'm' AS model_id, max(dims)::INTEGER AS dims, true AS quantized, false AS has_chunk_text, sum(dims * (4 + c))::BIGINT AS total_bytes FROM n""",
     "index_round_trip": "SELECT vec_id::VARCHAR AS path, vec_id AS mtime, 'l' AS label, (vec_id % 2 = 0)::INTEGER AS n_ideas FROM embeddings WHERE vec_id % 7 <> 0",
 }
 SQL["suggestion_list"] = f"""WITH nn AS ({SQL['new_concepts_antijoin']}),

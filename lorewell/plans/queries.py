@@ -578,6 +578,34 @@ def upserts(spark, sf):
     return changes.upsert(held, told, lambda rows: rows.select("path", F.col("ts").alias("mtime")))
 
 
+@query
+def paragraph_split(spark, sf):
+    """Paragraphs of the documents with their sentences' ends as line ends."""
+    text = F.regexp_replace(F.regexp_replace("text", r"\. ", ".\n"), r"! |\? ", "\n\n\n")
+    found = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.paragraphs(text)).alias("no", "p"))
+    return found.select("doc_id", "no", F.md5(F.col("p").cast("binary")).alias("text_md5"))
+
+
+@query
+def whole_note_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.whole_note(F.concat(F.lit("note "), F.col("doc_id").cast("string")), F.col("text")).cast("binary")).alias("text_md5"))
+
+
+@query
+def cache_expiry(spark, sf):
+    """Users' cached views that are still their last event."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("mtime"), "event_type")
+    return changes.still_valid(e.where("event_type = 'view'").select("path", "mtime"), e.groupBy("path").agg(F.max("mtime").alias("mtime")))
+
+
+@query
+def index_header(spark, sf):
+    """The header of an index of notes of ten chunks, from their places in one blob."""
+    e = table(spark, sf, "embeddings")
+    notes = e.groupBy(F.floor(F.col("vec_id") / 10).cast("string").alias("path")).agg(F.first(F.size("embedding")).alias("dims"), F.count("*").cast("int").alias("chunk_count"))
+    return index_store.header(index_store.manifest(notes), "m", False)
+
+
 @query
 def index_round_trip(spark, sf):
     """The index written as tables and read back: rows that its guards keep."""

@@ -6,14 +6,14 @@ import base64
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 VERSION = 4
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """path, basename, folder, body, mtime (ms) of all Markdown files below a folder."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(path)
+    """path, basename, folder, body, mtime (ms) of all Markdown files below a folder, but empty ones, which Spark's file sources skip."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"), F.unix_millis("_metadata.file_modification_time").alias("mtime"))
     return rows.select("path", F.regexp_extract("path", r"([^/]*)\.md$", 1).alias("basename"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), "body", "mtime")
 
@@ -99,6 +99,27 @@ def from_legacy(lines: DataFrame) -> DataFrame:
     return kept.select("path", "mtime", "dims", F.col("chunkCount").alias("chunk_count"), F.col("meanVector").alias("mean"), F.transform("chunks.scales", row).alias("chunks"))
 
 
+def manifest(entries: DataFrame, buckets: int = 256) -> DataFrame:
+    """entries: path, dims, chunk_count, ... -> with mean_offset and chunk_offset: where each entry's bytes lie in one blob
+    that holds all float32 means first, then all int8 chunks, in the order of a hash bucket and the path.
+
+    Offsets are running sums within a bucket and the sums of the buckets before, so no task sees more than a bucket.
+    """
+    sized = entries.withColumn("__bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).withColumn("__mean", 4 * F.col("dims").cast("long")).withColumn("__chunks", F.col("dims").cast("long") * F.col("chunk_count"))
+    sums = sized.groupBy("__bucket").agg(F.sum("__mean").alias("m"), F.sum("__chunks").alias("c"))
+    before = sums.alias("x").join(sums.alias("y"), F.col("y.__bucket") < F.col("x.__bucket"), "left").groupBy("x.__bucket").agg(F.coalesce(F.sum("y.m"), F.lit(0)).alias("m0"), F.coalesce(F.sum("y.c"), F.lit(0)).alias("c0"))
+    before = before.crossJoin(sums.agg(F.sum("m").alias("all_means")))
+    own = Window.partitionBy("__bucket").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("m", F.coalesce(F.sum("__mean").over(own), F.lit(0))).withColumn("c", F.coalesce(F.sum("__chunks").over(own), F.lit(0))).join(F.broadcast(before), "__bucket")
+    return placed.withColumn("mean_offset", F.col("m0") + F.col("m")).withColumn("chunk_offset", F.col("all_means") + F.col("c0") + F.col("c")).select(*entries.columns, "mean_offset", "chunk_offset")
+
+
+def header(placed: DataFrame, model_id: str, has_chunk_text: bool) -> DataFrame:
+    """One row: version, model_id, dims, quantized, has_chunk_text, total_bytes, of what ``manifest`` placed."""
+    total = F.coalesce(F.sum(4 * F.col("dims").cast("long") + F.col("dims").cast("long") * F.col("chunk_count")), F.lit(0))
+    return placed.agg(F.lit(VERSION).alias("version"), F.lit(model_id).alias("model_id"), F.coalesce(F.max("dims"), F.lit(0)).alias("dims"), F.lit(True).alias("quantized"), F.lit(has_chunk_text).alias("has_chunk_text"), total.alias("total_bytes"))
+
+
 def pack(entries: list[dict]) -> tuple[str, bytes]:
     """A manifest and one blob: all float32 means first, then all int8 chunks, with byte offsets in the manifest."""
     means = [np.array(e["mean"], "<f4").tobytes() for e in entries]

@@ -16,11 +16,14 @@ def uniform(*key: Column) -> Column:
 
 
 def index(spark: SparkSession, notes: int = NOTES, dims: int = DIMS, seed: int = 1) -> DataFrame:
-    """path, mtime, dims, chunk_count, chunks array<struct<q, scale>>: 1 to 33 chunks a note, most often 17."""
+    """path, mtime, dims, chunk_count, chunks array<struct<q, scale>>, mean: 1 to 33 chunks a note, most often 17."""
     n = spark.range(notes).withColumnRenamed("id", "note")
     s = F.lit(seed)
     n = n.withColumn("chunk_count", (1 + F.floor((uniform(s, "note", F.lit(-1)) + uniform(s, "note", F.lit(-2))) * SPAN + 0.5)).cast("int"))
     raw = lambda c: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: uniform(s, F.col("note"), c, i) * 2 - 1)
     rows = F.transform(F.sequence(F.lit(0), F.col("chunk_count") - 1), lambda c: vx.quantize(vx.unit(raw(c))))
     path = F.concat(F.lit("notes/note-"), F.col("note").cast("string"), F.lit(".md"))
-    return n.select(path.alias("path"), (F.col("note") + FIRST_MTIME).alias("mtime"), F.lit(dims).alias("dims"), "chunk_count", rows.alias("chunks"))
+    made = n.select(path.alias("path"), (F.col("note") + FIRST_MTIME).alias("mtime"), F.lit(dims).alias("dims"), "chunk_count", rows.alias("chunks"))
+    zero = F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda _: F.lit(0.0))
+    sums = F.aggregate("chunks", zero, lambda s, c: F.zip_with(s, vx.dequantize(c["q"], c["scale"]), lambda x, y: x + y))
+    return made.withColumn("mean", vx.unit(sums))

@@ -31,6 +31,11 @@ def to_embed(notes: DataFrame, index: DataFrame, force: bool = False) -> DataFra
     return notes if force else notes.join(index.select("path", "mtime"), ["path", "mtime"], "left_anti")
 
 
+def still_valid(cache: DataFrame, notes: DataFrame) -> DataFrame:
+    """cache: path, mtime, ... -> the entries whose note is still there with the same mtime; others have expired."""
+    return cache.join(notes.select("path", "mtime").distinct(), ["path", "mtime"], "left_semi")
+
+
 def _settled(changes: DataFrame) -> DataFrame:
     """What a batch of changes (path, op, new_path, ts, ...) leaves: path, root, gone (a row of the index that is no more), touched (the last create or modify).
 
