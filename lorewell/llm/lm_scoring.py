@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorewell.llm import tokens as tk
-from lorewell.llm.shared import cut, small_batches, text_chunks
+from lorewell.llm.shared import cut, small_batches, text_chunks, trim
 
 U = np.uint64
 BASE = 1.5
@@ -186,6 +186,7 @@ def _build_shard(bits_per_entry: int):
         order = np.argsort(hist)
         at = np.flatnonzero(tk.first_of_runs(hist[order]))
         words = pa.StructArray.from_arrays([_signed(hist[order][at]), pa.array(np.add.reduceat(n[order], at)), pa.array(np.diff(np.append(at, len(hist))))], ["hist", "c", "kinds"])
+        trim()
         cuts = [0, *range(SLICE, len(at), SLICE), len(at)]
         rows = len(cuts) - 1
         return pa.table({"shard": pa.array([key[0].as_py()] * rows, pa.int32()), "bits": pa.array([bits.tobytes(), *[None] * (rows - 1)], pa.binary()), "words": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words)})

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lorewell.llm import tokens as tk
 from lorewell.llm.components import components
-from lorewell.llm.shared import cut, done, id_filter, in_filter, small_batches, text_chunks
+from lorewell.llm.shared import cut, done, id_filter, in_filter, small_batches, text_chunks, trim
 
 K, PREFIX, SMALL, FEW, BLOCK = 64, 31, 50, 24, 4096
 BITS, LONG, BEST = 256, 256, 3
@@ -223,6 +223,7 @@ def _verify(percent: int):
                     shared = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            trim()
 
     return run
 

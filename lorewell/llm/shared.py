@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -14,6 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorewell.llm.tokens import mix
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's ``spark.checkpoint.dir``; a machine's own only in local mode where that is unset (tests)."""
@@ -85,12 +92,20 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text", limit: int = 1 << 20)
     data, offsets = utf8(batch.column(batch.schema.get_field_index(name)))
     for lo, hi in row_chunks(offsets, limit):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on for later stages, and what they keep counts beside the heap."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches that stay small for long texts: a batch ends at either bound. The session keeps these settings, as results are lazy."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def _filter_words(bits: int):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lorewell.llm import tokens as tk
-from lorewell.llm.shared import cut, done, id_filter, in_filter, small_batches, text_chunks
+from lorewell.llm.shared import cut, done, id_filter, in_filter, small_batches, text_chunks, trim
 
 RUN = 0
 #: The levels of each round: RUN, or the words from which a symbol takes no part in a pair.
@@ -294,6 +294,7 @@ def _next_task(window: int, number: int):
                 fresh = np.maximum.reduceat(fresh, x.at) | (x.count > 1)
                 name, size = x.name, x.size
             yield _state(col["rk"], col["id"], n, name, size, before, after, opened, fresh, window)
+            trim()
 
     return run
 
@@ -361,6 +362,7 @@ def _cut_task(window: int):
                 n_words.append(n)
                 n_removed.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["own", *RESULT])
+            trim()
 
     return run
 
