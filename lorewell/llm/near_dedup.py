@@ -296,8 +296,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 2, percent: int = 80) -> Da
     long = lists.where("not few").groupBy("rep").agg(F.collect_list("v").alias("listed"))
     entries = entries.where("not few").drop("few")
     placed = entries.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-    mains = placed.groupBy("v", "size").agg(F.mode("comp").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    open_ = cut(placed.join(mains.drop("lo", "hi"), ["v", "size"]).withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members"))
+    shares = placed.groupBy("v", "size", "comp").agg(F.count("*").alias("k"))
+    mains = shares.groupBy("v", "size").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("k").alias("members")).where("comps > 1").select("v", "size", "main.comp", "members").withColumnRenamed("comp", "main")
+    open_ = cut(placed.join(mains, ["v", "size"]).withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members"))
     cell = ("v", "size", "c1", "c2")
     named = cut(_dealt(open_).groupBy(*cell).applyInArrow(_block_pairs(percent, True), "rep long").distinct())
     longs = docs.mapInArrow(_sets(width, docs.sparkSession.sparkContext.broadcast(id_filter(named)), True), "rep long, long binary")
