@@ -180,7 +180,7 @@ def train(docs: DataFrame) -> Identifier:
 def _predict(model, columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch):
+            for lo, hi, data, offsets in text_chunks(batch, trimmed=False):
                 lang, score, rejected, entropy = model.value.predict(data, offsets)
                 kept = [c.slice(lo, hi - lo) for c in batch.columns[:columns]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected), pa.array(entropy)], names=[*batch.schema.names[:columns], "lang_pred", "score", "rejected", "entropy"])
@@ -207,7 +207,7 @@ def accepted(docs: DataFrame, *, modulus: int = 4, remainder: int = 2) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch):
+            for lo, hi, data, offsets in text_chunks(batch, trimmed=False):
                 rejected = model.value.predict(data, offsets)[2]
                 yield batch.slice(lo, hi - lo).filter(pa.array(~rejected))
 

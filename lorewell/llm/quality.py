@@ -169,7 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remainder:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.value._tables()
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch, limit=1 << 20):
+            for lo, hi, data, offsets in text_chunks(batch, trimmed=False):
                 score = model.value.score(data, offsets, tables)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

@@ -373,7 +373,7 @@ def sample_segmentations(docs: DataFrame, *, model: str | None = None, k: int =
         types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.float64()] * 3, pa.string(), pa.bool_()]
         for batch in batches:
             keys = batch.column(2).to_numpy().view(U)
-            for lo, hi, data, offsets in text_chunks(batch, limit=3 << 18):
+            for lo, hi, data, offsets in text_chunks(batch, limit=3 << 18, trimmed=False):
                 rows = []
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
                 raw = data.tobytes()
