@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from lorewell.functions.vectors import let
+
 WORDS, SHORT_TAIL, CHARS = 80, 10, 480
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
 
@@ -82,6 +84,8 @@ def chunks(basename: Column, body: Column, most: int = 48) -> Column:
     return F.concat(F.array(basename), F.slice(passages_of(body), 1, most - 1))
 
 
-def n_dropped(body: Column, most: int = 48) -> Column:
-    """How many passages ``chunks`` leaves out. What the reference does above the cap is unknown; this is counted, not hidden."""
-    return F.greatest(F.size(passages_of(body)) - (most - 1), F.lit(0))
+def chunked(basename: Column, body: Column, most: int = 48) -> Column:
+    """struct<chunks, n_dropped>: what ``chunks`` gives, and how many passages it leaves out. What the reference does above
+    the cap is unknown; this is counted, not hidden."""
+    own = lambda p: F.struct(F.concat(F.array(basename), F.slice(p, 1, most - 1)).alias("chunks"), F.greatest(F.size(p) - (most - 1), F.lit(0)).alias("n_dropped"))
+    return let(passages_of(body), own)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from lorewell.functions.chunking import n_words, passages
+from lorewell.functions.vectors import let
 
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*\r?$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
@@ -112,9 +113,11 @@ def chunks(basename: Column, body: Column, *, most: int = 48, heading_context: b
     return F.concat(F.array(title), F.slice(made, 1, most - 1))
 
 
-def n_dropped(basename: Column, body: Column, *, most: int = 48) -> Column:
-    """How many passages ``chunks`` leaves out."""
-    return F.greatest(F.size(_without_context(basename, body)) - (most - 1), F.lit(0))
+def chunked(basename: Column, body: Column, *, most: int = 48, heading_context: bool = True) -> Column:
+    """struct<chunks, n_dropped>: what ``chunks`` gives, and how many passages it leaves out."""
+    title = F.struct(F.lit(0).alias("section"), F.coalesce(basename, F.lit("")).alias("text"))
+    own = lambda p: F.struct(F.concat(F.array(title), F.slice(p, 1, most - 1)).alias("chunks"), F.greatest(F.size(p) - (most - 1), F.lit(0)).alias("n_dropped"))
+    return let((_with_context if heading_context else _without_context)(basename, body), own)
 
 
 def ideas(parts: list[str], section: list[int]) -> list[int]:

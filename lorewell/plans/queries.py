@@ -349,7 +349,8 @@ def percent_pills(spark, sf):
 @query
 def chunk_windows(spark, sf):
     d = table(spark, sf, "documents")
-    made = d.select("doc_id", chunking.n_dropped(F.col("text")).alias("n_dropped"), F.posexplode(chunking.chunks(F.concat(F.lit("note "), F.col("doc_id").cast("string")), F.col("text"))).alias("no", "chunk"))
+    made = d.select("doc_id", chunking.chunked(F.concat(F.lit("note "), F.col("doc_id").cast("string")), F.col("text")).alias("c"))
+    made = made.select("doc_id", "c.n_dropped", F.posexplode("c.chunks").alias("no", "chunk"))
     return made.select("doc_id", "no", F.length("chunk").alias("n_chars"), F.xxhash64("chunk").alias("hash"), "n_dropped")
 
 
@@ -374,7 +375,7 @@ def section_split(spark, sf):
 
 @query
 def heading_context(spark, sf):
-    made = _noted(spark, sf).select("doc_id", sections.n_dropped(F.col("name"), F.col("body")).alias("n_dropped"), F.posexplode(sections.chunks(F.col("name"), F.col("body"))).alias("no", "c"))
+    made = _noted(spark, sf).select("doc_id", sections.chunked(F.col("name"), F.col("body")).alias("c")).select("doc_id", "c.n_dropped", F.posexplode("c.chunks").alias("no", "c"))
     return made.select("doc_id", "no", "c.section", F.length("c.text").alias("n_chars"), F.xxhash64("c.text").alias("hash"), "n_dropped")
 
 
