@@ -10,8 +10,10 @@ that a chunk has bigrams of, so never more rows than bigrams). Shards are dealt
 word is spread over all of them, and their number grows with the training text: ``SHARD_BYTES`` of it for each, so none
 grows. What shards know of words (counts, and the kinds of words that follow) is summed by a plain aggregation, and the
 words' part of the filter built in shards of its own. The filter is broadcast if it has at most ``broadcast_bytes``. A
-larger one stays where it is: each chunk of texts sends its distinct probes to their shards, where they stream past the
-shard's bits, and the levels come back to the chunk; the corpus is read once and the probes grow in proportion to it.
+larger one stays where it is: each chunk of texts sends its distinct probes to their shards, sorted and packed (a blob for
+each shard that it asks), where they meet the shard's bits, and the levels come back to the chunk's texts, which travel
+compressed; the corpus is read once and the probes grow in proportion to it. Probes are dealt once and only levels are
+written, so that path takes less than three times the input of disk.
 Exact unigram counts (for ``base_score``) come from a head table, the most frequent words, at most ``HEAD``; of all other
 words a document sends a row each to a join.
 
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorewell.llm import tokens as tk
-from lorewell.llm.shared import cut, small_batches, text_chunks, trim
+from lorewell.llm.shared import cut, done, small_batches, text_chunks, trim
 
 U = np.uint64
 BASE = 1.5
@@ -37,7 +39,7 @@ BITS_PER_ENTRY, PROBES, LINE = 12, 4, 8  # LINE words of 64 bits
 HEAD, LEAST_HEAD = 1 << 20, 1 << 12  # words in the head table at most; counts told apart where its last is sought
 SHARD_BYTES, SHARD_WORDS = 24 << 20, 1 << 20  # of training text for a shard of bigrams; words of one of words
 SLICE = 1 << 16  # words in a row
-CHUNK = 4 << 20  # bytes of text that send their probes together, where the filter is not broadcast
+CHUNK = 12 << 20  # bytes of text that send their probes together, where the filter is not broadcast
 END, START = U(0x5EED0E4D0F7EC57), U(0x0057A47C0DE0F5E9)
 _UNI, _TYPES = U(0x11D0BEEF5A17), U(0x77C0FFEE1234)
 
@@ -280,66 +282,109 @@ def _score_task(filter_, shards: tuple[int, int], head_, n: int, v: int, docs: i
     return run
 
 
-_ASKED = "chunk long, shard int, key long, ids array<long>, held array<boolean>, tokens array<long>, bounds array<int>"
+def _by_shard(ask: np.ndarray, shard: np.ndarray, few: int) -> np.ndarray:
+    """The order of ``_keys`` by shard and key: bigrams have it already, words come first."""
+    words = np.count_nonzero(shard >= few)
+    return np.concatenate([np.arange(words, len(ask)), np.argsort(ask[:words], kind="stable")])
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences, whose high bytes are mostly 0."""
+    steps = np.diff(keys, prepend=U(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+
+
+_ASKED = "chunk long, shard int, part int, n int, blob binary, ids array<long>, held array<boolean>, bounds array<long>"
+_ASKED_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(_ASKED_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ASKED_TYPES)], names=[x.split()[0] for x in _ASKED.split(", ")])
 
 
 def _ask_task(shards: tuple[int, int]):
-    """A row a chunk with its tokens, and a row a distinct key that it asks for."""
+    """Rows of a chunk's texts, in parts, and a row a shard with the distinct keys that the chunk asks for there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
+        number, chunk, part, size, tokens = TaskContext.get().partitionId() << 40, None, 0, 0, []
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            t, before = (np.concatenate(x) for x in zip(*tokens))
+            types, _, key, _ = _probes(t, before)
+            ask, shard = _keys(types, key, shards)
+            order = _by_shard(ask, shard, shards[0])
+            ask, shard = ask[order], shard[order]
+            cuts = np.append(np.flatnonzero(tk.first_of_runs(shard)), len(shard)).tolist()
+            for i in range(0, len(cuts) - 1, 256):
+                yield _asked([(chunk, int(shard[a]), None, b - a, _pack(ask[a:b]), None, None, None) for a, b in zip(cuts[i : i + 256], cuts[i + 1 : i + 257])])
+            trim()
+
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch, limit=CHUNK):
-                t, before, bounds = _bigrams(*tk.words(data, offsets, fold=True))
-                types, _, key, _ = _probes(t, before)
-                ask, shard = _keys(types, key, shards)
-                ask, at = np.unique(ask, return_index=True)
-                shard = shard[at]
-                one = lambda x, kind: pa.array([x], pa.list_(kind))
-                row = [pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), one(batch.column(0).slice(lo, hi - lo), pa.int64()), one(batch.column(1).slice(lo, hi - lo), pa.bool_()), one(t.view(np.int64), pa.int64()), one(bounds, pa.int32())]
-                names = [x.split()[0] for x in _ASKED.split(", ")]
-                yield pa.RecordBatch.from_arrays(row, names=names)
-                for a in range(0, len(ask), 1 << 16):
-                    part = ask[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(shard[a : a + (1 << 16)], pa.int32()), _signed(part), *(pa.nulls(len(part), pa.list_(k)) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int32()))], names=names)
-                number += hi - lo
+            for lo, hi, data, offsets in text_chunks(batch):
+                if tokens and size + len(data) > CHUNK:
+                    yield from asked()
+                    chunk, part, size, tokens = None, 0, 0, []
+                chunk = number if chunk is None else chunk
+                tokens.append(_bigrams(*tk.words(data, offsets, fold=True))[:2])
+                text = pa.compress(data.tobytes(), "zstd", asbytes=True)
+                ids, held = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(2))
+                yield _asked([(chunk, (chunk + part) % sum(shards), part, None, text, ids, held, offsets)])
+                number, part, size = number + hi - lo, part + 1, size + len(data)
+        if tokens:
+            yield from asked()
 
     return run
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by shard, its bits first: the levels of the keys that pass."""
-    f = Filter({}, 1)
+    """Rows by shard, its bits (without a chunk) first: texts as they are, of the keys the levels."""
+    f, own = Filter({}, 1), -1
     for batch in batches:
-        bits = batch.column(3)
-        edges = [*np.flatnonzero(np.asarray(bits.is_valid())).tolist(), batch.num_rows]
-        lo = 0
-        for hi in edges:
-            part = batch.slice(lo, hi - lo)
-            ask = np.flatnonzero(np.asarray(part.column(2).is_valid()))
-            if len(ask):
-                key = part.column(2).take(pa.array(ask)).to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ask)), pa.array(key), pa.array(f.levels(key.view(U), np.zeros(len(key), np.int64)), pa.int32())], names=["chunk", "key", "level"])
-            if hi < batch.num_rows:
-                own = bits[hi].as_py()
-                f = Filter({0: len(own)}, 1)
-                f.fill(0, own)
-            lo = hi
+        n, shard = batch.column(3).to_pylist(), batch.column(1).to_pylist()
+        blobs, keep = batch.column(4).to_pylist(), np.asarray(batch.column(0).is_valid())
+        for i, blob in enumerate(blobs):
+            if not keep[i]:
+                f, own = Filter({0: len(blob)}, 1), shard[i]
+                f.fill(0, blob)
+            elif n[i] is not None:
+                levels = f.levels(_unpack(blob, n[i]), np.zeros(n[i], np.int64)) if own == shard[i] else np.zeros(n[i], np.uint8)
+                blobs[i] = pa.compress(levels.tobytes(), "zstd", asbytes=True)
+        columns = [pa.array(blobs, pa.binary()) if i == 4 else c for i, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
 
 
 def _finish_chunk(shards: tuple[int, int], head_, n: int, v: int, docs: int):
-    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        key, level = answers["key"].to_numpy().view(U), answers["level"].to_numpy()
-        order = np.argsort(key)
-        key, level = key[order], level[order]
-        row = {c: chunks[c].combine_chunks() for c in chunks.column_names}
-        t, bounds = row["tokens"].flatten().to_numpy().view(U), row["bounds"].flatten().to_numpy().astype(np.int64)
-        before = np.empty(len(t), U)
-        before[1:] = t[:-1]
-        before[bounds[:-1]] = START
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        levels = sorted((r["shard"], r["n"], r["blob"]) for r in rows if r["n"] is not None)
+        level = np.concatenate([np.frombuffer(pa.decompress(blob, size, "zstd", asbytes=True), np.uint8) for _, size, blob in levels])
+
+        def answer(ask: np.ndarray, shard: np.ndarray) -> np.ndarray:
+            out = np.empty(len(ask), np.uint8)
+            out[_by_shard(ask, shard, shards[0])] = level
+            return out
+
+        parts, ids, held, at = [], [], [], 0
+        for r in sorted((r for r in rows if r["n"] is None), key=lambda r: r["part"]):
+            offsets = np.array(r["bounds"], np.int64)
+            data = np.frombuffer(pa.decompress(r["blob"], int(offsets[-1]), "zstd", asbytes=True), np.uint8)
+            t, before, bounds = _bigrams(*tk.words(data, offsets, fold=True))
+            parts.append((t, before, bounds[:-1] + at))
+            ids += r["ids"]
+            held += r["held"]
+            at += len(t)
+        t, before, bounds = (np.concatenate(x) for x in zip(*parts))
+        del rows, parts
         head = [np.frombuffer(x, d) for x, d in zip(head_.value, (U, np.int64))]
-        number = row["chunk"][0].as_py()
-        return pa.Table.from_batches([_scored(number, row["ids"].flatten(), row["held"].flatten(), t, before, bounds, lambda k, _: level[np.searchsorted(key, k)], shards, head, n, v, docs)])
+        out = _scored(key[0].as_py(), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), t, before, np.append(bounds, at), answer, shards, head, n, v, docs)
+        trim()
+        return pa.Table.from_batches([out])
 
     return run
 
@@ -375,10 +420,14 @@ def score_documents(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, br
     order = np.argsort(head[0])
     head = spark.sparkContext.broadcast(tuple(x[order].tobytes() for x in head))
 
-    shards = few, max(1, -(-v // SHARD_WORDS))
+    shards = few, max(-(-v // SHARD_WORDS), -(-few // 4))  # chunks ask a few times as many bigrams as words
     entries = words.select("hist", "c", "kinds").mapInArrow(_word_entries(*shards), "shard int, key long, level int")
-    built = built.where("bits is not null").select("shard", "bits").unionByName(cut(entries.groupBy("shard").applyInArrow(_build_words(bits_per_entry), "shard int, bits binary")))
+    own = cut(entries.groupBy("shard").applyInArrow(_build_words(bits_per_entry), "shard int, bits binary"))
+    bits = cut(built.where("bits is not null").select("shard", "bits"))
+    done(built)  # its words, which take more than the bits, are summed
+    built = bits.unionByName(own)
     sizes = built.agg(F.sum(F.length("bits"))).first()[0] or 0
+    answered = None
     if sizes <= broadcast_bytes:
         f = Filter({r[0]: r[1] for r in built.select("shard", F.length("bits")).collect()}, sum(shards))
         for r in built.toLocalIterator():
@@ -386,13 +435,13 @@ def score_documents(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, br
         f = spark.sparkContext.broadcast(f)
         scored = docs.mapInArrow(_score_task(f, shards, head, n, v, n_docs), _SCORED)
     else:
-        asked = cut(docs.mapInArrow(_ask_task(shards), _ASKED))
-        passing = asked.where("key is not null").select("chunk", "shard", "key", F.lit(None).cast("binary").alias("bits"))
-        passing = passing.unionByName(built.select(F.lit(None).cast("long").alias("chunk"), "shard", F.lit(None).cast("long").alias("key"), "bits"))
-        passing = passing.repartition("shard").sortWithinPartitions("shard", F.col("bits").isNull())
-        answers = passing.mapInArrow(_answer, "chunk long, key long, level int")
-        scored = asked.where("key is null").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish_chunk(shards, head, n, v, n_docs), _SCORED)
+        asked = docs.mapInArrow(_ask_task(shards), _ASKED)
+        stored = built.select(*((F.col({"shard": "shard", "blob": "bits"}[c]) if c in ("shard", "blob") else F.lit(None)).cast(kind).alias(c) for c, kind in (x.split() for x in _ASKED.split(", "))))
+        dealt = asked.unionByName(stored).repartition("shard").sortWithinPartitions("shard", F.col("chunk").isNotNull())
+        answered = cut(dealt.mapInArrow(_answer, _ASKED))
+        scored = answered.groupBy("chunk").applyInArrow(_finish_chunk(shards, head, n, v, n_docs), _SCORED)
     scored = cut(scored)
+    done(bits, own, *([answered] if answered else []))
     rest = scored.where("word is not null").select("row", "word", "times").join(words.select(word, "c"), "word")
     rest = rest.groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
     out = scored.where("word is null").drop("word", "times").join(rest, "row", "left")

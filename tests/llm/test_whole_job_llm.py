@@ -1,8 +1,12 @@
 """Operators do the whole job, beyond what the small tables show."""
 
+import os
+import time
+
 import numpy as np
+import pytest
 
-from lorewell.llm import language_id, near_dedup
+from lorewell.llm import language_id, lm_scoring, near_dedup, shared
 
 
 def test_near_dedup_of_a_text_inside_another(spark):
@@ -19,3 +23,44 @@ def test_every_language_is_learned(spark):
     assert model.languages == sorted({x for x, _ in rows})
     texts = [(chr(0x4E00 + i) * 3).encode() for i in range(70)] + [b"word word"]
     assert model.predict(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))[0] == model.languages
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+
+    def shuffled():
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        return {str(f) for i in range(files.size()) if "shuffle_" in str(f := files.apply(i))}
+
+    before, df = shuffled(), spark.range(10_000).groupBy("id").count()
+    assert shared.cut(df).count() == 10_000
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not [f for f in left if os.path.getsize(f) > 10_000]
+    assert spark.conf.get(shared.FREED, None) is None
+
+
+def test_probes_of_a_large_filter_take_little_disk(spark, monkeypatch):
+    """Texts go compressed, of the probes only the levels are written."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"word{int(x)}" for x in r.geometric(0.002, 3000)) for _ in range(60)]
+    rows, written = [*enumerate(texts), (60, ""), (61, None)], []
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    want = sorted((x.doc_id, x.n_tokens, x.n_known, x.base_score, x.score) for x in lm_scoring.score_documents(docs).collect())
+
+    def cut(df):
+        out = shared.cut(df)
+        top = out._cut_path.removeprefix("file://")
+        written.append((df.columns, sum(os.path.getsize(f"{top}/{f}") for f in os.listdir(top))))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "cut", cut)
+    for chunk in (lm_scoring.CHUNK, 50_000):  # several parts a chunk, and several chunks
+        monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
+        got = sorted((x.doc_id, x.n_tokens, x.n_known, x.base_score, x.score) for x in lm_scoring.score_documents(docs, broadcast_bytes=64).collect())
+        assert [x[:3] for x in got] == [x[:3] for x in want]
+        assert [x for w in got for x in w[3:]] == pytest.approx([x for w in want for x in w[3:]])
+    asked = max(size for columns, size in written if "chunk" in columns)
+    assert asked < 0.6 * sum(map(len, texts))
