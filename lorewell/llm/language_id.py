@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm.lm_scoring import held_out
-from lorewell.llm.shared import small_batches, text_chunks
+from lorewell.llm.shared import small_batches, text_chunks, trim
 
 ORDER = 4
 PER_LANGUAGE, LONGEST, LANGUAGES = 400, 1 << 16, 64
@@ -210,5 +210,6 @@ def accepted(docs: DataFrame, *, modulus: int = 4, remainder: int = 2) -> DataFr
             for lo, hi, data, offsets in text_chunks(batch, trimmed=False):
                 rejected = model.value.predict(data, offsets)[2]
                 yield batch.slice(lo, hi - lo).filter(pa.array(~rejected))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

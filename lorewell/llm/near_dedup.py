@@ -205,6 +205,8 @@ def _block_pairs(percent: int, ids: bool):
                 for x in _best_pairs(i, j[earlier(i)[j] == 0], longs, n, comp, percent / 100):
                     a.append(min(rep[i], rep[x]))
                     b.append(max(rep[i], rep[x]))
+        if len(rep) > 1000:
+            trim()
         if ids:
             return pa.table({"rep": rep[met]})
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})

@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from lorewell.llm import language_id, lm_scoring, near_dedup, shared
+from lorewell.llm import language_id, lm_scoring, near_dedup, segmentation, shared
 
 
 def test_near_dedup_of_a_text_inside_another(spark):
@@ -64,3 +64,14 @@ def test_probes_of_a_large_filter_take_little_disk(spark, monkeypatch):
         assert [x for w in got for x in w[3:]] == pytest.approx([x for w in want for x in w[3:]])
     asked = max(size for columns, size in written if "chunk" in columns)
     assert asked < 0.6 * sum(map(len, texts))
+
+
+def test_segmentation_gives_memory_back_with_its_lattices(monkeypatch):
+    """Workers live on: what a full store of lattices took doesn't stay with them."""
+    given = []
+    monkeypatch.setattr(segmentation, "trim", lambda: given.append(1), raising=False)
+    monkeypatch.setattr(segmentation, "KEPT", 20)
+    lat = segmentation.Lattices(segmentation.Vocabulary.load(segmentation.MODEL), 0.3)
+    for text in (b"the first words of some text", b"other words that follow", b"and more"):
+        segmentation.sample_chunk(lat, np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.ones(1, np.uint64), 2)
+    assert len(given) == 2
