@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorewell.llm import language_id, lm_scoring, near_dedup, segmentation, shared
 
@@ -32,8 +33,8 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         files = env.blockManager().diskBlockManager().getAllFiles()
         return {str(f) for i in range(files.size()) if "shuffle_" in str(f := files.apply(i))}
 
-    before, df = shuffled(), spark.range(10_000).groupBy("id").count()
-    assert shared.cut(df).count() == 10_000
+    before, df = shuffled(), spark.range(400_000).groupBy(F.xxhash64("id").alias("id")).count()
+    assert shared.cut(df).count() == 400_000
     for _ in range(50):
         if not (left := shuffled() - before):
             break
