@@ -13,7 +13,7 @@ words' part of the filter built in shards of its own. The filter is broadcast if
 larger one stays where it is: each chunk of texts sends its distinct probes to their shards, sorted and packed (a blob for
 each shard that it asks), where they meet the shard's bits, and the levels come back to the chunk's texts, which travel
 compressed; the corpus is read once and the probes grow in proportion to it. Probes are dealt once and only levels are
-written, so that path takes less than three times the input of disk.
+written (3.95 x the input of disk, measured at 0.51 GB).
 Exact unigram counts (for ``base_score``) come from a head table, the most frequent words, at most ``HEAD``; of all other
 words a document sends a row each to a join.
 
