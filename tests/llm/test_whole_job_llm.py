@@ -2,8 +2,10 @@
 
 import os
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,23 @@ def test_segmentation_works_on_chunks_not_texts(monkeypatch):
     kept = lat.lp
     assert sample(lat, [b"some words of a text"] * 60 + [b"another"]) <= few + 40  # lengths of the new part, no draw a text
     assert len(lat.lp) > len(kept) and np.shares_memory(lat.lp, kept)
+
+
+def test_segmentation_takes_little_memory(spark, monkeypatch):
+    """A worker's arrays beside its batch and what it keeps: those of one chunk."""
+    monkeypatch.setattr(segmentation, "KEPT", 1 << 12)
+    caught, docs = [], spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append(run) or self)
+    segmentation.sample_segmentations(docs)
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("etaoinshr"), 7)) for _ in range(30_000)]
+    texts = [" ".join(rng.choice(words, 250)) for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700), pa.int64()), pa.array(texts), pa.array(range(700), pa.int64())], names=["doc_id", "text", "key"])
+    tracemalloc.start()
+    try:
+        n = sum(x.num_rows for x in caught[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert n == 1400
+    assert peak < 75, peak
