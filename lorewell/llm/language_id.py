@@ -166,7 +166,8 @@ def train(docs: DataFrame) -> Identifier:
     if not counts:
         return Identifier([])
     most = min(PER_LANGUAGE, max(1, LANGUAGES * PER_LANGUAGE // len(counts)))
-    shares = F.broadcast(docs.sparkSession.createDataFrame([(r[0], min(1.0, (1.5 * most + 20) / r[1])) for r in counts], "lang string, share double"))
+    # from Arrow, as rows of Python objects would start a second daemon on each executor, which stays
+    shares = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r[0] for r in counts], pa.string()), "share": [min(1.0, (1.5 * most + 20) / r[1]) for r in counts]})))
     text = F.when(F.octet_length("text") <= LONGEST, F.col("text")).otherwise(F.substring("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(LONGEST // 4)))
     dealt = F.pmod(F.xxhash64("lang", "text"), F.lit(1_000_003))
     rows = usable.join(shares, "lang").where(F.col("share") * 1_000_003 > dealt).select("lang", text.alias("text"), dealt.alias("k")).limit(2 * len(counts) * (most + 20)).collect()

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lorewell.llm import tokens as tk
-from lorewell.llm.shared import cut, done, id_filter, in_filter, small_batches, text_chunks, trim
+from lorewell.llm.shared import cut, done, id_filter, in_filter, row_chunks, small_batches, text_chunks, trim
 
 RUN = 0
 #: The levels of each round: RUN, or the words from which a symbol takes no part in a pair.
@@ -248,13 +248,18 @@ def _first_task(window: int):
     return run
 
 
+def _parts(batch: pa.RecordBatch, words: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """A batch of states in parts of so many words, as arrays that have an element a word are many times its size."""
+    n = batch.column(batch.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
+    for lo, hi in row_chunks(np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), words):
+        yield batch.slice(lo, hi - lo)
+
+
 def _next_task(window: int, number: int):
     """Closes windows with an unshared symbol and goes on to the levels of round ``number``, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _parts(whole)):
             col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
             n = col["n"].to_numpy(zero_copy_only=False).astype(np.int64)
             name, counts = _flat(col["name"])
@@ -332,19 +337,23 @@ def _piece_task(window: int):
     return run
 
 
-def _named(filter_, yes: bool):
-    """Rows whose rk the filter names, or the others."""
+def _named(filter_):
+    """Rows whose rk the filter names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_filter(filter_.value, batch.column(0).to_numpy()) == yes))
+            yield batch.filter(pa.array(in_filter(filter_.value, batch.column(0).to_numpy())))
 
     return run
 
 
-def _cut_task(window: int):
+def _cut_task(window: int, but=None):
+    """Cuts what is covered; with a filter only of rows that it doesn't name, by their rk, in the same worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if but is not None:
+                batch = batch.filter(pa.array(~in_filter(but.value, batch.column(3).to_numpy())))
             texts, gone_at = batch.column(0).to_pylist(), batch.column(1)
             kept, n_words, n_removed = [], [], []
             for i, text in enumerate(texts):
@@ -386,7 +395,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
 
     spans = state.select("rk", "id", "open").dropDuplicates(["rk", "id"])
     own_text = rows.select("rk", "id", "text")
-    texts = own_text.mapInArrow(_named(spark.sparkContext.broadcast(id_filter(spans)), True), own_text.schema).join(spans, ["rk", "id"]).dropDuplicates(["rk", "id"])
+    texts = own_text.mapInArrow(_named(spark.sparkContext.broadcast(id_filter(spans))), own_text.schema).join(spans, ["rk", "id"]).dropDuplicates(["rk", "id"])
     pieces = cut(texts.mapInArrow(_piece_task(window), _PIECES))
     done(state)
     least = pieces.groupBy("key").agg(F.min("id").alias("a"), F.min("anchor").alias("anchor"))
@@ -402,7 +411,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
     places = cut(copies.unionByName(again).groupBy("rk", "id").agg(F.collect_list(F.struct("lo", "n")).alias("places")))
     done(met)
     named = spark.sparkContext.broadcast(id_filter(places))
-    joined = rows.mapInArrow(_named(named, True), rows.schema).join(places, ["rk", "id"], "left").select("text", "places", "own")
-    others = rows.mapInArrow(_named(named, False), rows.schema).select("text", F.lit(None).cast(places.schema["places"].dataType).alias("places"), "own")
+    joined = rows.mapInArrow(_named(named), rows.schema).join(places, ["rk", "id"], "left").select("text", "places", "own")
+    others = rows.select("text", F.lit(None).cast(places.schema["places"].dataType).alias("places"), "own", "rk")
     schema = StructType([StructField("own", joined.schema["own"].dataType), *(StructField(c, LongType()) for c in RESULT[:2]), StructField(RESULT[2], StringType())])
-    return joined.unionByName(others).mapInArrow(_cut_task(window), schema).select("own.*", *RESULT)
+    # one Python step a stage: a second would leave every executor twice the workers for all that follows
+    return joined.mapInArrow(_cut_task(window), schema).unionByName(others.mapInArrow(_cut_task(window, named), schema)).select("own.*", *RESULT)

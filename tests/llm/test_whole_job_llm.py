@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorewell.llm import language_id, lm_scoring, near_dedup, segmentation, shared
+from lorewell.llm import language_id, lm_scoring, near_dedup, segmentation, shared, substring_dedup
 
 
 def test_near_dedup_of_a_text_inside_another(spark):
@@ -116,3 +116,51 @@ def test_segmentation_takes_little_memory(spark, monkeypatch):
         tracemalloc.stop()
     assert n == 1400
     assert peak < 75, peak
+
+
+def test_segmentation_solves_new_parts_a_few_at_a_time(monkeypatch):
+    """Building lattices takes many arrays; the parts of a chunk aren't all built at once, and give the same."""
+    rng = np.random.default_rng(6)
+    data = np.frombuffer(" ".join("".join(rng.choice(list("etaoinshr"), 7)) for _ in range(30_000)).encode(), np.uint8)
+    v, sizes, built = segmentation.Vocabulary.load(segmentation.MODEL), [], segmentation.Lattice
+    sample = lambda: segmentation.sample_chunk(segmentation.Lattices(v, 0.3), data, np.array([0, len(data)]), np.ones(1, np.uint64), 2)[0]
+    monkeypatch.setattr(segmentation, "Lattice", lambda v, data, *a: sizes.append(len(data)) or built(v, data, *a))
+    some = sample()
+    assert max(sizes) <= 1 << 16
+    monkeypatch.setattr(segmentation, "NEW", 1 << 30)
+    sizes.clear()
+    for (e, *x), (f, *y) in zip(some, sample(), strict=True):
+        assert (e == f).all() and x == y
+    assert len(sizes) == 1
+
+
+def test_repeats_are_removed_with_one_worker_a_task(spark):
+    """Workers that a stage of two Python steps starts stay on the executors for all that follows."""
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, "a " + words), (3, "b")], "doc_id long, text string")
+    found = substring_dedup.remove_repeats(docs)
+
+    def steps(node, n=0):
+        n = 0 if "Join" in node.nodeName() or "Exchange" in node.nodeName() else n + ("MapInArrow" in node.nodeName())
+        below = node.children()
+        return max([n, *(steps(below.apply(i), n) for i in range(below.size()))])
+
+    assert steps(found._jdf.queryExecution().sparkPlan()) == 1
+    assert [(r.doc_id, r.n_removed, r.kept_text) for r in found.orderBy("doc_id").collect()] == [(1, 0, words), (2, 60, "a"), (3, 0, "b")]
+
+
+def test_states_are_taken_in_parts(monkeypatch):
+    text = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(range(6), pa.int64()), pa.array([" ".join(f"w{i}" for i in range(100_000))] * 6)], names=["rk", "id", "text"])
+    states = pa.Table.from_batches(substring_dedup._first_task(50)(iter([text]))).combine_chunks().to_batches()[0]
+    states = states.append_column("known", states.column(states.schema.get_field_index("ask")))
+    sizes, state = [], substring_dedup._state
+    monkeypatch.setattr(substring_dedup, "_state", lambda rk, ids, n, *a: sizes.append(int(n.sum())) or state(rk, ids, n, *a))
+    assert sum(x.num_rows for x in substring_dedup._next_task(50, 1)(iter([states]))) == 6
+    assert sum(sizes) == 600_000 and max(sizes) <= 1 << 18
+
+
+def test_languages_are_counted_without_python_workers(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", "some words"), ("de", "ein paar")], "lang string, text string").coalesce(1).cache()
+    docs.count()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: pytest.fail("rows of Python objects"))
+    assert language_id.train(docs).languages == ["de", "en"]
